@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, minhash, substring
+from parcelwise.llm import bpe, langid, lattice, minhash, substring, topk
 from parcelwise.llm.common import pick
 
 
@@ -19,6 +19,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out())))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.without_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -33,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op9_substring_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op6_exact_top_k, op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe)}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,6 +67,24 @@ r AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT r.x, l.b FROM r JOIN bot
 c AS (SELECT x, min(y) AS m FROM r GROUP BY 1)
 SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(c.m, k.doc_id) AS component_id, coalesce(c.m, k.doc_id) = k.doc_id AS kept
 FROM k LEFT JOIN c ON c.x = k.doc_id""",
+    "op6_exact_top_k": """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.w, x.w)]) AS BIGINT) AS score
+    FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.w) = len(x.w) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS w FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT * FROM v WHERE list_inner_product(w, w) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.w, b.w) >= 0.98),
+r AS (SELECT a AS x, a AS y FROM link UNION SELECT r.x, l.b FROM r JOIN link l ON l.a = r.y),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.m, e.vec_id) AS component_id, coalesce(c.m, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op9_substring_dedup": f"""
 WITH w AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
