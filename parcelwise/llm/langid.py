@@ -5,7 +5,7 @@ automaton into the fewest phrases that occur in the sample: each phrase is the l
 ended. The language whose sample needs the fewest phrases per character wins; ties go to the language that sorts first.
 
 The sample is bounded: of each language SAMPLE_TEXTS texts (those of smallest text hash), the first SAMPLE_CHARS
-characters of each, lower-cased; that is all that is collected, and its size doesn't depend on the corpus. Predictions
+characters of each, lower-cased, every run of other characters than letters as one space; that is all that is collected, and its size doesn't depend on the corpus. Predictions
 read whole texts: texts are cut into runs of STEP characters that are parsed side by side with numpy (a phrase ends
 at a run's end, for every language alike).
 
@@ -117,6 +117,9 @@ def _predict(sample: tuple[tuple[str, str], ...]):
         langs, scores = ["und"] * part.num_rows, np.zeros(part.num_rows)
         codes = [np.frombuffer((x or "").lower().encode("utf-32-le"), np.uint32) for x in part.column("text").to_pylist()]
         rows = [i for i, c in enumerate(codes) if letters[c].any()] if model.langs else []
+        for i in rows:
+            own = letters[codes[i]]
+            codes[i] = np.where(own, codes[i], 32)[own | np.concatenate([[False], own[:-1]])]
         if rows:
             sizes = np.array([len(codes[i]) for i in rows])
             runs = -(-sizes // STEP)
@@ -148,7 +151,7 @@ def _predict(sample: tuple[tuple[str, str], ...]):
 def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     """The bounded sample of labelled(text, lang), as (lang, text) in the order of lang: at most SAMPLE_TEXTS *
     SAMPLE_CHARS characters of each language."""
-    rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"), F.xxhash64("text").alias("h"))
+    rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", F.regexp_replace(F.lower(F.substring("text", 1, SAMPLE_CHARS)), r"[^\p{L}]+", " ").alias("text"), F.xxhash64("text").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     found: dict[str, list[tuple[int, str]]] = {}
     for r in rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).collect():
