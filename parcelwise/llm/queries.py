@@ -7,18 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, langid, lattice, minhash, substring, topk
-from parcelwise.llm.common import pick
+from parcelwise.llm import bpe, langid, lattice, licenses, minhash, mixing, sharding, substring, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(spark, _table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
@@ -47,13 +63,62 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op6_exact_top_k, op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe)}
+    every = (
+        op1_warc, op2_minhash_near_dedup, op3_extendible_sharding, op4_license_scan, op5_source_mixing, op6_exact_top_k,
+        op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe,
+    )
+    return {f.__name__: f for f in every}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _license_sql() -> str:
+    """A list of word places per phrase, by comparison at every word."""
+    phrases = licenses._phrases()
+    lists = ",\n    ".join(f"CASE WHEN list_has_all(ws, {list(p)!r}) THEN list_filter(range(1, len(ws) - {len(p) - 2}), lambda i: ws[i:i+{len(p) - 1}] = {list(p)!r}) ELSE [] END AS p{k}" for k, p in enumerate(phrases))
+    at = {p: f"p{k}" for k, p in enumerate(phrases)}
+    place = lambda text: at[tuple(text.split())]
+    base = " || ".join(place(t[0]) for t, _ in licenses.BASE)
+    given = lambda ts: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'len({place(p)}) > 0' for p in t)} THEN '{label}' END" for t, label in ts) + "], lambda x: x IS NOT NULL))), ',')"
+    share = ", ".join("(" + " + ".join(f"CASE WHEN len({place(p)}) > 0 THEN 1.0::DOUBLE ELSE 0 END" for p in t) + f") / {len(t)}" for t, _ in licenses.BASE + licenses.MORE)
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
+p AS (SELECT doc_id, ws, {lists} FROM w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len({base}) AS BIGINT) AS n_base, list_min({base}) - 1 AS first_word, list_max({base}) - 1 AS last_word,
+    {given(licenses.BASE)} AS base_labels, {given(licenses.BASE + licenses.MORE)} AS labels, greatest({share}) AS score FROM p"""
+
+
 _ORACLE = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= {warc.LEAST} GROUP BY 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN m < page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
+    "op3_extendible_sharding": f"""
+WITH t AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+b AS (SELECT CASE WHEN sum(n) > {sharding.LIMIT} THEN CAST(floor(log2(sum(n) / {sharding.LIMIT})) AS INTEGER) ELSE 0 END AS s FROM t),
+d AS (SELECT s + k AS depth FROM b, range(0, 24) r(k)),
+x AS (SELECT t.*, depth, h >> ({sharding.BITS} - depth) AS prefix FROM t, d),
+z AS (SELECT depth, prefix, sum(n) AS bytes, min(h) = max(h) AS one FROM x GROUP BY 1, 2),
+l AS (SELECT x.doc_id, x.h, x.n, min(x.depth) AS depth FROM x JOIN z USING (depth, prefix) WHERE bytes <= {sharding.LIMIT} OR one GROUP BY 1, 2, 3)
+SELECT l.doc_id, l.n AS n_bytes, CAST(l.depth AS INTEGER) AS depth, z.prefix, CAST(0 AS BIGINT) AS page, CAST(z.bytes AS BIGINT) AS shard_bytes
+FROM l JOIN z ON z.depth = l.depth AND z.prefix = l.h >> ({sharding.BITS} - l.depth)""",
+    "op4_license_scan": _license_sql(),
+    "op5_source_mixing": f"""
+WITH t AS (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(coalesce(len({_WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM t GROUP BY 1),
+w AS (SELECT *, CAST([3, 1, 2][(sid - 1) % 3 + 1] AS DOUBLE) AS w, CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS total FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, sid) AS rn,
+    (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM w),
+f AS (SELECT min(rn) AS rn, min_by(own, rn) AS level FROM o WHERE own <= cap / w),
+g AS (SELECT o.source, o.source_size, CASE WHEN f.rn IS NULL OR o.rn < f.rn THEN cap ELSE least(cap, f.level * w) END AS target FROM o, f),
+p AS (SELECT t.doc_id, t.size, g.source_size, g.target, floor(g.target) AS upto,
+    coalesce(sum(t.size) OVER (PARTITION BY t.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, upto) - start) + greatest(0, least(source_size + start + size, upto) - source_size - start) AS BIGINT) AS taken FROM p""",
     "op2_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS ws FROM documents),
 sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
