@@ -2,9 +2,11 @@
 
 Encoding: documents are cut into pre-tokens with positions. Tasks group documents into blocks of bounded bytes; a
 block holds each of its distinct words once, and each document's positions as numbers of those words. The distinct
-words of all blocks are shuffled by word and sorted, so that each word of the corpus is encoded once, where its rows
-meet, and its ids are joined to them there; they go back to their blocks, and the positions put the documents together again. Words are
-reduced within blocks before they are shuffled, so a frequent word is one row per block, not one per occurrence.
+words of all blocks are shuffled by a hash of the word, each block's words of one hash bucket packed in one row, and
+sorted by bucket, so that each word of the corpus is encoded once, where its rows meet, and its ids are joined to them
+there; they go back to their blocks, and the positions put the documents together again. Words are reduced within
+blocks before they are shuffled, so a frequent word is sent once per block, not once per occurrence. The number of
+buckets follows spark.sql.shuffle.partitions; a task holds the distinct words of one bucket.
 
 A block's key is a hash of its texts: the words and the positions are made in two passes over docs, and a pass that
 cut other blocks fails with an error instead of giving wrong ids. So docs must be readable twice with the same rows
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from parcelwise.llm.common import PIECE, pick, slices
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 24 << 20
+BLOCK = 12 << 20
 _cache: dict = {}
 
 
@@ -84,18 +88,50 @@ def _split(pattern: str):
     return _once(("pattern", pattern), lambda: regex.compile(pattern)).findall
 
 
-def _distinct(pattern: str):
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, first all lowest bytes, then the next ones: high bytes are mostly zero and pack well."""
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(raw: bytes | memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _pack(number: np.ndarray, lens: np.ndarray, data: bytes) -> bytes:
+    """Ascending word numbers, and a stretch of data for each."""
+    import zstandard
+
+    head = np.array([len(number)], np.int32).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + _planes(np.diff(number, prepend=0)) + _planes(lens) + data)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = 4 * int(np.frombuffer(raw[:4], np.int32)[0])
+    return np.cumsum(_unplanes(raw[4 : 4 + n])), _unplanes(raw[4 + n : 4 + 2 * n]), raw[4 + 2 * n :]
+
+
+def _distinct(pattern: str, buckets: int):
     def run(batches):
         cut = _split(pattern)
         for ids, texts in _blocks(batches):
             words = {}
             for x in texts:
                 words.update(dict.fromkeys(cut(x)))
-            words = list(words)
+            words = [x.encode() for x in words]
             key = _key(ids, texts)
-            for k in range(0, len(words), 20_000):
-                some = words[k : k + 20_000]
-                yield pa.record_batch([pa.array(np.full(len(some), key)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), pa.array(some, pa.string())], names=["block", "i", "word"])
+            del texts
+            to = np.array([zlib.crc32(x) for x in words], np.uint32) % np.uint32(buckets)
+            order = np.argsort(to, kind="stable")
+            edge = np.searchsorted(to[order], np.arange(buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(edge)):
+                own = order[edge[k] : edge[k + 1]]
+                some = [words[i] for i in own]
+                rows.append((int(k), _pack(own, np.array([len(x) for x in some]), b"".join(some))))
+            yield pa.record_batch([pa.array(np.full(len(rows), key)), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "words"])
 
     return run
 
@@ -112,7 +148,7 @@ def _positions(pattern: str):
                 lens.append(len(got))
                 parts.append(np.array(got, np.int32))
             flat = np.concatenate(parts)
-            planes = press(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes())
+            planes = press(_planes(flat))
             yield pa.record_batch([pa.array([_key(ids, texts)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([len(number)], pa.int32()), pa.array([planes], pa.binary())], names=["block", "doc_ids", "lens", "n_distinct", "positions"])
 
     return run
@@ -123,14 +159,24 @@ def _encode_words(path: str, pattern: str):
         import tiktoken
 
         enc = _once(("enc", path, pattern), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}))
-        last, got = None, b""
+        last, known = None, {}
         for batch in batches:
             out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, got = word, np.array(enc.encode_ordinary(word), np.int32).tobytes()
-                out.append(got)
-            yield pa.record_batch([batch.column("block"), batch.column("i"), pa.array(out, pa.binary())], names=["block", "i", "ids"])
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                number, lens, data = _unpack(blob.as_py())
+                got, at = [], 0
+                for n in lens.tolist():
+                    word = data[at : at + n]
+                    at += n
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = enc.encode_ordinary(word.decode())
+                    got.append(ids)
+                flat = np.fromiter(itertools.chain.from_iterable(got), np.int32)
+                out.append(_pack(number, np.array([len(x) for x in got]), _planes(flat)))
+            yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], names=["block", "ids"])
 
     return run
 
@@ -149,22 +195,18 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     if not left.num_rows:
         raise RuntimeError("documents changed between two reads: words of an unknown block")
-    order = np.argsort(right.column("i").to_numpy(), kind="stable")
-    packed = right.column("ids").combine_chunks().cast(pa.large_binary()) if right.num_rows else pa.array([], pa.large_binary())
-    if isinstance(packed, pa.ChunkedArray):
-        packed = packed.chunk(0)
-    offs = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 4 if len(packed) else np.zeros(1, np.int64)
-    flat = np.frombuffer(packed.buffers()[2], np.int32) if len(packed) else np.zeros(0, np.int32)
-    number = right.column("i").to_numpy()[order]
-    distinct, inverse = np.unique(number, return_index=True)  # equal blocks send equal words
-    order = order[inverse]
+    parts = [_unpack(x) for x in right.column("ids").to_pylist()] or [(np.zeros(0, np.int64), np.zeros(0, np.int32), b"")]
+    number, lens = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    flat, offs = np.concatenate([_unplanes(x[2]) for x in parts]), np.concatenate([[0], np.cumsum(lens)])
+    del parts
+    distinct, order = np.unique(number, return_index=True)  # equal blocks send equal words
     docs, ids = [], []
     for row in left.to_pylist():
         if len(distinct) != row["n_distinct"]:
             raise RuntimeError("documents changed between two reads: a block's words don't match its texts")
         n = sum(row["lens"])
         raw = zstandard.ZstdDecompressor().decompress(row["positions"], max_output_size=4 * n) if n else b""
-        at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel() if n else np.zeros(0, np.int32)
+        at = _unplanes(raw)
         ends = np.cumsum(row["lens"])
         k = 0
         while k < len(ends):  # parts of bounded size
@@ -181,8 +223,9 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs(doc_id, text)."""
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = docs.mapInArrow(_distinct(pattern), "block long, i int, word string")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks_path, pattern), "block long, i int, ids binary")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.mapInArrow(_distinct(pattern, buckets), "block long, bucket int, words binary")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path, pattern), "block long, ids binary")
     places = docs.mapInArrow(_positions(pattern), "block long, doc_ids array<long>, lens array<int>, n_distinct int, positions binary")
     return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
