@@ -21,7 +21,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import by_text, grams, hash_words, mix, pick, stored, text_buffer
@@ -91,7 +91,7 @@ def _window_rows(window: int):
     return run
 
 
-def _removed(window: int):
+def _removed(window: int, untouched: bool):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = text_buffer(part.column("text"))
         _, _, words, first = hash_words(raw, at)
@@ -107,7 +107,7 @@ def _removed(window: int):
                 continue
             if not flags.is_valid or n < window:
                 gone.append(0)
-                texts.append(b" ".join(own))
+                texts.append(data[at[k] : at[k + 1]] if untouched else b" ".join(own))
                 continue
             starts = np.flatnonzero(np.isin(keys[lo : hi - window + 1], flags.values.to_numpy()))
             edge = np.zeros(n + 1, np.int64)
@@ -129,23 +129,29 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     seq, _ = stored(docs.mapInArrow(by_text("text", _sequence), "doc_id long, n_words long, s1 long, s2 long").where(F.col("n_words") >= window), "sequences")
     same = seq.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
-    copies = seq.join(same, ["s1", "s2", "n_words"]).where("doc_id > rep").select("doc_id").distinct()
+    repeated = seq.groupBy("doc_id").count().where("count > 1").select("doc_id")  # their rows may differ
+    copies = seq.join(same, ["s1", "s2", "n_words"]).where("doc_id > rep").select("doc_id").join(repeated, "doc_id", "left_anti")
     copies, _ = stored(copies, "copies")
 
-    seeds = docs.mapInArrow(by_text("text", _seed_rows(window)), "doc_id long, seed long").repartition("seed")
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
-    mine = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")).join(copies, "doc_id", "left_anti")
-    windows = docs.join(mine, "doc_id").select("doc_id", "text", "seeds").mapInArrow(by_text("text", _window_rows(window)), "doc_id long, w1 long, w2 int").repartition("w1", "w2")
-    owner = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    flags = windows.join(owner, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("w1").alias("flags"))
+    # A window function per seed, not a join with an aggregate: a second branch would run the mapping, and its
+    # shuffle, again. A seed has one row per document, a small share of all rows even if every document has it.
+    seeds = docs.mapInArrow(by_text("text", _seed_rows(window)), "doc_id long, seed long")
+    held = Window.partitionBy("seed")
+    shared = seeds.select("seed", "doc_id", F.min("doc_id").over(held).alias("lo"), F.max("doc_id").over(held).alias("hi")).where("lo < hi")
+    mine = shared.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")).join(copies, "doc_id", "left_anti")
+    windows = docs.join(mine, "doc_id").select("doc_id", "text", "seeds").mapInArrow(by_text("text", _window_rows(window)), "doc_id long, w1 long, w2 int")
+    later = windows.select("doc_id", "w1", F.min("doc_id").over(Window.partitionBy("w1", "w2")).alias("lo")).where("doc_id > lo")
+    flags = later.groupBy("doc_id").agg(F.collect_list("w1").alias("flags"))
     return flags.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("flags"), F.lit(True).alias("copy")))
 
 
-def without_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text, *carry): doc_id, the carried columns, n_words, n_removed, kept_text (kept words
-    joined by one space)."""
+    joined by one space; with untouched, a text that loses nothing stays as it is)."""
     found = repeats(docs, window)
     rows = pick(docs, "doc_id", "text", *carry).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    out = rows.join(found, "doc_id", "left").select("doc_id", *carry, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "flags")
+    known, unknown = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    unknown = unknown.select(*unknown.columns, F.lit(None).cast("array<long>").alias("flags"), F.lit(False).alias("copy"))
+    out = known.join(found, "doc_id", "left").unionByName(unknown).select("doc_id", *carry, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "flags")
     kinds = "".join(f"`{c}` {k}, " for c, k in rows.dtypes if c in carry)
-    return out.mapInArrow(by_text("text", _removed(window)), f"doc_id long, {kinds}n_words long, n_removed long, kept_text string")
+    return out.mapInArrow(by_text("text", _removed(window, untouched)), f"doc_id long, {kinds}n_words long, n_removed long, kept_text string")
