@@ -92,22 +92,26 @@ class Model:
     def phrases(self, kinds: np.ndarray) -> np.ndarray:
         """kinds: runs of STEP character classes; returns phrases by language and run."""
         langs, runs = len(self.langs), len(kinds)
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], runs, 1)
+        roots = np.array(self.roots, np.int64)[:, None]
+        state = np.repeat(roots, runs, 1)
         count = np.zeros((langs, runs), np.int64)
         which = np.arange(langs)[:, None]
         for c in np.ascontiguousarray(kinds.T):
             to = self.next[state * self.n + c]
             ends = to < 0
+            new = np.where(ends, self.restart[which, c], to)
+            # an unknown character is a phrase of its own, and leads to the root, to which nothing else leads
             count += ends
-            state = np.where(ends, self.restart[which, c], to)
-        return count + 1
+            count += (new == roots) & (state != roots)
+            state = new
+        return count + (state != roots)
 
 
 def _letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
 
 
-def _predict(sample: tuple[tuple[str, str], ...]):
+def _predict(sample: tuple[tuple[str, str], ...], keep_text: bool):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         if sample not in _cache:
             _cache[sample] = Model(sample)
@@ -142,7 +146,7 @@ def _predict(sample: tuple[tuple[str, str], ...]):
             for k, i in enumerate(rows):
                 langs[i] = model.langs[order[0, k]]
             scores[rows] = 1 - best / second
-        keep = [c for c in part.schema.names if c != "text"]
+        keep = [c for c in part.schema.names if c != "text" or keep_text]
         return pa.record_batch([*[part.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     return run
@@ -159,11 +163,11 @@ def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     return tuple((x, "\n".join(t for _, t in sorted(found[x]))) for x in sorted(found))
 
 
-def predict(docs: DataFrame, sample: tuple[tuple[str, str], ...], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred and score for each row of docs(text, *carry)."""
+def predict(docs: DataFrame, sample: tuple[tuple[str, str], ...], carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
+    """The carried columns, the text if asked, lang_pred and score for each row of docs(text, *carry)."""
     rows = pick(docs, *carry, "text")
-    kinds = "".join(f"`{c}` {k}, " for c, k in rows.dtypes if c != "text")
-    return rows.mapInArrow(by_text("text", _predict(sample)), f"{kinds}lang_pred string, score double")
+    kinds = "".join(f"`{c}` {k}, " for c, k in rows.dtypes if c != "text" or keep_text)
+    return rows.mapInArrow(by_text("text", _predict(sample, keep_text)), f"{kinds}lang_pred string, score double")
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

@@ -78,14 +78,14 @@ def streams(sizes: DataFrame, n_docs: int) -> DataFrame:
     sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("sid", "range", base.alias("base"))
-    inner = Window.partitionBy("sid", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("sid", "range").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["sid", "range"]).withColumn("start", F.col("base") + F.col("before")).drop("range", "before", "base")
 
 
 def mixture(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The documents and the mix. Documents: (doc_id, sid, source, size, source_size, target, start) per row. Mix:
+    """The documents and the mix. Documents: (doc_id, sid, source, size, t, source_size, target, start) per row, t being a hash of the text. Mix:
     (slot, sid, doc_id, start, pass, from_word, to_word), a row per slot and stretch of a document it takes."""
-    sizes = pick(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), id_hash("doc_id").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = pick(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), id_hash("doc_id").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("t"))
     sizes, _ = stored(sizes, "sizes")
     sources, _ = stored(targets(sizes), "targets")
     n_docs, total = sizes.count(), sources.agg(F.sum("target")).first()[0] or 0.0
@@ -105,3 +105,19 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     got = mix.groupBy("sid", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     out = rows.join(got, ["sid", "start"], "left")  # words lie at one place of a stream; empty documents take none
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(doc_id, source, text, *carry): a row per document and pass of which the mix takes words. A text that is taken
+    in part (where its source's target ends) is cut to its first words, joined by one space; texts taken as a whole
+    stay as they are."""
+    rows, mix = mixture(docs, block)
+    got = mix.groupBy("sid", "start", "pass").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+    key = ["doc_id", "source", "t"]
+    parts = rows.where("size > 0").join(got, ["sid", "start"]).groupBy(*key).agg(F.first("size").alias("size"), F.collect_list("words").alias("words"))
+    parts = parts.toDF("k0", "k1", "k2", "size", "words")  # EPOCHS entries a row, for rows that aren't repeated
+    texts = pick(docs, "doc_id", "source", "text", *carry).withColumn("source", F.col("source").cast("string")).withColumn("t", F.xxhash64("text")).dropDuplicates(key)
+    same = F.col("doc_id").eqNullSafe(F.col("k0")) & F.col("source").eqNullSafe(F.col("k1")) & (F.col("t") == F.col("k2"))
+    out = texts.join(parts, same).withColumn("words", F.explode("words"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("words").cast("int")), " ")
+    return out.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))).select("doc_id", "source", "text", *carry)
