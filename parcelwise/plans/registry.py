@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelwise.plans import attribute_queries, feature_queries, spatial_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for part in (spatial_queries, feature_queries, attribute_queries) for k, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in (spatial_queries, feature_queries, attribute_queries) for k, (_, s) in part.QUERIES.items() if s}
