@@ -90,3 +90,61 @@ def landmark_override(buildings: DataFrame, amenities: DataFrame) -> DataFrame:
 
 def in_extent(p: Column, extent: Column) -> Column:
     return geom.within(p, extent)
+
+
+def _record(df: DataFrame, type_: str, **columns: Column) -> DataFrame:
+    fixed = {"id": "string", "name": "string", "kind": "string", "source": "string"}
+    got = [columns.get(c, F.col(c)).cast(t).alias(c) for c, t in fixed.items()]
+    position = columns.get("position", F.col("position"))
+    rest = [position.cast("struct<x:double,z:double>").alias("position"), columns.get("poly", F.lit(None)).cast(f"array<{geom.RING}>").alias("poly"), columns.get("source_ids", F.lit(None)).cast("array<string>").alias("source_ids"), F.col("ord").cast("long")]
+    return df.select(*got, F.lit(type_).alias("type"), *rest)
+
+
+def build(roads: DataFrame, points: DataFrame, areas: DataFrame, zones: DataFrame, buildings: DataFrame, landmarks: DataFrame, extent: Column) -> tuple[DataFrame, DataFrame]:
+    """The catalogue's records (id, name, kind, source, type, position, poly, source_ids, ord) and its aliases (id,
+    record_id).
+
+    roads: as in road_groups; points(ord, id, name, place, p); areas(ord, id, name, poly), neither roads nor
+    buildings; zones(ord, id, name, nature, poly); buildings(ord, id, tags, poly, landmark), landmark being a
+    name or null; landmarks(ord, id, name, kind, p). Later sources come after earlier ones in the records' order: what
+    several of them hold goes to the first. A named point in exactly one building that isn't known yet makes that
+    building a record; a landmark joins the first record of its name within 45 m, or else is a point of its own.
+    """
+    step = lambda df, k: df.withColumn("ord", F.col("ord").cast("long") + F.lit(k * (1 << 40)))
+    named = jsem.text_or_null(F.trim("name"))
+    lines = _record(road_groups(roads).withColumn("kind", F.when(F.col("id").startswith("road:"), "Rue / voie").otherwise("Voie ferrée")).withColumn("source", F.lit("OpenStreetMap")), "line", source_ids=F.col("source_ids"))
+    spots = points.withColumn("name", named).where("name is not null").where(geom.within(F.col("p"), extent))
+    spots = _record(step(spots, 0), "point", kind=F.when(jsem.text_or_null("place").isNotNull(), "Lieu-dit / secteur").otherwise("Lieu / équipement"), source=F.lit("OpenStreetMap"), position=F.col("p"))
+
+    def shaped(df: DataFrame) -> DataFrame:
+        cut = F.transform("poly", lambda r: geom.clip_ring(r, extent))
+        return df.withColumn("poly", cut).where(F.size(F.col("poly")[0]) >= 3)
+
+    surfaces = _record(step(shaped(areas.withColumn("name", named).where("name is not null")), 0), "zone", kind=F.lit("Zone / lieu"), source=F.lit("OpenStreetMap"), position=geom.centre(F.col("poly")[0]), poly=F.col("poly"))
+    activity = _record(step(shaped(zones), 1), "zone", kind=F.coalesce(jsem.text_or_null("nature"), F.lit("Zone / lieu")), source=F.lit("IGN BD TOPO"), position=geom.centre(F.col("poly")[0]), poly=F.col("poly"))
+    solid = buildings.where(geom.area(F.col("poly")[0]) >= 3)
+    tag = lambda k: F.col("tags")[k]
+    known = solid.withColumn("name", building_name(tag("name"), F.col("landmark"), tag("amenity"))).where("name is not null")
+    house = lambda df, source: _record(df, "building", kind=F.lit("Bâtiment / équipement"), source=source, position=geom.centre(F.col("poly")[0]), poly=F.col("poly"))
+    houses = house(step(known, 2), building_source(tag("name"), F.col("landmark")))
+    base = lines.unionByName(spots).unionByName(surfaces).unionByName(activity).unionByName(houses)
+    # Points that aren't places, in exactly one building.
+    asked = spots.where(~F.col("kind").startswith("Lieu-dit")).select(F.col("id").alias("point_id"), F.col("ord").alias("point_ord"), F.col("name").alias("point_name"), F.col("source").alias("point_source"), F.col("position").alias("p"))
+    hits = spatial.unique_container(asked, buildings.select(F.col("id").cast("string").alias("id"), "poly"), "point_id")
+    hits = hits.join(base.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min(F.struct("point_ord", "point_name", "point_source")).alias("h"), F.first("poly").alias("poly"))
+    found = house(step(hits.select("id", F.col("h.point_name").alias("name"), F.col("h.point_source").alias("source"), F.col("h.point_ord").alias("ord"), "poly"), 3), F.col("source"))
+    base = base.unionByName(found)
+    marks = landmarks.where(geom.within(F.col("p"), extent)).withColumn("id", F.col("id").cast("string")).join(base.select("id").distinct(), "id", "left_anti")
+    placed = base.where("type <> 'line'").select(F.col("id").alias("record_id"), F.col("name").alias("record_name"), F.col("position").alias("q"), "ord")
+    merged = spatial.merged_by_name(marks.select("id", "name", "p"), placed)
+    # A landmark without a record may have an earlier one of its name near by, which is its record then.
+    new = marks.join(merged.where("added").select("id"), "id", "left_semi")
+    twin = spatial.near_pairs(new.select("id", "name", "p", "ord"), new.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("p").alias("q"), F.col("ord").alias("other_ord")), 45.0).where("name = other_name and other_ord < ord")
+    twin = twin.groupBy("id").agg(F.min_by("other", "other_ord").alias("record_id"))
+    alone = new.join(twin.select("id"), "id", "left_anti")
+    extra = _record(step(alone, 4), "point", kind=F.coalesce(jsem.text_or_null("kind"), F.lit("Lieu / équipement")), source=F.lit("IGN BD TOPO"), position=F.col("p"))
+    records = base.unionByName(extra)
+    empty = F.array().cast("array<string>")
+    own = id_aliases(records.select("id", F.coalesce("source_ids", empty).alias("source_ids"), "ord"))
+    aliases = own.unionByName(merged.where("not added").select("id", "record_id")).unionByName(twin)
+    return records, aliases

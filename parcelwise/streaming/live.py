@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def counts_in_cells(events: DataFrame, point: Column, ts: str, window: str = "5 minutes", late: str = "10 minutes", size: float = 80.0) -> DataFrame:
     """Events per grid cell and time window; a window is emitted once events later than the allowed delay have come."""
     cell = lambda k: F.floor(point[k] / size).cast("int")
