@@ -261,22 +261,3 @@ def _saved(spark, df):
     path = f"{shared_dir(spark)}/t-{random.random()}"
     df.write.parquet(path)
     return path
-
-
-def test_pipeline(spark, sf_dir):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "src0", 0), (None, "the and of " * 20, None, None, 1), (None, "a walk in the", "en", "zz", 3)], docs.schema)
-    at = _saved(spark, docs.union(odd))
-    now, counts = spark.read.parquet(at), []
-    for name, stage in pipeline.STAGES:
-        out = spark.read.parquet(_saved(spark, stage(spark, now, sf_dir)))
-        if name != pipeline.STAGES[-1][0]:
-            assert out.columns == list(pipeline.COLUMNS)
-        counts.append(out.count())
-        now = out
-    assert counts[0] == docs.count() + 2 and counts[1] < counts[0] and counts[4] == counts[3]
-    empty = spark.read.parquet(_saved(spark, docs.limit(0)))
-    for _, stage in pipeline.STAGES:
-        empty = spark.read.parquet(_saved(spark, stage(spark, empty, sf_dir)))
-    assert empty.count() == 0
