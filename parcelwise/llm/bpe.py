@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import PIECE, pick, slices
+from parcelwise.llm.common import PIECE, give_back, pick, slices
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 _cache: dict = {}
 
 
@@ -71,6 +71,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             size += more
     if texts:
         yield ids, texts
+    del ids, texts
+    give_back()
 
 
 def _key(ids: list, texts: list[str]) -> int:
@@ -265,15 +267,18 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows of decode()."""
+def digests(coded: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of coded(doc_id, ids): decodes as decode() does, and keeps only
+    digests of the decimal ids and the decoded bytes."""
 
     def run(batches):
+        table = _once(("bytes", ranks_path), lambda: _byte_table(ranks_path))
+        decimals = _once(("decimals", ranks_path), lambda: _decimals(len(table[1])))
         for batch in batches:
-            sha = []
-            table = _once("decimals", lambda: _decimals(1 << 18))
+            ids, text = [], []
             for x in _lists(batch.column("ids")):
-                sha.append(hashlib.sha256(_bytes_of(x, table)[:-1]).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(sha, pa.string()), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("bytes")], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                text.append(hashlib.sha256(_bytes_of(x, table)).hexdigest())
+                ids.append(hashlib.sha256(_bytes_of(x, decimals)[:-1]).hexdigest())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

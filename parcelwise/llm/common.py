@@ -6,6 +6,8 @@ Arrow buffers, so no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -123,6 +125,13 @@ def grams(words: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker waits for its next task, beside other workers, with what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about PIECE bytes of text each; a longer text is alone."""
     col = batch.column(column)
@@ -146,6 +155,7 @@ def by_text(column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, column):
                 yield fn(part)
+        give_back()
 
     return run
 

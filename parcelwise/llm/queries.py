@@ -58,8 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(coded, path))
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
