@@ -31,10 +31,15 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone. Found by their exact names, so that further columns, whatever theirs, do no harm."""
-    at = [df.columns.index(n) for n in names]
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
+def pick(df: DataFrame, *names: str, cast: dict[str, str] | None = None) -> DataFrame:
+    """The named columns alone, of the kinds asked for. Found by their exact names, so that further columns, whatever
+    theirs, do no harm. Columns that are right already are passed on as they are: then plans that read them twice
+    can share a shuffle."""
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        at = [df.columns.index(n) for n in names]
+        df = df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
+    kinds = dict(df.dtypes)
+    return df.select(*[F.col(f"`{n}`").cast(cast[n]).alias(n) if cast and kinds[n] != cast.get(n, kinds[n]) else F.col(f"`{n}`") for n in names])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from parcelwise.llm.common import by_text, grams, hash_words, mix, pick, stored, text_buffer
 
 GRAM = 5
+KINDS = {"doc_id": "bigint", "text": "string"}
 
 
 def _seeds(words: np.ndarray, window: int) -> np.ndarray:
@@ -126,7 +127,7 @@ def _removed(window: int, untouched: bool):
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, flags, copy): for each doc_id with repeats, the hashes of its windows that a smaller doc_id holds
     too, or whether it repeats a smaller doc_id's words as a whole."""
-    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    docs = pick(docs, "doc_id", "text", cast=KINDS).where("doc_id is not null")
     seq, _ = stored(docs.mapInArrow(by_text("text", _sequence), "doc_id long, n_words long, s1 long, s2 long").where(F.col("n_words") >= window), "sequences")
     same = seq.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
     repeated = seq.groupBy("doc_id").count().where("count > 1").select("doc_id")  # their rows may differ
@@ -149,7 +150,7 @@ def without_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] =
     """Per row of docs(doc_id, text, *carry): doc_id, the carried columns, n_words, n_removed, kept_text (kept words
     joined by one space; with untouched, a text that loses nothing stays as it is)."""
     found = repeats(docs, window)
-    rows = pick(docs, "doc_id", "text", *carry).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    rows = pick(docs, "doc_id", "text", *carry, cast=KINDS)
     known, unknown = rows.where("doc_id is not null"), rows.where("doc_id is null")
     unknown = unknown.select(*unknown.columns, F.lit(None).cast("array<long>").alias("flags"), F.lit(False).alias("copy"))
     out = known.join(found, "doc_id", "left").unionByName(unknown).select("doc_id", *carry, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "flags")
