@@ -9,11 +9,13 @@ min-hashes each. With R = 2 and HALF = 10, a pair of similarity 0.75 shares a ke
 Scale and skew. Equal sets are collapsed to one representative first, by an aggregation. A half-key that one
 representative alone holds cannot be part of a shared key, so only shared half-keys are combined (exact, and it
 drops most documents before the tables). Buckets are only ever grouped by partial aggregates; those of up to SMALL
-members are compared in full. In larger ones each member is compared with LEADERS members that every task agrees on
-(smallest salted hashes, smallest id, most shared half-keys), linear in the bucket's size; then members that are not
-yet in their bucket's first member's component, in FEW tables at least (a pair of similarity 0.75 shares fewer with
-probability 0.0006), are compared with MORE further members of each of their buckets. That finds the components unless
-a document is similar to a few members only of huge buckets in all tables.
+members are compared in full, as rows. In larger ones each member is first compared with LEADERS members that every
+task agrees on (smallest salted hashes, smallest id, most shared half-keys), linear in the bucket's size. What is in one
+component then needs no further comparison; every other pair of a large bucket is compared exactly: the members of
+large buckets are grouped by their half-keys of the first collection, dealt into chunks, and each task compares one
+chunk with another on full sets, a pair in the first half-key it shares alone. So every pair that shares a key is
+compared unless it is linked already. Members of a group's most frequent component are not compared with each other;
+the work for the rest grows with their number times the group's size, the rows that are made with that over CHUNK.
 
 Null, empty and wordless texts have an empty set and link with nothing. Rows without doc_id link with nothing and
 keep a null component; repeated rows of one doc_id count as one document (their shingles' union is not taken: any
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_text, components, grams, hash_words, mix, pick, stored, text_buffer
+from parcelwise.llm.common import by_text, components, give_back, grams, hash_words, mix, pick, stored, text_buffer
 
-SHINGLE, R, HALF, SMALL, LEADERS, MORE, FEW = 5, 2, 10, 8, 3, 8, 4
+SHINGLE, R, HALF, SMALL, LEADERS = 5, 2, 10, 8, 3
+#: Members and shingles of a chunk, about; columns that are multiplied at once.
+CHUNK, WEIGHT, COLUMNS = 256, 1 << 17, 4096
 _A = np.random.default_rng(7).integers(1, 1 << 62, 2 * HALF * R, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -93,6 +97,97 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) ->
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(by_text("text_a", _verify(threshold)), "a long, b long")
 
 
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a (rows) with sets b (columns)."""
+    sizes = np.array([len(x) for x in sets])
+    _, of, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    some = held[of] > 1
+    row, of = row[some], (np.cumsum(held > 1) - 1)[of[some]]
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    out = np.zeros((len(a), len(b)), np.float32)  # whole numbers below 2 ** 24
+    for lo in range(0, int(of[-1]) + 1 if len(of) else 0, COLUMNS):
+        i, j = np.searchsorted(of, [lo, lo + COLUMNS])
+        there = np.zeros((len(sets), COLUMNS), np.float32)
+        there[row[i:j], of[i:j] - lo] = 1
+        out += there[a] @ there[b].T
+    return out.astype(np.int64)
+
+
+def _across(threshold: tuple[int, int]):
+    """Links between components among rows that come task by task (part, lo, hi)."""
+    num, den = threshold
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        doc, comp, n, chunk = (rows.column(c).to_numpy() for c in ("doc", "c", "n", "chunk"))
+        lo, hi, i = (rows.column(c)[0].as_py() for c in ("lo", "hi", "i"))
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALF)
+        a, b = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        want = (comp[a][:, None] != comp[b]) & (den * np.minimum(n[a][:, None], n[b]) >= num * np.maximum(n[a][:, None], n[b]))
+        if lo == hi:
+            want = np.triu(want, 1)
+        for k in range(i + 1):  # a pair belongs to the first half-key it shares
+            want &= (keys[a, k][:, None] == keys[b, k]) == (k == i)
+        if want.any():
+            two = np.zeros(want.shape, bool)
+            for k in range(HALF, 2 * HALF):
+                two |= keys[a, k][:, None] == keys[b, k]
+            want &= two
+        x, y = np.nonzero(want)
+        if len(x):
+            used = np.unique(np.concatenate([a[x], b[y]]))
+            sets = shingle_sets(*text_buffer(rows.column("text").combine_chunks().take(pa.array(used))))
+            sizes = np.array([len(s) for s in sets])
+            ax, by = np.searchsorted(used, a[x]), np.searchsorted(used, b[y])
+            left, right = np.unique(ax), np.unique(by)
+            both = _common(sets, left, right)[np.searchsorted(left, ax), np.searchsorted(right, by)]
+            good = (both > 0) & (den * both >= num * (sizes[ax] + sizes[by] - both))
+            x, y = a[x[good]], b[y[good]]
+        return pa.record_batch([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y]))], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "lo", "hi")])
+            first = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(first[:-1], first[1:], strict=True):
+                now = tuple(keys[:, at].tolist())
+                if held and now != last:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = now
+        if held:
+            yield links(pa.Table.from_batches(held))
+        give_back()
+
+    return run
+
+
+def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) among large(doc, n, i, part) between members of one part that are not in one component."""
+    comp = found.select(F.col("id").alias("doc"), F.col("component"))
+    own = large.join(comp, "doc", "left").select("doc", "n", "i", "part", F.coalesce("component", "doc").alias("c"))
+    each = own.groupBy("part", "c").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    parts = each.groupBy("part").agg(
+        F.max(F.struct("size", "c", "weight")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count("*").alias("comps")
+    ).where("comps > 1")
+    chunks = lambda size, weight: F.ceil(F.greatest(size / CHUNK, weight / WEIGHT))
+    parts = parts.select("part", F.col("main.c").alias("main"), chunks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("others"), chunks(F.col("main.size"), F.col("main.weight")).alias("mains"))
+    dealt = own.join(parts, "part").withColumn("open", F.col("c") != F.col("main"))
+    deal = F.xxhash64("doc", F.lit(1))
+    dealt = dealt.withColumn("chunk", F.when(F.col("open"), F.pmod(deal, "others")).otherwise(F.col("others") + F.pmod(deal, "mains")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("open"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1)))
+    rows = dealt.select("doc", "n", "c", "i", "part", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(reps.select("doc", "n", "keys"), "doc")
+    full = rows.join(texts, ["doc", "n"]).repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
+    return full.select("part", "lo", "hi", "i", "doc", "n", "c", "chunk", "keys", "text").mapInArrow(_across(threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -110,7 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     )  # at most HALF entries a side
     rows, _ = stored(
         mine.select("doc", "n", "score", F.explode("one").alias("x"), "two").select("doc", "n", "score", "x", F.explode("two").alias("y"))
-        .select("doc", "n", "score", F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("bucket")),
+        .select("doc", "n", "score", F.col("x.i").alias("i"), F.xxhash64("x.i", "x.key").alias("part"), F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("bucket")),
         "tables",
     )
     member = F.struct("doc", "n")
@@ -122,31 +217,22 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     tagged = rows.join(stats, "bucket")
     small = tagged.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(member)).alias("m"))
     small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    large = tagged.where(F.col("size") > SMALL).select(member.alias("x"), F.explode(F.array_distinct("leaders")).alias("y"))
+    # A document's buckets are brought together (at most HALF ** 2), so that what they have in common is one row.
+    led = tagged.where(F.col("size") > SMALL).groupBy("doc", "n").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
+    led = led.select(member.alias("x"), F.explode("leaders").alias("y"))
 
     def candidates(df: DataFrame) -> DataFrame:
         fits = f"x.doc <> y.doc and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
         return df.where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
-    pairs, _ = stored(candidates(small.where("x.doc < y.doc").union(large)), "pairs")
+    pairs, _ = stored(candidates(small.where("x.doc < y.doc").union(led)), "pairs")
     texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(sig) else docs
     links, _ = stored(_confirmed(pairs, texts, threshold), "links")
     found, _ = stored(components(links), "found")
 
-    big = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.array(*[lead(t) for t in range(100, 100 + MORE)]).alias("others"), F.min("doc").alias("main")).where(F.col("size") > SMALL)
-    comp = found.select(F.col("id"), F.col("component"))
-    open_rows = (
-        rows.select("doc", "n", "bucket").join(big, "bucket")
-        .join(comp.select(F.col("id").alias("doc"), F.col("component").alias("c1")), "doc", "left")
-        .join(comp.select(F.col("id").alias("main"), F.col("component").alias("c2")), "main", "left")
-        .where(F.coalesce("c1", "doc") != F.coalesce("c2", "main"))
-    )
-    # A document's buckets are brought together first (at most HALF ** 2), so that what they have in common is one
-    # candidate; one that is similar to another shares more than a few tables with it.
-    once = open_rows.groupBy("doc").agg(F.first("n").alias("n"), F.count("*").alias("tables"), F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).where(F.col("tables") >= FEW)
-    again = candidates(once.select(member.alias("x"), F.explode("others").alias("y"))).join(pairs, ["a", "b"], "left_anti")
-    again, _ = stored(again, "pairs")
-    more, _ = stored(_confirmed(again, texts, threshold), "links")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL)
+    large, _ = stored(rows.join(sizes, "bucket").select("doc", "n", "i", "part").distinct(), "large")
+    more, _ = stored(_rest(large, found, reps, texts, threshold), "links")
     if not more.isEmpty():
         found, _ = stored(components(links.union(more)), "found")
     whole = copies.select("h1", "h2", "n_shingles", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -188,3 +188,48 @@ def test_embeddings(spark):
     for r in rows[-9:]:
         assert got[r[0]] == (0, r[0], r[0] is not None)
     assert lattice.near_duplicates(df.limit(0)).collect() == []
+
+
+def templated(n, same, shared, seed):
+    """n documents of 300 words, the first `same` words alike; each tenth one shares its own words, up to `shared`, with
+    the next."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    head, rows = [word() for _ in range(same)], []
+    for i in range(n):
+        own = [word() for _ in range(300 - same)]
+        if i % 10 == 1:
+            own[: shared - same] = rows[-1][1].split()[same:shared]
+        rows.append((i, " ".join(head + own)))
+    return rows
+
+
+def sharing(rows, threshold):
+    """Components of the pairs that share a table and are similar enough."""
+    import pyarrow as pa
+
+    sig = minhash._signatures(pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"]))
+    keys = np.array(sig.column("keys").to_pylist())
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    comp, links = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            same = keys[a] == keys[b]
+            both = len(sets[a] & sets[b])
+            if same[: minhash.HALF].any() and same[minhash.HALF :].any() and threshold[1] * both >= threshold[0] * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    return comp, links
+
+
+def test_large_buckets_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 32)
+    rows = templated(300, 240, 262, 1)  # 0.66 in general, planted pairs at 0.77
+    want, links = sharing(rows, (75, 100))
+    assert links >= 28
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows).repartition(5)).collect()}
+    assert [got[i] for i, _ in rows] == want
