@@ -183,8 +183,8 @@ def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     dealt = dealt.withColumn("chunk", F.when(F.col("open"), F.pmod(deal, "others")).otherwise(F.col("others") + F.pmod(deal, "mains")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("open"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1)))
     rows = dealt.select("doc", "n", "c", "i", "part", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(reps.select("doc", "n", "keys"), "doc")
-    full = rows.join(texts, ["doc", "n"]).repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    full = rows.join(reps.select("doc", "n", "keys"), ["doc", "n"]).join(texts, "doc").repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
     return full.select("part", "lo", "hi", "i", "doc", "n", "c", "chunk", "keys", "text").mapInArrow(_across(threshold), "a long, b long")
 
 

@@ -233,3 +233,11 @@ def test_large_buckets_are_compared_in_full(spark, monkeypatch):
     assert links >= 28
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows).repartition(5)).collect()}
     assert [got[i] for i, _ in rows] == want
+
+
+def test_documents_of_few_open_tables_are_compared(spark):
+    rows = templated(300, 150, 165, 5)  # 0.33 in general, planted pairs at 0.37, which share few tables
+    want, links = sharing(rows, (36, 100))
+    assert links
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), (36, 100)).collect()}
+    assert [got[i] for i, _ in rows] == want
