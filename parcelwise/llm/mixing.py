@@ -6,7 +6,8 @@ fixed point is found by one running sum over the sources, sorted by the level at
 
 Schedule: slot k gets the point of the golden-ratio sequence, in integers, mapped through the cumulative targets to a
 source. Slots are ranked per source in two steps (counts per stretch of slots, then within a stretch), so no task
-ranks a whole source. Each source's documents, in the order of a hash of their ids, form a stream that is cut into
+ranks a whole source. A source that gets fewer slots than its blocks (its points come late) has the missing ones after
+the schedule's end. Each source's documents, in the order of a hash of their ids, form a stream that is cut into
 blocks of BLOCK words and repeated for each pass; the slot of rank r takes block r. Slots past a source's target are
 unused and its last block is cut there, so what is taken equals the target's whole words. Streams are laid out in two
 steps as well: sums per hash range, then within a range. A hot source is therefore spread over tasks.
@@ -68,7 +69,12 @@ def slots(sources: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
     counts = counts.select("sid", "stretch", start.alias("start"))
     within = F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("id")) - 1
     ranked = mine.withColumn("within", within).join(counts, ["sid", "stretch"]).withColumn("rank", F.col("start") + F.col("within"))
-    return ranked.where("rank < blocks").select("sid", "rank", F.col("id").alias("slot"))
+    had = mine.groupBy("sid").agg(F.count("*").alias("had"))
+    short = edges.join(had, "sid", "left").select("sid", "blocks", F.coalesce("had", F.lit(0)).alias("had")).where("had < blocks")
+    ahead = F.coalesce(F.sum(F.col("blocks") - F.col("had")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    short = short.withColumn("ahead", ahead).withColumn("rank", F.explode(F.sequence("had", F.col("blocks") - 1)))
+    late = short.select("sid", "rank", (F.lit(n) + F.col("ahead") + F.col("rank") - F.col("had")).alias("slot"))
+    return ranked.where("rank < blocks").select("sid", "rank", F.col("id").alias("slot")).union(late)
 
 
 def streams(sizes: DataFrame, n_docs: int) -> DataFrame:

@@ -173,6 +173,23 @@ def test_schedule_is_even(spark):
         assert abs(n - len(half) * t / sum(share.values())) < 8
 
 
+def test_small_sources_are_taken_whole(spark):
+    small = {f"s{k:03}": size for k, size in enumerate([1, 2, 3, 5, 20, 40, 64, 65, 100, 200, 300, 500, 700, 1000, 1500, 2000] * 6)}
+    rows = [(i, "hot", "w " * 5000) for i in range(600)]
+    for s, size in small.items():
+        rows += [(len(rows), s, "w " * (size - size // 2)), (len(rows) + 1, s, "w " * (size // 2))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = mixing.taken(df).collect()
+    target, taken = {}, Counter()
+    for r in got:
+        target[rows[r.doc_id][1]] = r.target
+        taken[rows[r.doc_id][1]] += r.taken
+    assert taken == {s: int(t) for s, t in target.items()}
+    _, mix = mixing.mixture(df)
+    slots = mix.select("slot", "sid").distinct()
+    assert slots.count() == slots.select("slot").distinct().count()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(0, 400, 2)]
