@@ -4,8 +4,8 @@ For each language a suffix automaton is built of a bounded sample of labelled te
 automaton into the fewest phrases that occur in the sample: each phrase is the longest match from where the last one
 ended. The language whose sample needs the fewest phrases per character wins; ties go to the language that sorts first.
 
-The sample is bounded: of each language SAMPLE_TEXTS texts (those of smallest text hash), the first SAMPLE_CHARS
-characters of each, lower-cased, every run of other characters than letters as one space; that is all that is collected, and its size doesn't depend on the corpus. Predictions
+The sample is bounded: of each language SAMPLE_TEXTS distinct texts (those of smallest text hash; texts that
+are alike in what is learned count once), the first SAMPLE_CHARS characters of each, lower-cased, every run of other characters than letters as one space; that is all that is collected, and its size doesn't depend on the corpus. Predictions
 read whole texts: texts are cut into runs of STEP characters that are parsed side by side with numpy (a phrase ends
 at a run's end, for every language alike).
 
@@ -155,10 +155,14 @@ def _predict(sample: tuple[tuple[str, str], ...], keep_text: bool):
 def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     """The bounded sample of labelled(text, lang), as (lang, text) in the order of lang: at most SAMPLE_TEXTS *
     SAMPLE_CHARS characters of each language."""
-    rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", F.regexp_replace(F.lower(F.substring("text", 1, SAMPLE_CHARS)), r"[^\p{L}]+", " ").alias("text"), F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = F.regexp_replace(F.lower(F.substring("text", 1, SAMPLE_CHARS)), r"[^\p{L}]+", " ")
+    rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", sample.alias("text"), F.xxhash64("text").alias("h")).withColumn("t", F.xxhash64(F.trim("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    once = rows.groupBy("lang", "t").agg(F.min("h").alias("h"))  # copies count once
+    best = F.broadcast(once.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).toDF("l", "t2", "h2", "rank"))  # SAMPLE_TEXTS rows a language
+    first = rows.join(best, (F.col("lang") == F.col("l")) & (F.col("t") == F.col("t2")) & (F.col("h") == F.col("h2")))
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).collect():
+    for r in first.groupBy("lang", "rank").agg(F.min("text").alias("text")).collect():
         found.setdefault(r["lang"], []).append((r["rank"], r["text"]))
     return tuple((x, "\n".join(t for _, t in sorted(found[x]))) for x in sorted(found))
 

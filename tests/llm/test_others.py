@@ -251,6 +251,18 @@ def test_language_id(spark, sf_dir):
     assert (zlib.crc32(b"6") % 4 == 2) == spark.range(6, 7).select(langid.held_out("id")).first()[0]
 
 
+def test_language_sample_holds_distinct_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[(k // 26**i) % 26] for i in range(4))
+    rows = [("xx", f"{word(k)} text") for k in range(60) for _ in range(30)] + [("xx", f"{word(k).upper()}, text!") for k in range(60)]
+    rows += [("yy", "one text")] * 40 + [("yy", "two texts"), (None, "three texts"), ("yy", "12"), ("zz", None)]
+    sample = dict(langid.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4)))
+    assert sorted(sample) == ["xx", "yy"]
+    texts = [t.strip() for t in sample["xx"].split("\n")]
+    assert len(texts) == len(set(texts)) == langid.SAMPLE_TEXTS
+    assert sorted(sample["yy"].split("\n")) == ["one text", "two texts"]
+
+
 def test_bpe(spark):
     P = pytest.importorskip("public_tokenizers")
     import tiktoken
