@@ -241,3 +241,17 @@ def test_documents_of_few_open_tables_are_compared(spark):
     assert links
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), (36, 100)).collect()}
     assert [got[i] for i, _ in rows] == want
+
+
+@pytest.mark.parametrize("dim", [2, 4, 8, 16, 32])
+def test_short_embeddings_are_found(spark, dim):
+    rng = np.random.default_rng(dim)
+    rows = []
+    for k in range(300):  # a label per pair
+        x, y = rng.normal(size=(2, dim))
+        x /= np.sqrt(x @ x)
+        y -= (x @ y) * x
+        y /= np.sqrt(y @ y)
+        rows += [(2 * k, x.tolist(), k), (2 * k + 1, (0.9801 * x + np.sqrt(1 - 0.9801**2) * y).tolist(), k)]
+    links = lattice.near_duplicate_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, links)) == [(2 * k, 2 * k + 1) for k in range(300)]
