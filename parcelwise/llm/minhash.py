@@ -19,7 +19,7 @@ the work for the rest grows with their number times the group's size, the rows t
 
 Null, empty and wordless texts have an empty set and link with nothing. Rows without doc_id link with nothing and
 keep a null component; repeated rows of one doc_id count as one document (their shingles' union is not taken: any
-row's links count). Further columns, whatever their names, are not read.
+row's links count, and its rows are in one component). Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     reps = copies.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "keys")
     half = reps.select("doc", "n", F.posexplode("keys").alias("i", "key"))
     shared = half.groupBy("i", "key").agg(F.count("*").alias("held")).where("held > 1")
-    mine = half.join(shared, ["i", "key"]).groupBy("doc").agg(
-        F.first("n").alias("n"), F.sum("held").alias("score"),
+    mine = half.join(shared, ["i", "key"]).groupBy("doc", "n").agg(
+        F.sum("held").alias("score"),
         F.collect_list(F.when(F.col("i") < HALF, F.struct("i", "key"))).alias("one"),
         F.collect_list(F.when(F.col("i") >= HALF, F.struct("i", "key"))).alias("two"),
     )  # at most HALF entries a side
@@ -226,8 +226,14 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
         return df.where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
     pairs, _ = stored(candidates(small.where("x.doc < y.doc").union(led)), "pairs")
-    texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(sig) else docs
-    links, _ = stored(_confirmed(pairs, texts, threshold), "links")
+    repeated = sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeats = not repeated.isEmpty()
+    texts = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]) if repeats else docs
+    links = _confirmed(pairs, texts, threshold)
+    if repeats:  # a document's texts hold its copies together
+        same = there.join(repeated, "doc_id").join(copies.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).where("doc_id <> rep")
+        links = links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links, _ = stored(links, "links")
     found, _ = stored(components(links), "found")
 
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL)
@@ -237,10 +243,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
         found, _ = stored(components(links.union(more)), "found")
     whole = copies.select("h1", "h2", "n_shingles", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.join(whole, ["h1", "h2", "n_shingles"], "left")
+    if repeats:  # an empty row goes with the document's others
+        out = out.join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left").withColumn("component", F.coalesce("own", "component"))
     ident = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", ident.alias("component_id"), F.coalesce(ident == F.col("doc_id"), F.lit(False)).alias("kept"))
 
-
-def _repeats(sig: DataFrame) -> bool:
-    """Whether a doc_id occurs twice; one small aggregate."""
-    return not sig.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -255,3 +255,17 @@ def test_short_embeddings_are_found(spark, dim):
         rows += [(2 * k, x.tolist(), k), (2 * k + 1, (0.9801 * x + np.sqrt(1 - 0.9801**2) * y).tolist(), k)]
     links = lattice.near_duplicate_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted(map(tuple, links)) == [(2 * k, 2 * k + 1) for k in range(300)]
+
+
+def test_rows_of_one_id_link_by_any_text(spark):
+    rng = random.Random(4)
+    text = lambda n=60: [rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        x, y = text(60 + k), text()
+        close = lambda w: " ".join([*w[:-1], "other"])
+        a, b, c = 10 * k + 1, 10 * k + 2, 10 * k + 3  # b has two texts, a is like one of them and c like the other
+        rows += [(a, close(x)), (b, " ".join(x)), (b, " ".join(y)), (b, ""), (c, close(y) if k % 2 else " ".join(y))]
+        want |= {a: a, b: a, c: a}
+    got = minhash.near_duplicates(table(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
