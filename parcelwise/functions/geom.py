@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS = 6371008.8
@@ -16,6 +16,13 @@ METRES = RADIUS * math.pi / 180
 RING = "array<struct<x:double,z:double>>"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once a row, however often later ones use them: the optimiser inlines projections,
+    but not a generator."""
+    out = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return out.withColumns({n: F.col("_once")[n] for n in columns}).drop("_once")
+
+
 def point(x: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), z.cast("double").alias("z"))
 
@@ -126,16 +133,17 @@ def clip_convex(ring: Column, sides: Column, slack: float = 0.0) -> Column:
     def cut(own: Column, side: Column) -> Column:
         a, b = side["a"], side["b"]
         value = lambda p: (b["x"] - a["x"]) * (p["z"] - a["z"]) - (b["z"] - a["z"]) * (p["x"] - a["x"])
+        valued = F.transform(own, lambda p: F.struct(p.alias("p"), value(p).alias("v")))
 
         def piece(e: Column) -> Column:
-            va, vb = value(e["a"]), value(e["b"])
-            ina, inb = va >= -slack, vb >= -slack
-            t = F.try_divide(va, va - vb)
-            mid = point(e["a"]["x"] + t * (e["b"]["x"] - e["a"]["x"]), e["a"]["z"] + t * (e["b"]["z"] - e["a"]["z"]))
-            crossed = F.when((ina != inb) & t.isNotNull(), F.array(mid)).otherwise(F.array().cast(RING))
-            return F.concat(F.when(ina, F.array(e["a"])).otherwise(F.array().cast(RING)), crossed)
+            p, q, va, vb = e["a"]["p"], e["b"]["p"], e["a"]["v"], e["b"]["v"]
+            t = va / (va - vb)
+            mid = F.array(point(p["x"] + t * (q["x"] - p["x"]), p["z"] + t * (q["z"] - p["z"])))
+            none = F.array().cast(RING)
+            crossed = F.when(va != vb, mid).otherwise(none)
+            return F.when(va >= -slack, F.when(vb >= -slack, F.array(p)).otherwise(F.concat(F.array(p), crossed))).otherwise(F.when(vb >= -slack, crossed).otherwise(none))
 
-        return F.flatten(F.transform(edges(own), piece))
+        return F.flatten(F.transform(edges(valued), piece))
 
     return F.aggregate(sides, ring.cast(RING), cut)
 
@@ -172,7 +180,7 @@ def clip_line(line: Column, extent: Column) -> Column:
 
 
 def fan(poly: Column) -> Column:
-    """Signed triangles of a polygon from the shell's first point: array<struct<p, q, r, s>>, s being 1 or -1. Their
+    """Signed triangles of a polygon from the shell's first point: array<struct<p, q, r, s, box>>, s being 1 or -1. Their
     signed indicators sum up to the polygon's, holes left out."""
     apex = poly[0][0]
 
@@ -183,7 +191,9 @@ def fan(poly: Column) -> Column:
             a, b = e["a"], e["b"]
             cross = (a["x"] - apex["x"]) * (b["z"] - apex["z"]) - (a["z"] - apex["z"]) * (b["x"] - apex["x"])
             first, second = F.when(cross >= 0, a).otherwise(b), F.when(cross >= 0, b).otherwise(a)
-            return F.struct(apex.alias("p"), first.alias("q"), second.alias("r"), (F.signum(cross) * turn).alias("s"))
+            side = lambda f, k: f(apex[k], a[k], b[k])
+            box = F.struct(side(F.least, "x").alias("minx"), side(F.greatest, "x").alias("maxx"), side(F.least, "z").alias("minz"), side(F.greatest, "z").alias("maxz"))
+            return F.struct(apex.alias("p"), first.alias("q"), second.alias("r"), (F.signum(cross) * turn).alias("s"), box.alias("box"))
 
         return F.filter(F.transform(edges(ring), tri), lambda t: t["s"] != 0)
 
@@ -196,26 +206,48 @@ def triangle_overlap(t: Column, u: Column) -> Column:
     return t["s"] * u["s"] * area(clip_convex(ring, edges(F.array(u["p"], u["q"], u["r"])), 1e-8))
 
 
+def fan_overlap(a: Column, b: Column) -> Column:
+    """The area that the polygons of two fans have in common, holes respected: the sum over pairs of triangles whose boxes
+    meet. The fans should be columns of their own (see once)."""
+    near = lambda t: F.filter(b, lambda u: boxes_meet(t["box"], u["box"]))
+    return F.greatest(F.lit(0.0), _total(F.flatten(F.transform(a, lambda t: F.transform(near(t), lambda u: triangle_overlap(t, u))))))
+
+
 def overlap_area(a: Column, b: Column) -> Column:
-    """The area that two polygons have in common, holes respected: the sum over pairs of signed fan triangles."""
-    return F.greatest(F.lit(0.0), _total(F.flatten(F.transform(fan(a), lambda t: F.transform(fan(b), lambda u: triangle_overlap(t, u))))))
+    """The area that two polygons have in common."""
+    return fan_overlap(fan(a), fan(b))
 
 
 def roof_axis(ring: Column) -> Column:
     """struct<ux, uz, min, max, area>: the smallest enclosing rectangle over the directions of edges of a metre or
-    more (the first of equal ones), the axis along its narrow side. Null without such an edge."""
+    more (the first of equal ones), the axis along its narrow side. Null without such an edge. Each step's arrays are
+    computed once, as the next step's elements."""
 
-    def box(e: Column, i: Column) -> Column:
+    def direction(e: Column, i: Column) -> Column:
         dx, dz = e["b"]["x"] - e["a"]["x"], e["b"]["z"] - e["a"]["z"]
-        n = F.hypot(dx, dz)
-        ux, uz = F.try_divide(dx, n), F.try_divide(dz, n)
-        along, across = F.transform(ring, lambda p: p["x"] * ux + p["z"] * uz), F.transform(ring, lambda p: p["z"] * ux - p["x"] * uz)
-        w, h = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
-        pick = lambda x, y: F.when(w < h, x).otherwise(y)
-        return F.when(n >= 1, F.struct((w * h).alias("area"), i.alias("i"), pick(ux, -uz).alias("ux"), pick(uz, ux).alias("uz"), pick(F.array_min(along), F.array_min(across)).alias("min"), pick(F.array_max(along), F.array_max(across)).alias("max")))
-
-    best = F.array_min(F.array_compact(F.transform(path_edges(ring), box)))
-    return F.when(best.isNotNull(), F.struct(best["ux"].alias("ux"), best["uz"].alias("uz"), best["min"].alias("min"), best["max"].alias("max"), best["area"].alias("area")))
+        return F.struct(dx.alias("dx"), dz.alias("dz"), F.hypot(dx, dz).alias("n"), i.alias("i"))
+
+    def spread(d: Column) -> Column:
+        along = F.transform(ring, lambda p: p["x"] * d["ux"] + p["z"] * d["uz"])
+        across = F.transform(ring, lambda p: p["z"] * d["ux"] - p["x"] * d["uz"])
+        return F.struct(d.alias("d"), along.alias("along"), across.alias("across"))
+
+    def box(s: Column) -> Column:
+        return F.struct(s["d"].alias("d"), F.array_min(s["along"]).alias("a0"), F.array_max(s["along"]).alias("a1"), F.array_min(s["across"]).alias("c0"), F.array_max(s["across"]).alias("c1"))
+
+    def sized(b: Column) -> Column:
+        w, h = b["a1"] - b["a0"], b["c1"] - b["c0"]
+        return F.struct((w * h).alias("area"), b["d"]["i"].alias("i"), w.alias("w"), h.alias("h"), b.alias("b"))
+
+    def axis(s: Column) -> Column:
+        b, d = s["b"], s["b"]["d"]
+        pick = lambda x, y: F.when(s["w"] < s["h"], x).otherwise(y)
+        return F.struct(pick(d["ux"], -d["uz"]).alias("ux"), pick(d["uz"], d["ux"]).alias("uz"), pick(b["a0"], b["c0"]).alias("min"), pick(b["a1"], b["c1"]).alias("max"), s["area"].alias("area"))
+
+    long = F.filter(F.transform(path_edges(ring), direction), lambda d: d["n"] >= 1)
+    units = F.transform(long, lambda d: F.struct((d["dx"] / d["n"]).alias("ux"), (d["dz"] / d["n"]).alias("uz"), d["i"].alias("i")))
+    best = F.array_min(F.transform(F.transform(F.transform(units, spread), box), sized))
+    return F.get(F.transform(F.array_compact(F.array(best)), axis), F.lit(0))
 
 
 def longest_edge_angle(ring: Column) -> Column:

@@ -17,10 +17,16 @@ ROOF_CODES = {"1": "tile", "2": "slate", "3": "metal", "4": "concrete"}
 def scored(a: DataFrame, b: DataFrame, overlap: Column) -> DataFrame:
     """Pairs of a(a_id, a_box, a_area, ...) and b(b_id, b_box, b_area, ...) with overlap, coverage and iou; overlap:
     a column over both."""
-    pairs = spatial.grid_join(a, b, "a_box", "b_box").withColumn("overlap", overlap)
+    pairs = geom.once(spatial.grid_join(a, b, "a_box", "b_box"), overlap=overlap)
     return pairs.withColumn("coverage", F.col("overlap") / F.col("a_area")).withColumn("iou", F.col("overlap") / (F.col("a_area") + F.col("b_area") - F.col("overlap")))
 
 
+def scored_polygons(a: DataFrame, b: DataFrame) -> DataFrame:
+    """scored() of polygons a_poly and b_poly: each footprint is cut into its fan once, before it meets its candidates."""
+    a, b = geom.once(a, a_fan=geom.fan(F.col("a_poly"))), geom.once(b, b_fan=geom.fan(F.col("b_poly")))
+    return scored(a, b, geom.fan_overlap(F.col("a_fan"), F.col("b_fan"))).drop("a_fan", "b_fan")
+
+
 def best_matches(a: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a_id, status, b_id, iou, coverage, runner_up) per row of a: unmatched without a good enough best candidate, else
     ambiguous if the second comes too near, else matched."""
@@ -39,10 +45,6 @@ def rectangle_overlap(a: Column, b: Column) -> Column:
     return side("minx", "maxx") * side("minz", "maxz")
 
 
-def polygon_overlap(a: str = "a_poly", b: str = "b_poly") -> Column:
-    return geom.overlap_area(F.col(a), F.col(b))
-
-
 def wall_height(height: Column, accuracy: Column) -> Column:
     """The height if it is plausible and accurate enough."""
     acc = F.coalesce(accuracy.cast("string").try_cast("double"), F.lit(0.0))

@@ -23,14 +23,19 @@ PUBLIC_AMENITY = ("school", "townhall", "community_centre", "fire_station")
 BULK = ("industrial", "agricultural", "commercial", "large")
 NO_USAGE = "Indifférencié"
 STOREY = 2.65
+# Limits of roofs and walls, in metres or shares of the span.
+ROOF_HIGHEST, SPAN_LEAST, SPAN_SHARE, STOREY_LEAST = 9.0, 1.2, {"bulk": 0.5, "other": 0.85}, 3.2
+RISE = {"bulk": 0.12, "small": 0.25, "other": 0.34}
+ROOF_LEAST, ROOF_MOST = 0.65, {"bulk": 3.0, "other": 3.8}
+WALL_LEAST, USUAL_HEIGHT = {"tag": 0.5, "floors": 2.5}, 4.4
 
 
 def plausible_roof(height: Column, span: Column, n_floors: Column, wall: Column, bulk: Column) -> Column:
     """A roof's height within the bounds that width, floors and wall set; null or 0 floors and wall set none."""
-    wide = F.greatest(F.lit(1.2), span * F.when(bulk, 0.5).otherwise(0.85))
-    storeys = F.when(n_floors > 0, F.greatest(F.lit(3.2), n_floors * STOREY + 1))
-    walls = F.when(wall > 0, F.greatest(F.lit(3.2), wall + 1))
-    return F.least(height, F.lit(9.0), wide, storeys, walls)
+    wide = F.greatest(F.lit(SPAN_LEAST), span * F.when(bulk, SPAN_SHARE["bulk"]).otherwise(SPAN_SHARE["other"]))
+    storeys = F.when(n_floors > 0, F.greatest(F.lit(STOREY_LEAST), n_floors * STOREY + 1))
+    walls = F.when(wall > 0, F.greatest(F.lit(STOREY_LEAST), wall + 1))
+    return F.least(height, F.lit(ROOF_HIGHEST), wide, storeys, walls)
 
 
 def building_kind(tags: Column, usage: Column, nature: Column, has_landmark: Column, size: Column) -> Column:
@@ -45,35 +50,36 @@ def building_profiles(df: DataFrame) -> DataFrame:
     """Profiles of df(id, tags map, ring, wall_height, roof_height, floors, roof_materials, wall_code, usage, nature,
     has_landmark); buildings without an axis go."""
     tag = lambda k: F.col("tags")[k]
-    out = df.withColumn("size", geom.area(F.col("ring"))).withColumn("axis", geom.roof_axis(F.col("ring"))).where("axis is not null")
-    out = out.withColumn("kind", building_kind(F.col("tags"), F.col("usage"), F.col("nature"), F.coalesce("has_landmark", F.lit(False)), F.col("size")))
-    out = out.withColumn("bulk", F.col("kind").isin(*BULK)).withColumn("mats", F.coalesce("roof_materials", F.array().cast("array<string>")))
+    # Each step's columns are evaluated once; the next ones use them by name.
+    out = geom.once(
+        df, size=geom.area(F.col("ring")), axis=geom.roof_axis(F.col("ring")), bearing=jsem.parse_float(tag("roof:direction")), tag_floors=jsem.positive(tag("building:levels")), tag_roof=jsem.positive(tag("roof:height")),
+        tag_height=jsem.positive(tag("height")), shape_tag=jsem.text_or_null(tag("roof:shape")), own_roof=F.nullif(F.col("roof_height"), F.lit(0.0)), own_wall=F.nullif(F.col("wall_height"), F.lit(0.0)),
+        mats=F.coalesce("roof_materials", F.array().cast("array<string>")),
+    ).where("axis is not null")
     one = F.size("mats") == 1
+    angle = F.col("bearing") * (math.pi / 180)
+    turned = geom.once(out, turned=F.transform("ring", lambda p: p["x"] * F.sin(angle) - p["z"] * F.cos(angle)))
+    out = geom.once(
+        turned, kind=building_kind(F.col("tags"), F.col("usage"), F.col("nature"), F.coalesce("has_landmark", F.lit(False)), F.col("size")),
+        span=F.when(F.col("bearing").isNotNull(), F.array_max("turned") - F.array_min("turned")).otherwise(F.col("axis.max") - F.col("axis.min")),
+        n_floors=F.coalesce("tag_floors", F.nullif(F.col("floors"), F.lit(0)).cast("double")),
+    )
+    flat = F.coalesce(F.col("shape_tag") == "flat", F.lit(False)) | (F.col("kind") == "canopy") | (F.col("shape_tag").isNull() & one & (F.col("mats")[0] == "concrete") & F.col("own_roof").isNull())
+    out = geom.once(out, bulk=F.col("kind").isin(*BULK), roof_shape=F.when(flat, "flat").otherwise("gabled"))
     material = F.coalesce(jsem.lookup(tag("roof:material"), ROOF_TAG), F.when(one, F.col("mats")[0]), F.when(F.col("bulk"), "metal").when(F.col("kind") == "church", "slate").otherwise("tile"))
-    out = out.withColumn("roof_material", material).withColumn("n_floors", F.coalesce(jsem.positive(tag("building:levels")), F.nullif(F.col("floors"), F.lit(0)).cast("double")))
-    out = out.withColumn("tag_roof", jsem.positive(tag("roof:height"))).withColumn("own_roof", F.nullif(F.col("roof_height"), F.lit(0.0))).withColumn("own_wall", F.nullif(F.col("wall_height"), F.lit(0.0)))
-    shape_tag = jsem.text_or_null(tag("roof:shape"))
-    flat = F.coalesce(shape_tag == "flat", F.lit(False)) | (F.col("kind") == "canopy") | (shape_tag.isNull() & one & (F.col("mats")[0] == "concrete") & F.col("own_roof").isNull())
-    out = out.withColumn("roof_shape", F.when(flat, "flat").otherwise("gabled"))
-    bearing = jsem.parse_float(tag("roof:direction"))
-    out = out.withColumn("bearing", bearing)
-    turned = F.transform("ring", lambda p: p["x"] * F.sin(F.col("bearing") * (math.pi / 180)) - p["z"] * F.cos(F.col("bearing") * (math.pi / 180)))
-    span = F.when(F.col("bearing").isNotNull(), F.array_max(turned) - F.array_min(turned)).otherwise(F.col("axis.max") - F.col("axis.min"))
-    out = out.withColumn("span", span)
-    share = F.when(F.col("bulk"), 0.12).when(F.col("kind").isin("annex", "garage"), 0.25).otherwise(0.34)
-    guess = F.least(F.when(F.col("bulk"), 3.0).otherwise(3.8), F.greatest(F.lit(0.65), F.col("span") * share))
-    out = out.withColumn("source_roof", F.when(F.col("roof_shape") == "flat", 0.0).otherwise(F.coalesce("tag_roof", "own_roof", guess)))
+    share = F.when(F.col("bulk"), RISE["bulk"]).when(F.col("kind").isin("annex", "garage"), RISE["small"]).otherwise(RISE["other"])
+    guess = F.least(F.when(F.col("bulk"), ROOF_MOST["bulk"]).otherwise(ROOF_MOST["other"]), F.greatest(F.lit(ROOF_LEAST), F.col("span") * share))
+    out = geom.once(out, roof_material=material, source_roof=F.when(F.col("roof_shape") == "flat", 0.0).otherwise(F.coalesce("tag_roof", "own_roof", guess)))
     limited = plausible_roof(F.col("source_roof"), F.col("span"), F.col("n_floors"), F.col("own_wall"), F.col("bulk"))
-    out = out.withColumn("roof", F.when(F.col("tag_roof").isNull() & F.col("own_roof").isNotNull(), limited).otherwise(F.col("source_roof")))
-    tag_height = jsem.positive(tag("height"))
-    by_floors = F.greatest(F.lit(2.5), F.col("n_floors") * STOREY)
-    known = F.coalesce(F.greatest(F.lit(0.5), tag_height - F.col("roof")) * F.when(tag_height.isNotNull(), 1.0), F.col("own_wall"))
-    wall = F.coalesce(known, by_floors * F.when(F.col("n_floors").isNotNull(), 1.0), jsem.lookup("kind", KIND_HEIGHT), F.lit(4.4))
-    source = F.when(tag_height.isNotNull(), "OSM").when(F.col("own_wall").isNotNull(), "IGN BD TOPO").when(F.col("n_floors").isNotNull(), "estimated from floors").otherwise("estimated")
-    out = out.withColumn("wall", wall).withColumn("wall_source", source)
-    windows = F.least(F.lit(6.0), F.greatest(F.lit(1), F.floor((F.col("wall") - 0.2) / 2.2)), F.coalesce("n_floors", F.greatest(F.lit(1), F.floor(F.col("wall") / STOREY))))
+    out = geom.once(out, roof=F.when(F.col("tag_roof").isNull() & F.col("own_roof").isNotNull(), limited).otherwise(F.col("source_roof")))
+    by_floors = F.greatest(F.lit(WALL_LEAST["floors"]), F.col("n_floors") * STOREY)
+    known = F.coalesce(F.greatest(F.lit(WALL_LEAST["tag"]), F.col("tag_height") - F.col("roof")) * F.when(F.col("tag_height").isNotNull(), 1.0), F.col("own_wall"))
+    wall = F.coalesce(known, by_floors * F.when(F.col("n_floors").isNotNull(), 1.0), jsem.lookup("kind", KIND_HEIGHT), F.lit(USUAL_HEIGHT))
+    source = F.when(F.col("tag_height").isNotNull(), "OSM").when(F.col("own_wall").isNotNull(), "IGN BD TOPO").when(F.col("n_floors").isNotNull(), "estimated from floors").otherwise("estimated")
     codes = F.array_distinct(F.filter(F.split(F.regexp_replace(F.coalesce("wall_code", F.lit("")), "[09]", ""), ""), lambda c: c != ""))
-    colour = F.coalesce(F.when(F.size(codes) == 1, jsem.lookup(codes[0], WALL_COLOUR)), F.when(F.col("bulk"), "#c7c8bd").when(F.col("kind") == "public", "#eadcc0").otherwise("#eadcc5"))
+    out = geom.once(out, wall=wall, wall_source=source, codes=codes)
+    windows = F.least(F.lit(6.0), F.greatest(F.lit(1), F.floor((F.col("wall") - 0.2) / 2.2)), F.coalesce("n_floors", F.greatest(F.lit(1), F.floor(F.col("wall") / STOREY))))
+    colour = F.coalesce(F.when(F.size("codes") == 1, jsem.lookup(F.col("codes")[0], WALL_COLOUR)), F.when(F.col("bulk"), "#c7c8bd").when(F.col("kind") == "public", "#eadcc0").otherwise("#eadcc5"))
     return out.select(
         "id", "kind", "bulk", "size", F.col("wall").alias("wall_height"), F.col("roof").alias("roof_height"), F.col("source_roof").alias("source_roof_height"), (F.col("roof") < F.col("source_roof") - 0.001).alias("roof_clamped"),
         "roof_shape", "roof_material", F.coalesce(jsem.lookup("roof_material", ROOF_COLOUR), F.lit(ROOF_COLOUR["tile"])).alias("roof_colour"), colour.alias("wall_colour"), windows.alias("window_floors"),

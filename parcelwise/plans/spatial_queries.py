@@ -67,7 +67,7 @@ def bbox_join(spark, sf_dir):
 @query(f"{fx.sql('a', 'b')}, p AS (SELECT a_id, b_id, {_OVER} AS o, (a.x1 - a.x0) * (a.z1 - a.z0) AS s, (b.x1 - b.x0) * (b.z1 - b.z0) AS t FROM a JOIN b ON {_META}) SELECT a_id, b_id, round(o, 6) AS overlap, round(o / s, 6) AS coverage, round(o / (s + t - o), 6) AS iou FROM p")
 def overlap_iou(spark, sf_dir):
     a, b = fx.footprints(spark, sf_dir, polygons=True)
-    out = match.scored(a, b, match.polygon_overlap())
+    out = match.scored_polygons(a, b)
     return out.select("a_id", "b_id", *[F.round(c, 6).alias(c) for c in ("overlap", "coverage", "iou")])
 
 
