@@ -28,7 +28,30 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _BYTE[_SPACE] = 0
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_kept: dict = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """What a Python worker makes once and uses again, for one operator at a time: workers live on through a job of many
+    operators, and one that goes on to another operator gives back what the last one left."""
+    if _kept.get("owner") != owner:
+        _kept.clear()
+        give_back()
+        _kept["owner"] = owner
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that are sent to Python workers, as several workers share an executor's memory. A session that
+    has set the limits itself keeps them."""
+    for name, own in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(own))
+
 
 
 def pick(df: DataFrame, *names: str, cast: dict[str, str] | None = None) -> DataFrame:
@@ -74,11 +97,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, p, np.uint64)])) for p in (_P, _P_INV))
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, PIECE)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, p, np.uint64)])) for p in (_P, _P_INV)]
-    return _powers[0], _powers[1]
+    """Powers up to n; those of a longer word than PIECE are not kept."""
+    return kept("words", PIECE, lambda: _powers(PIECE)) if n <= PIECE else _powers(n)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
