@@ -24,24 +24,19 @@ import base64
 import hashlib
 import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import PIECE, give_back, pick, slices
+from parcelwise.llm.common import PIECE, give_back, kept, pick, slices, small_batches
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK = 6 << 20
-_cache: dict = {}
-
-
-def _once(key, make):
-    if key not in _cache:
-        _cache[key] = make()
-    return _cache[key]
+#: Words whose ids a task remembers at once; a word that comes again later is encoded again.
+REMEMBERED = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,7 +82,17 @@ def _key(ids: list, texts: list[str]) -> int:
 def _split(pattern: str):
     import regex
 
-    return _once(("pattern", pattern), lambda: regex.compile(pattern)).findall
+    return kept("bpe", ("pattern", pattern), lambda: regex.compile(pattern))
+
+
+def _cut(pattern, text: str) -> Iterator[list[str]]:
+    """A text's matches, in lists of bounded size."""
+    if len(text) <= PIECE:
+        yield pattern.findall(text)
+        return
+    found = (m.group() for m in pattern.finditer(text))
+    while some := list(itertools.islice(found, PIECE >> 2)):
+        yield some
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -121,7 +126,8 @@ def _distinct(pattern: str, buckets: int):
         for ids, texts in _blocks(batches):
             words = {}
             for x in texts:
-                words.update(dict.fromkeys(cut(x)))
+                for some in _cut(cut, x):
+                    words.update(dict.fromkeys(some))
             words = [x.encode() for x in words]
             key = _key(ids, texts)
             del texts
@@ -146,9 +152,10 @@ def _positions(pattern: str):
         for ids, texts in _blocks(batches):
             number, lens, parts = _Words(), [], []
             for x in texts:
-                got = list(map(number.__getitem__, cut(x)))
-                lens.append(len(got))
-                parts.append(np.array(got, np.int32))
+                lens.append(0)
+                for some in _cut(cut, x):
+                    parts.append(np.fromiter(map(number.__getitem__, some), np.int32, len(some)))
+                    lens[-1] += len(some)
             flat = np.concatenate(parts)
             planes = press(_planes(flat))
             yield pa.record_batch([pa.array([_key(ids, texts)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([len(number)], pa.int32()), pa.array([planes], pa.binary())], names=["block", "doc_ids", "lens", "n_distinct", "positions"])
@@ -160,12 +167,12 @@ def _encode_words(path: str, pattern: str):
     def run(batches):
         import tiktoken
 
-        enc = _once(("enc", path, pattern), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}))
+        enc = kept("bpe", ("enc", path, pattern), lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}))
         last, known = None, {}
         for batch in batches:
             out = []
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
-                if bucket != last:
+                if bucket != last or len(known) > REMEMBERED:
                     last, known = bucket, {}
                 number, lens, data = _unpack(blob.as_py())
                 got, at = [], 0
@@ -191,18 +198,18 @@ def _expand(flat: np.ndarray, offs: np.ndarray, pick: np.ndarray) -> tuple[np.nd
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, n)], ends
 
 
-def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+def _joined(left: pa.Table, right: pa.Table) -> Iterator[tuple[list, pa.ListArray]]:
+    """A block's documents, in parts of bounded size: ids of the documents, and each one's token ids. left: the block's
+    positions; right: ids of its distinct words."""
     import zstandard
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     if not left.num_rows:
         raise RuntimeError("documents changed between two reads: words of an unknown block")
-    parts = [_unpack(x) for x in right.column("ids").to_pylist()] or [(np.zeros(0, np.int64), np.zeros(0, np.int32), b"")]
+    parts = [_unpack(x.as_py()) for x in right.column("ids")] or [(np.zeros(0, np.int64), np.zeros(0, np.int32), b"")]
     number, lens = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
     flat, offs = np.concatenate([_unplanes(x[2]) for x in parts]), np.concatenate([[0], np.cumsum(lens)])
     del parts
     distinct, order = np.unique(number, return_index=True)  # equal blocks send equal words
-    docs, ids = [], []
     for row in left.to_pylist():
         if len(distinct) != row["n_distinct"]:
             raise RuntimeError("documents changed between two reads: a block's words don't match its texts")
@@ -211,25 +218,40 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         at = _unplanes(raw)
         ends = np.cumsum(row["lens"])
         k = 0
-        while k < len(ends):  # parts of bounded size
+        while k < len(ends):
             base = int(ends[k - 1]) if k else 0
             last = max(k + 1, int(np.searchsorted(ends, base + PIECE, "right")))
             got, till = _expand(flat, offs, order[at[base : int(ends[last - 1])]])
             till = np.concatenate([[0], till])[np.concatenate([[0], ends[k:last] - base])].astype(np.int32)
-            ids.append(pa.ListArray.from_arrays(pa.array(till), pa.array(got)))
-            docs += row["doc_ids"][k:last]
+            yield row["doc_ids"][k:last], pa.ListArray.from_arrays(pa.array(till), pa.array(got))
             k = last
-    return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.chunked_array(ids, pa.list_(pa.int32()))], schema=schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>) for each row of docs(doc_id, text)."""
+def _reassemble(finish: Callable[[pa.Array, pa.ListArray], pa.RecordBatch], schema: pa.Schema):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [finish(pa.array(ids, pa.int64()), coded) for ids, coded in _joined(left, right)]
+        give_back()
+        return pa.Table.from_batches(out, schema)
+
+    return run
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, finish, schema: pa.Schema, kinds: str) -> DataFrame:
+    """What finish makes of each block's documents and ids."""
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    small_batches(docs.sparkSession)
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = docs.mapInArrow(_distinct(pattern, buckets), "block long, bucket int, words binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path, pattern), "block long, ids binary")
     places = docs.mapInArrow(_positions(pattern), "block long, doc_ids array<long>, lens array<int>, n_distinct int, positions binary")
-    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble(finish, schema), kinds)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids array<int>) for each row of docs(doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    finish = lambda ids, coded: pa.record_batch([ids, coded], schema=schema)
+    return _encoded(docs, ranks_path, pattern, finish, schema, "doc_id long, ids array<int>")
 
 
 def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -260,25 +282,31 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, bytes binary) for each row of coded(doc_id, ids)."""
 
     def run(batches):
-        table = _once(("bytes", ranks_path), lambda: _byte_table(ranks_path))
+        table = kept("bpe", ("bytes", ranks_path), lambda: _byte_table(ranks_path))
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array([_bytes_of(x, table) for x in _lists(batch.column("ids"))], pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
-def digests(coded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of coded(doc_id, ids): decodes as decode() does, and keeps only
-    digests of the decimal ids and the decoded bytes."""
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def _digest(ranks_path: str):
+    def finish(docs: pa.Array, coded: pa.ListArray) -> pa.RecordBatch:
+        table = kept("bpe", ("bytes", ranks_path), lambda: _byte_table(ranks_path))
+        decimals = kept("bpe", ("decimals", ranks_path), lambda: _decimals(len(table[1])))
+        ids, text = [], []
+        for x in _lists(coded):
+            text.append(hashlib.sha256(_bytes_of(x, table)).hexdigest())
+            ids.append(hashlib.sha256(_bytes_of(x, decimals)[:-1]).hexdigest())
+        return pa.record_batch([docs, coded.value_lengths().cast(pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], schema=_DIGESTS)
+
+    return finish
 
-    def run(batches):
-        table = _once(("bytes", ranks_path), lambda: _byte_table(ranks_path))
-        decimals = _once(("decimals", ranks_path), lambda: _decimals(len(table[1])))
-        for batch in batches:
-            ids, text = [], []
-            for x in _lists(batch.column("ids")):
-                text.append(hashlib.sha256(_bytes_of(x, table)).hexdigest())
-                ids.append(hashlib.sha256(_bytes_of(x, decimals)[:-1]).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs(doc_id, text): encodes as encode() does and
+    decodes the ids as decode() does, where a block's ids come together, and keeps only digests of the decimal ids and
+    the decoded bytes. One Python worker a task instead of two in a chain."""
+    return _encoded(docs, ranks_path, pattern, _digest(ranks_path), _DIGESTS, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
