@@ -58,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -75,19 +75,28 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
 def _license_sql() -> str:
-    """A list of word places per phrase, by comparison at every word."""
-    phrases = licenses._phrases()
-    lists = ",\n    ".join(f"CASE WHEN list_has_all(ws, {list(p)!r}) THEN list_filter(range(1, len(ws) - {len(p) - 2}), lambda i: ws[i:i+{len(p) - 1}] = {list(p)!r}) ELSE [] END AS p{k}" for k, p in enumerate(phrases))
-    at = {p: f"p{k}" for k, p in enumerate(phrases)}
-    place = lambda text: at[tuple(text.split())]
-    base = " || ".join(place(t[0]) for t, _ in licenses.BASE)
-    given = lambda ts: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'len({place(p)}) > 0' for p in t)} THEN '{label}' END" for t, label in ts) + "], lambda x: x IS NOT NULL))), ',')"
-    share = ", ".join("(" + " + ".join(f"CASE WHEN len({place(p)}) > 0 THEN 1.0::DOUBLE ELSE 0 END" for p in t) + f") / {len(t)}" for t, _ in licenses.BASE + licenses.MORE)
+    """Phrases by comparison at every word; the index words by a ranking, and votes by a join."""
+    ts, ps = licenses.templates(), licenses.phrases()
+    base = [ps.index(t.phrases[0]) for t in ts[: len(licenses.BASE)]]
+    lists = ", ".join(f"CASE WHEN list_has_all(ws, {list(p)!r}) THEN list_filter(range(1, len(ws) - {len(p) - 2}), lambda i: ws[i:i+{len(p) - 1}] = {list(p)!r}) ELSE [] END AS p{k}" for k, p in enumerate(ps))
+    given = lambda some: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'len(p{ps.index(p)}) > 0' for p in t.phrases)} THEN '{t.label}' END" for t in some) + "], lambda x: x IS NOT NULL))), ',')"
+    at = " || ".join(f"p{k}" for k in base)
+    words = ", ".join(f"({k}, {o}, '{w}')" for k, t in enumerate(ts) for o, w in enumerate(t.words))
+    parts = ", ".join(f"({k}, {ps.index(p)}, '{w}')" for k, t in enumerate(ts) for p in t.phrases for w in p)
     return f"""
-WITH w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
-p AS (SELECT doc_id, ws, {lists} FROM w)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len({base}) AS BIGINT) AS n_base, list_min({base}) - 1 AS first_word, list_max({base}) - 1 AS last_word,
-    {given(licenses.BASE)} AS base_labels, {given(licenses.BASE + licenses.MORE)} AS labels, greatest({share}) AS score FROM p"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
+tw(t, o, word) AS (VALUES {words}), pw(t, p, word) AS (VALUES {parts}),
+v AS (SELECT word FROM tw UNION SELECT word FROM pw),
+h AS (SELECT r, i - 1 AS i, ws[i] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN (SELECT word FROM v)),
+f AS (SELECT word, count(DISTINCT r) AS n FROM v LEFT JOIN h USING (word) GROUP BY 1),
+known AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY n, word) AS rn FROM (SELECT DISTINCT t, word FROM tw) JOIN f USING (word)) WHERE rn <= {licenses.RARE}
+    UNION SELECT t, word FROM (SELECT t, p, word, row_number() OVER (PARTITION BY t, p ORDER BY n, word) AS rn FROM (SELECT DISTINCT t, p, word FROM pw) JOIN f USING (word)) WHERE rn <= {licenses.ANCHORS}),
+post AS (SELECT t, o, word, count(*) OVER (PARTITION BY t) AS size FROM tw JOIN known USING (t, word)),
+votes AS (SELECT r, t, i - o AS s, count(*) / max(size)::DOUBLE AS share FROM h JOIN post USING (word) GROUP BY 1, 2, 3),
+best AS (SELECT r, max(share) AS share FROM votes GROUP BY 1),
+p AS (SELECT r, doc_id, ws, {lists} FROM w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len({at}) AS BIGINT) AS n_base, list_min({at}) - 1 AS first_word, list_max({at}) - 1 AS last_word,
+    {given(ts[: len(licenses.BASE)])} AS base_labels, {given(ts)} AS labels, coalesce(share, 0) AS score FROM p LEFT JOIN best USING (r)"""
 
 
 _ORACLE = {
@@ -96,15 +105,14 @@ WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(
 f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= {warc.LEAST} GROUP BY 1)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN m < page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
+    # A plain extendible hash: all rows begin in one bucket; those of oversized buckets go on to the next depth.
     "op3_extendible_sharding": f"""
-WITH t AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
-b AS (SELECT CASE WHEN sum(n) > {sharding.LIMIT} THEN CAST(floor(log2(sum(n) / {sharding.LIMIT})) AS INTEGER) ELSE 0 END AS s FROM t),
-d AS (SELECT s + k AS depth FROM b, range(0, 24) r(k)),
-x AS (SELECT t.*, depth, h >> ({sharding.BITS} - depth) AS prefix FROM t, d),
-z AS (SELECT depth, prefix, sum(n) AS bytes, min(h) = max(h) AS one FROM x GROUP BY 1, 2),
-l AS (SELECT x.doc_id, x.h, x.n, min(x.depth) AS depth FROM x JOIN z USING (depth, prefix) WHERE bytes <= {sharding.LIMIT} OR one GROUP BY 1, 2, 3)
-SELECT l.doc_id, l.n AS n_bytes, CAST(l.depth AS INTEGER) AS depth, z.prefix, CAST(0 AS BIGINT) AS page, CAST(z.bytes AS BIGINT) AS shard_bytes
-FROM l JOIN z ON z.depth = l.depth AND z.prefix = l.h >> ({sharding.BITS} - l.depth)""",
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n FROM documents),
+b AS (SELECT r, doc_id, h, n, 0 AS depth, sum(n) OVER () AS bytes, min(h) OVER () <> max(h) OVER () AS several FROM t
+    UNION ALL SELECT r, doc_id, h, n, depth + 1, sum(n) OVER w, min(h) OVER w <> max(h) OVER w FROM b WHERE bytes > {sharding.LIMIT} AND several AND depth < {sharding.BITS}
+    WINDOW w AS (PARTITION BY h >> ({sharding.BITS} - 1 - depth)))
+SELECT doc_id, n AS n_bytes, CAST(depth AS INTEGER) AS depth, h >> ({sharding.BITS} - depth) AS prefix, CAST(0 AS BIGINT) AS page, CAST(bytes AS BIGINT) AS shard_bytes
+FROM b WHERE NOT (bytes > {sharding.LIMIT} AND several)""",
     "op4_license_scan": _license_sql(),
     "op5_source_mixing": f"""
 WITH t AS (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(coalesce(len({_WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents),
@@ -113,11 +121,20 @@ w AS (SELECT *, CAST([3, 1, 2][(sid - 1) % 3 + 1] AS DOUBLE) AS w, CAST(2 * sour
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, sid) AS rn,
     (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM w),
 f AS (SELECT min(rn) AS rn, min_by(own, rn) AS level FROM o WHERE own <= cap / w),
-g AS (SELECT o.source, o.source_size, CASE WHEN f.rn IS NULL OR o.rn < f.rn THEN cap ELSE least(cap, f.level * w) END AS target FROM o, f),
-p AS (SELECT t.doc_id, t.size, g.source_size, g.target, floor(g.target) AS upto,
-    coalesce(sum(t.size) OVER (PARTITION BY t.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, upto) - start) + greatest(0, least(source_size + start + size, upto) - source_size - start) AS BIGINT) AS taken FROM p""",
+g AS (SELECT o.sid, o.source, o.source_size, CASE WHEN f.rn IS NULL OR o.rn < f.rn THEN cap ELSE least(cap, f.level * w) END AS target FROM o, f),
+p AS (SELECT t.doc_id, t.size, g.sid, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS upto,
+    CAST(coalesce(sum(t.size) OVER (PARTITION BY t.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT sid, CAST(floor(target) AS BIGINT) AS words, CAST(sum(CAST(floor(target) AS BIGINT)) OVER (ORDER BY sid) AS BIGINT) AS upto, CAST(sum(CAST(floor(target) AS BIGINT)) OVER () AS BIGINT) AS everything FROM g WHERE floor(target) > 0),
+n AS (SELECT k + k // 64 + 64 * (1 + CAST(ceil(log2(k + 1)) AS BIGINT)) AS n FROM (SELECT (max(everything) + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS k FROM e)),
+u AS (SELECT id, CAST(id % 2147483648 * {mixing.GOLDEN} % 4294967296 AS DOUBLE) / 4294967296 AS u FROM n, range(0, n.n) r(id)),
+c AS (SELECT sid, id, row_number() OVER (PARTITION BY sid ORDER BY id) - 1 AS rank, (words + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks FROM u JOIN e
+    ON u >= CAST(upto - words AS DOUBLE) / everything AND (u < CAST(upto AS DOUBLE) / everything OR upto = everything)),
+had AS (SELECT sid, (words + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks, (SELECT count(*) FROM c WHERE c.sid = e.sid) AS had FROM e),
+late AS (SELECT sid, blocks, had, coalesce(sum(blocks - had) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM had WHERE had < blocks),
+sl AS (SELECT sid, rank, id AS slot FROM c WHERE rank < blocks UNION ALL SELECT sid, rank, CAST(n.n + ahead + rank - had AS BIGINT) FROM n, late, range(had, blocks) r(rank)),
+q AS (SELECT *, CAST(greatest(0, least(start + size, upto) - start) + greatest(0, least(source_size + start + size, upto) - source_size - start) AS BIGINT) AS taken FROM p)
+SELECT doc_id, size, source_size, target, taken, sl.slot AS first_slot FROM q LEFT JOIN sl ON taken > 0 AND sl.sid = q.sid AND sl.rank = start // {mixing.BLOCK}""",
     "op2_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS ws FROM documents),
 sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
