@@ -8,14 +8,14 @@ min-hashes each. With R = 2 and HALF = 10, a pair of similarity 0.75 shares a ke
 
 Scale and skew. Equal sets are collapsed to one representative first, by an aggregation. A half-key that one
 representative alone holds cannot be part of a shared key, so only shared half-keys are combined (exact, and it
-drops most documents before the tables). Buckets are only ever grouped by partial aggregates; those of up to SMALL
-members are compared in full, as rows. In larger ones each member is first compared with LEADERS members that every
-task agrees on (smallest salted hashes, smallest id, most shared half-keys), linear in the bucket's size. What is in one
-component then needs no further comparison; every other pair of a large bucket is compared exactly: the members of
-large buckets are grouped by their half-keys of the first collection, dealt into chunks, and each task compares one
-chunk with another on full sets, a pair in the first half-key it shares alone. So every pair that shares a key is
-compared unless it is linked already. Members of a group's most frequent component are not compared with each other;
-the work for the rest grows with their number times the group's size, the rows that are made with that over CHUNK.
+drops most documents before the tables). Buckets are only ever grouped by partial aggregates. First each member of a
+bucket is compared with one that every task agrees on, that of the smallest salted hash, which is the same in most
+buckets of a group: a row per document and distinct leader, linear at any size. What is in one component then needs no
+further comparison; every other pair of a bucket of three or more is compared exactly: the members are grouped by
+their half-keys of the first collection, dealt into chunks, and each task compares one chunk with another on full sets,
+a pair in the first half-key it shares alone. So every pair that shares a key is compared unless it is linked already,
+in buckets of any size. Members of a group's most frequent component are not compared with each other; the work for
+the rest grows with their number times the group's size, the rows that are made with that over CHUNK.
 
 Null, empty and wordless texts have an empty set and link with nothing. Rows without doc_id link with nothing and
 keep a null component; repeated rows of one doc_id count as one document (their shingles' union is not taken: any
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_text, components, give_back, grams, hash_words, mix, pick, stored, text_buffer
+from parcelwise.llm.common import by_text, components, give_back, grams, hash_words, mix, pick, small_batches, stored, text_buffer
 
-SHINGLE, R, HALF, SMALL, LEADERS = 5, 2, 10, 8, 3
+SHINGLE, R, HALF = 5, 2, 10
 #: Members and shingles of a chunk, about; columns that are multiplied at once.
 CHUNK, WEIGHT, COLUMNS = 256, 1 << 17, 4096
 _A = np.random.default_rng(7).integers(1, 1 << 62, 2 * HALF * R, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,6 +178,7 @@ def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     ).where("comps > 1")
     chunks = lambda size, weight: F.ceil(F.greatest(size / CHUNK, weight / WEIGHT))
     parts = parts.select("part", F.col("main.c").alias("main"), chunks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("others"), chunks(F.col("main.size"), F.col("main.weight")).alias("mains"))
+    parts, _ = stored(parts, "parts")  # so that a hot part's members can be split in the join
     dealt = own.join(parts, "part").withColumn("open", F.col("c") != F.col("main"))
     deal = F.xxhash64("doc", F.lit(1))
     dealt = dealt.withColumn("chunk", F.when(F.col("open"), F.pmod(deal, "others")).otherwise(F.col("others") + F.pmod(deal, "mains")))
@@ -192,6 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     num, den = threshold
+    small_batches(docs.sparkSession)
     sig, _ = stored(docs.mapInArrow(by_text("text", _signatures), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "signatures")
     there = sig.where("doc_id is not null and n_shingles > 0")
     copies = there.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
@@ -199,33 +201,26 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     half = reps.select("doc", "n", F.posexplode("keys").alias("i", "key"))
     shared = half.groupBy("i", "key").agg(F.count("*").alias("held")).where("held > 1")
     mine = half.join(shared, ["i", "key"]).groupBy("doc", "n").agg(
-        F.sum("held").alias("score"),
         F.collect_list(F.when(F.col("i") < HALF, F.struct("i", "key"))).alias("one"),
         F.collect_list(F.when(F.col("i") >= HALF, F.struct("i", "key"))).alias("two"),
     )  # at most HALF entries a side
     rows, _ = stored(
-        mine.select("doc", "n", "score", F.explode("one").alias("x"), "two").select("doc", "n", "score", "x", F.explode("two").alias("y"))
-        .select("doc", "n", "score", F.col("x.i").alias("i"), F.xxhash64("x.i", "x.key").alias("part"), F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("bucket")),
+        mine.select("doc", "n", F.explode("one").alias("x"), "two").select("doc", "n", "x", F.explode("two").alias("y"))
+        .select("doc", "n", F.col("x.i").alias("i"), F.xxhash64("x.i", "x.key").alias("part"), F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("bucket")),
         "tables",
     )
     member = F.struct("doc", "n")
-    lead = lambda t: F.min_by(member, F.struct(F.xxhash64("doc", F.lit(t)), "doc"))
-    stats = rows.groupBy("bucket").agg(
-        F.count("*").alias("size"),
-        F.array(F.min(member), F.max_by(member, F.struct("score", -F.col("doc"))), *[lead(t) for t in range(LEADERS - 2)]).alias("leaders"),
-    ).where("size > 1")
-    tagged = rows.join(stats, "bucket")
-    small = tagged.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(member)).alias("m"))
-    small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+    lead = F.min_by(member, F.struct(F.xxhash64("doc", F.lit(0)), "doc"))
+    stats, _ = stored(rows.groupBy("bucket").agg(F.count("*").alias("size"), lead.alias("leader")).where("size > 1"), "buckets")
     # A document's buckets are brought together (at most HALF ** 2), so that what they have in common is one row.
-    led = tagged.where(F.col("size") > SMALL).groupBy("doc", "n").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
+    led = rows.select("doc", "n", "bucket").join(stats.select("bucket", "leader"), "bucket").groupBy("doc", "n").agg(F.collect_set("leader").alias("leaders"))
     led = led.select(member.alias("x"), F.explode("leaders").alias("y"))
 
     def candidates(df: DataFrame) -> DataFrame:
         fits = f"x.doc <> y.doc and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
         return df.where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
-    pairs, _ = stored(candidates(small.where("x.doc < y.doc").union(led)), "pairs")
+    pairs, _ = stored(candidates(led), "pairs")
     repeated = sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeats = not repeated.isEmpty()
     texts = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]) if repeats else docs
@@ -236,8 +231,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     links, _ = stored(links, "links")
     found, _ = stored(components(links), "found")
 
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL)
-    large, _ = stored(rows.join(sizes, "bucket").select("doc", "n", "i", "part").distinct(), "large")
+    some = stats.where("size > 2").select("bucket")
+    large, _ = stored(rows.join(some, "bucket").select("doc", "n", "i", "part").distinct(), "large")
     more, _ = stored(_rest(large, found, reps, texts, threshold), "links")
     if not more.isEmpty():
         found, _ = stored(components(links.union(more)), "found")
