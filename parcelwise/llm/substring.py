@@ -8,8 +8,11 @@ seed's place in them; windows that overlap or touch make up the maximal repeats,
 kept. Of each window's documents the smallest doc_id keeps it.
 
 Documents with equal word sequences are found first, by an aggregation; all but the smallest are wholly repeats (from
-13 words on) and go no further. All groups are formed by partial aggregation or hold one row per seed and document,
-so a passage that a third of all documents share costs as many rows as documents, never pairs.
+13 words on) and go no further. Seeds and windows are combined within a task before they are grouped: a seed that a
+task has seen in two documents is shared, whatever other tasks hold, and a window that a smaller document of the task
+holds is a repeat; such rows are settled there, and only one row for others to compare with goes on. So a passage that
+a third of all documents share makes a few rows a task in its group, not one a document; rows that are settled are
+dealt out by document.
 
 Null and empty texts have no words. Rows without doc_id neither remove nor lose words. Repeated rows of one doc_id
 don't count against each other. Further columns, whatever their names, are not read.
@@ -17,6 +20,7 @@ don't count against each other. Further columns, whatever their names, are not r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -24,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_text, grams, hash_words, mix, pick, stored, text_buffer
+from parcelwise.llm.common import by_text, give_back, grams, hash_words, mix, pick, slices, small_batches, stored, text_buffer
 
 GRAM = 5
+#: Seeds and windows that a task remembers.
+SEEN = 1 << 17
 KINDS = {"doc_id": "bigint", "text": "string"}
 
 
@@ -54,42 +60,90 @@ def _sequence(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64))], names=["doc_id", "n_words", "s1", "s2"])
 
 
-def _rows(part: pa.RecordBatch, counts: np.ndarray, columns: dict) -> pa.RecordBatch:
-    at = np.repeat(np.arange(part.num_rows), counts)
-    return pa.record_batch([part.column("doc_id").take(pa.array(at)), *columns.values()], names=["doc_id", *columns])
+class _Rows:
+    """Base of the two mappings: rows of a part of documents that are combined with what the task has seen."""
 
+    def __init__(self, window: int):
+        self.window = window
 
-def _seed_rows(window: int):
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, words, first = hash_words(*text_buffer(part.column("text")))
-        low = _seeds(words, window)
-        got = [np.unique(low[lo : hi - window + 1]) if hi - lo >= window else low[:0] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        flat = np.concatenate(got) if got else np.zeros(0, np.uint64)
-        return _rows(part, np.array([len(x) for x in got], np.int64), {"seed": pa.array(flat.view(np.int64))})
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = self.start()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield self.rows(part, state)
+        give_back()
 
-    return run
+
+class _SeedRows(_Rows):
+    """(doc_id, seed, known): a row per document and seed; known if the seed is shared. A shared one is sent once more,
+    as one that isn't known to be, for other tasks' sake."""
+
+    def start(self) -> dict:
+        return {"shared": np.zeros(0, np.int64)}
+
+    def rows(self, part: pa.RecordBatch, state: dict) -> pa.RecordBatch:
+        _, _, words, first = hash_words(*text_buffer(part.column("text")))
+        low = _seeds(words, self.window).view(np.int64)
+        got = [np.unique(low[lo : hi - self.window + 1]) if hi - lo >= self.window else low[:0] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        seed = np.concatenate(got) if got else low[:0]
+        doc = np.repeat(part.column("doc_id").to_numpy(), [len(x) for x in got])
+        order = np.lexsort((doc, seed))
+        seed, doc = seed[order], doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(seed)) - 1
+        many = doc[begin] < doc[end] if len(seed) else np.zeros(0, bool)
+        old = np.isin(seed[begin], state["shared"])
+        known = np.repeat(many | old, np.diff(np.append(begin, len(seed))))
+        again = begin[many & ~old]
+        new = seed[again]
+        state["shared"] = np.concatenate([state["shared"], new]) if len(state["shared"]) + len(new) <= SEEN else new[:SEEN]
+        return pa.record_batch([
+            pa.array(np.concatenate([doc, doc[again]])), pa.array(np.concatenate([seed, new])), pa.array(np.concatenate([known, np.zeros(len(again), bool)])),
+        ], names=["doc_id", "seed", "known"])
 
 
 def _window_keys(words: np.ndarray, window: int) -> np.ndarray:
     return grams(words, window, 31)
 
 
-def _window_rows(window: int):
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+class _WindowRows(_Rows):
+    """(doc_id, w1, w2, known): the windows that shared seeds stand for; known if a smaller document holds it too."""
+
+    def start(self) -> dict:
+        return {"w1": np.zeros(0, np.int64), "w2": np.zeros(0, np.int32), "doc": np.zeros(0, np.int64)}
+
+    def rows(self, part: pa.RecordBatch, state: dict) -> pa.RecordBatch:
         _, _, words, first = hash_words(*text_buffer(part.column("text")))
-        low, one, two = _seeds(words, window).view(np.int64), _window_keys(words, window).view(np.int64), grams(words, window, 32)
+        n = self.window
+        low, one, two = _seeds(words, n).view(np.int64), _window_keys(words, n).view(np.int64), (grams(words, n, 32) >> np.uint64(33)).astype(np.int32)
         flat, offs = part.column("seeds").flatten().to_numpy(), part.column("seeds").offsets.to_numpy()
         got = []
         for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            if hi - lo >= window:
-                at = lo + np.flatnonzero(np.isin(low[lo : hi - window + 1], flat[offs[k] - offs[0] : offs[k + 1] - offs[0]]))
+            if hi - lo >= n:
+                at = lo + np.flatnonzero(np.isin(low[lo : hi - n + 1], flat[offs[k] - offs[0] : offs[k + 1] - offs[0]]))
                 got.append(at[np.unique(one[at], return_index=True)[1]])
             else:
                 got.append(np.zeros(0, np.int64))
         at = np.concatenate(got) if got else np.zeros(0, np.int64)
-        return _rows(part, np.array([len(x) for x in got], np.int64), {"w1": pa.array(one[at]), "w2": pa.array((two[at] >> np.uint64(33)).astype(np.int32))})
-
-    return run
+        doc = np.repeat(part.column("doc_id").to_numpy(), [len(x) for x in got])
+        order = np.lexsort((doc, two[at], one[at]))
+        w1, w2, doc = one[at][order], two[at][order], doc[order]
+        if not len(doc):
+            return pa.record_batch([pa.array(doc), pa.array(w1), pa.array(w2), pa.array(np.zeros(0, bool))], names=["doc_id", "w1", "w2", "known"])
+        begin = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+        size = np.diff(np.append(begin, len(doc)))
+        known = doc > np.repeat(doc[begin], size)
+        if len(state["w1"]):
+            k = np.minimum(np.searchsorted(state["w1"], w1), len(state["w1"]) - 1)
+            known |= (state["w1"][k] == w1) & (state["w2"][k] == w2) & (state["doc"][k] < doc)
+        many = begin[size > 1]  # remembered: the smallest document of windows that come often
+        seen = {c: np.concatenate([old, x[many]]) for (c, old), x in zip(state.items(), (w1, w2, doc), strict=True)}
+        if len(seen["w1"]) > SEEN:
+            seen = dict(zip(seen, (w1[many[:SEEN]], w2[many[:SEEN]], doc[many[:SEEN]]), strict=True))
+        keep = np.lexsort((seen["doc"], seen["w1"]))
+        keep = keep[np.unique(seen["w1"][keep], return_index=True)[1]]
+        state.update({c: x[keep] for c, x in seen.items()})
+        return pa.record_batch([pa.array(doc), pa.array(w1), pa.array(w2), pa.array(known)], names=["doc_id", "w1", "w2", "known"])
 
 
 def _removed(window: int, untouched: bool):
@@ -127,6 +181,7 @@ def _removed(window: int, untouched: bool):
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, flags, copy): for each doc_id with repeats, the hashes of its windows that a smaller doc_id holds
     too, or whether it repeats a smaller doc_id's words as a whole."""
+    small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text", cast=KINDS).where("doc_id is not null")
     seq, _ = stored(docs.mapInArrow(by_text("text", _sequence), "doc_id long, n_words long, s1 long, s2 long").where(F.col("n_words") >= window), "sequences")
     same = seq.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
@@ -135,13 +190,14 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     copies, _ = stored(copies, "copies")
 
     # A window function per seed, not a join with an aggregate: a second branch would run the mapping, and its
-    # shuffle, again. A seed has one row per document, a small share of all rows even if every document has it.
-    seeds = docs.mapInArrow(by_text("text", _seed_rows(window)), "doc_id long, seed long")
-    held = Window.partitionBy("seed")
-    shared = seeds.select("seed", "doc_id", F.min("doc_id").over(held).alias("lo"), F.max("doc_id").over(held).alias("hi")).where("lo < hi")
+    # shuffle, again. Settled rows are dealt out by document.
+    dealt = F.when(F.col("known"), F.xxhash64("doc_id")).otherwise(F.lit(0))
+    seeds = docs.mapInArrow(_SeedRows(window), "doc_id long, seed long, known boolean")
+    held = Window.partitionBy("seed", dealt)
+    shared = seeds.select("seed", "doc_id", "known", F.min("doc_id").over(held).alias("lo"), F.max("doc_id").over(held).alias("hi")).where("known or lo < hi")
     mine = shared.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")).join(copies, "doc_id", "left_anti")
-    windows = docs.join(mine, "doc_id").select("doc_id", "text", "seeds").mapInArrow(by_text("text", _window_rows(window)), "doc_id long, w1 long, w2 int")
-    later = windows.select("doc_id", "w1", F.min("doc_id").over(Window.partitionBy("w1", "w2")).alias("lo")).where("doc_id > lo")
+    windows = docs.join(mine, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_WindowRows(window), "doc_id long, w1 long, w2 int, known boolean")
+    later = windows.select("doc_id", "w1", "known", F.min("doc_id").over(Window.partitionBy("w1", "w2", dealt)).alias("lo")).where("known or doc_id > lo")
     flags = later.groupBy("doc_id").agg(F.collect_list("w1").alias("flags"))
     return flags.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("flags"), F.lit(True).alias("copy")))
 
