@@ -1,10 +1,12 @@
 """Sharding by extendible hashing, with DataFrame operations only.
 
-A document's hash is 60 bits of the MD5 of its id. The directory is indexed by hash-prefix bits; it starts with as
-many bits as buckets of the byte limit would need (floor of log2(all bytes / limit)), and only oversized buckets
-split on another bit until every shard fits. Instead of a pass per bit, bytes are summed once per fine prefix (STEP
-more bits than the directory), and the sums of all depths between come from that small table; documents are read
-again only for fine buckets that are still too large.
+A document's hash is 60 bits of the MD5 of its id. The directory is indexed by hash-prefix bits and starts with none:
+one bucket holds everything, and only oversized buckets split on another bit until every shard fits, however uneven
+the sizes. Instead of a pass per bit, bytes are summed once per fine prefix (STEP more bits than equal sizes would
+need), and the sums of all depths above come from that table in two bands: the coarse depths from sums of sums, the
+fine ones, for what is still too large, from the fine table. A fine prefix belongs to the first depth that fits;
+documents are read again only for fine prefixes that are still too large. Documents and their prefixes' depths are
+brought together by a shuffle join: the directory grows with the data, so it is not broadcast.
 
 A bucket that holds one hash only can't split further: a single document larger than the limit is a shard of its
 own, and rows that repeat one id beyond the limit are dealt to numbered pages of at most the limit each (overflow
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import pick, stored
@@ -30,15 +32,36 @@ def id_hash(column: str):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _leaves(rows: DataFrame, start: int, limit: int) -> tuple[DataFrame, int]:
-    """For each fine prefix of rows(h, n): depth of its shard and the shard's bytes; depth null if still too large."""
-    fine_bits = min(BITS, start + STEP)
-    fine = rows.groupBy(F.expr(f"shiftright(h, {BITS - fine_bits})").alias("fine")).agg(F.sum("n").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    deep = fine.select("fine", "n", "lo", "hi", F.explode(F.sequence(F.lit(start), F.lit(fine_bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {fine_bits} - depth)"))
-    sums = deep.groupBy("depth", "prefix").agg(F.sum("n").alias("shard_bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "prefix", "shard_bytes")
-    first = deep.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"], "left").groupBy("fine").agg(F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("depth", "shard_bytes"))).alias("leaf"))
-    return first.select("fine", "leaf.depth", "leaf.shard_bytes"), fine_bits
+def _up(column: str, by) -> Column:
+    return F.expr(f"shiftright({column}, cast({by} as int))")
+
+
+def _band(prefixes: DataFrame, lo: int, hi: int, limit: int) -> DataFrame:
+    """For each of prefixes(prefix, n, lo, hi) of hi bits: the first depth of lo to hi at which its bucket fits and that
+    bucket's bytes, as leaf; null if there is none."""
+    deep = prefixes.select("prefix", "n", "lo", "hi", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("depth")).withColumn("at", _up("prefix", f"{hi} - depth"))
+    sums = deep.groupBy("depth", "at").agg(F.sum("n").alias("shard_bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "at", "shard_bytes")
+    found = deep.select("prefix", "depth", "at").join(fits.hint("merge"), ["depth", "at"]).groupBy("prefix").agg(F.min(F.struct("depth", "shard_bytes")).alias("leaf"))
+    return prefixes.join(found.hint("merge"), "prefix", "left")
+
+
+def _leaves(rows: DataFrame, done: int, bits: int, limit: int) -> DataFrame:
+    """(fine, leaf) for each prefix of `bits` bits of rows(h, n) whose buckets are too large down to the depth `done`
+    (-1: none is looked at yet); leaf is null where they are too large at `bits` bits as well."""
+    table = rows.groupBy(_up("h", BITS - bits).alias("prefix")).agg(F.sum("n").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    split = max(done, bits - 2 * STEP)
+    if split > done:
+        table, _ = stored(table, "prefixes")
+        top = table.groupBy(_up("prefix", bits - split).alias("top")).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        top = _band(top.withColumnRenamed("top", "prefix"), done + 1, split, limit).select(F.col("prefix").alias("top"), F.col("leaf").alias("over"))
+        table = table.withColumn("top", _up("prefix", bits - split)).join(top.hint("merge"), "top")
+        coarse = table.where("over is not null").select(F.col("prefix").alias("fine"), F.col("over").alias("leaf"))
+        table = table.where("over is null").select("prefix", "n", "lo", "hi")
+    else:
+        coarse = None
+    fine = _band(table, split + 1, bits, limit).select(F.col("prefix").alias("fine"), "leaf")
+    return fine.unionByName(coarse) if coarse is not None else fine
 
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -47,17 +70,17 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select("doc_id", id_hash("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
     rows, _ = stored(rows, "sizes")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    start = max(0, min(BITS - STEP, math.floor(math.log2(total / limit)) if total > limit else 0))
-    done, left = [], rows
+    even = math.ceil(math.log2(total / limit)) if total > limit else 0
+    done, bits, known = [], min(BITS, even + STEP), -1
+    left = rows
     while True:
-        leaves, bits = _leaves(left, start, limit)
-        leaves, _ = stored(leaves, "directory")
-        found = left.withColumn("fine", F.expr(f"shiftright(h, {BITS - bits})")).join(leaves, "fine")
-        done.append(found.where("depth is not null").drop("fine"))
-        if leaves.where("depth is null").isEmpty():
+        leaves, _ = stored(_leaves(left, known, bits, limit), "directory")
+        found = left.withColumn("fine", _up("h", BITS - bits)).join(leaves.hint("merge"), "fine").select("doc_id", "h", "n", "leaf.depth", "leaf.shard_bytes")
+        done.append(found.where("depth is not null"))
+        if leaves.where("leaf is null").isEmpty():
             break
         left, _ = stored(found.where("depth is null").select("doc_id", "h", "n"), "oversized")
-        start = bits + 1
+        known, bits = bits, min(BITS, bits + STEP)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
