@@ -8,7 +8,10 @@ lost or doubled attempt wrote is never read.
 
 Reading: files are cut into byte ranges, dealt to tasks. A task scans its range for gzip magic, decodes the start of
 each candidate, and takes it for a member only if a WARC version line comes out. It owns the records that start
-inside its range and reads the last one past its end. Memory is one record and a read buffer.
+inside its range and reads the last one past its end. Memory is one record and a read buffer. Nothing is lost in
+silence: a member that began as a record and can't be decoded to its end (cut short, damaged, or of another length
+than its header says) is an error, and so, unless junk between members is allowed (strict=False), is anything but a
+record at a file's start and after each record, up to the file's end.
 
 A null html is an empty payload; null urls are left out; rows with a null page_id are responses without an id. Rows
 that repeat the smallest page_id of a payload are responses too. Further columns, whatever their names, are not read.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import pick, shared_dir, stored
+from parcelwise.llm.common import pick, shared_dir, small_batches, stored
 
 LEAST, SPLIT, READ, LEVEL = 100, 8 << 20, 1 << 20, 5
 MAGIC = b"\x1f\x8b\x08"
@@ -87,6 +90,7 @@ def _write(folder: str):
 
 def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Writes pages(page_id, url, html) as archives to the shared folder; returns their list (path, size, records)."""
+    small_batches(pages.sparkSession)
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     seen = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
@@ -108,62 +112,84 @@ def _repeated(seen: DataFrame) -> bool:
 
 
 class _Reader:
-    """A window over a file that slides forward."""
+    """A window over a file that slides forward: `at` is its place in the file, `k` that in the bytes held."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data, self.k = file, at, b"", 0
+
+    def __len__(self) -> int:
+        return len(self.data) - self.k
 
     def more(self) -> bool:
-        got = self.file.read_at(READ, self.at + len(self.data))
-        self.data += got
+        """Reads on; bytes that were passed go."""
+        got = self.file.read_at(READ, self.at + len(self))
+        self.data, self.k = self.data[self.k :] + got, 0
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.data = self.data[n:]
+        self.k += n
         self.at += n
 
 
-def _decoded(window: _Reader) -> tuple[bytes, int] | None:
-    """The member at the window's start, and its length; None if it isn't a WARC record."""
+def _decoded(window: _Reader, head_only: bool = False) -> tuple[bytes, int] | None:
+    """The member at the window's start, and its length; None if it isn't a WARC record. With head_only, no more of it
+    than shows that it is one."""
     d, parts, used, told = zlib.decompressobj(31), [], 0, False
     while not d.eof:
-        if used == len(window.data) and not window.more():
+        if used == len(window) and not window.more():
+            if told:
+                raise ValueError(f"a record at byte {window.at} is cut short")
             return None
-        piece = window.data[used:] if told else window.data[used : used + 512]
+        at = window.k + used
+        piece = window.data[at:] if told else window.data[at : at + 64]
         try:
             parts.append(d.decompress(piece))
-        except zlib.error:
+        except zlib.error as e:
+            if told:
+                raise ValueError(f"a record at byte {window.at} is damaged: {e}") from e
             return None
         used += len(piece) - len(d.unused_data)
         if not told and (got := sum(map(len, parts))) >= 7:
             told = b"".join(parts)[:7] == b"WARC/1."
             if not told:
                 return None
+            if head_only:
+                return b"", 0
         elif not told and d.eof and got < 7:
             return None
     return (b"".join(parts), used) if told else None
 
 
-def members(file, start: int, end: int) -> Iterator[bytes]:
-    """The records whose member starts in [start, end) of a file."""
-    window = _Reader(file, start)
+def members(file, start: int, end: int, strict: bool = False) -> Iterator[bytes]:
+    """The records whose member starts in [start, end) of a file. With strict, a record must stand at the file's start
+    and after each record, up to the file's end."""
+    window, follows = _Reader(file, start), strict and start == 0
     while window.at < end:
-        k = window.data.find(MAGIC)
-        if k < 0:
-            keep = min(2, len(window.data))
-            window.skip(len(window.data) - keep)
-            if window.at + keep >= end + 2 or not window.more():
+        if not follows:
+            k = window.data.find(MAGIC, window.k)
+            if k < 0:
+                keep = min(2, len(window))
+                window.skip(len(window) - keep)
+                if window.at + keep >= end + 2 or not window.more():
+                    return
+                continue
+            window.skip(k - window.k)
+            if window.at >= end:
                 return
-            continue
-        window.skip(k)
-        if window.at >= end:
-            return
+        elif not len(window) and not window.more():
+            return  # the file's end
         found = _decoded(window)
         if found is None:
+            if follows:
+                raise ValueError(f"no record at byte {window.at}, where one must begin")
             window.skip(1)
             continue
         yield found[0]
         window.skip(found[1])
+        follows = strict
+    # The next range looks for its first record by itself; that there is one where this range's last ends is seen here.
+    if follows and (len(window) or window.more()) and _decoded(window, head_only=True) is None:
+        raise ValueError(f"no record at byte {window.at}, where one must begin")
 
 
 def parsed(raw: bytes) -> tuple[dict, bytes]:
@@ -173,7 +199,10 @@ def parsed(raw: bytes) -> tuple[dict, bytes]:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    http, _, payload = rest[: int(fields.get("content-length", 0))].partition(b"\r\n\r\n")
+    size = int(fields.get("content-length", 0))
+    if len(rest) < size:
+        raise ValueError(f"a record has {len(rest)} of {size} bytes")
+    http, _, payload = rest[:size].partition(b"\r\n\r\n")
     for line in http.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields["http-" + name.strip().lower()] = value.strip()
@@ -185,14 +214,14 @@ def _page(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _read(payloads: bool):
+def _read(payloads: bool, strict: bool):
     def run(batches):
         for batch in batches:
             for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
                 files, at = _filesystem(path)
                 rows, size = [], 0
                 with files.open_input_file(at) as file:
-                    for raw in members(file, start, end):
+                    for raw in members(file, start, end, strict):
                         f, payload = parsed(raw)
                         kind = f.get("warc-type")
                         digest = f.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -217,14 +246,21 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
 
 
-def read(archives: DataFrame, payloads: bool = True, split: int = SPLIT) -> DataFrame:
-    """The records of archives(path, size): one row each, in SCHEMA, with the payload (empty for revisits) if asked."""
+def read(archives: DataFrame, payloads: bool = True, split: int = SPLIT, strict: bool = True) -> DataFrame:
+    """The records of archives(path, size): one row each, in SCHEMA, with the payload (empty for revisits) if asked.
+    strict=False allows other bytes between members."""
+    small_batches(archives.sparkSession)
     ranges = archives.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", (F.col("start") + split).alias("end"))
     ranges = ranges.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
-    return ranges.mapInArrow(_read(payloads), SCHEMA + ", payload binary" * payloads)
+    return ranges.mapInArrow(_read(payloads, strict), SCHEMA + ", payload binary" * payloads)
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Pages written and read back, without payloads."""
-    return read(write(pages), payloads=False)
+    """Pages written and read back, without payloads. As many records must come back as were written."""
+    listed = write(pages)
+    found, _ = stored(read(listed, payloads=False), "records")
+    wrote, came = listed.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if wrote != came:
+        raise RuntimeError(f"{wrote} records were written, {came} were read")
+    return found
