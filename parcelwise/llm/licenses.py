@@ -1,20 +1,28 @@
 """License scans by a positional rare-token index, with DataFrame operations only.
 
-Licences are templates of mandatory key phrases. Document frequencies of all licence words are counted over all
-documents; each phrase is looked up by its words of highest inverse document frequency: texts that hold them (a
-pattern match, without cutting words) are cut into words, the positions of the rare words are turned into places where
-the phrase would start, places that all its rare words agree on are kept, and there the whole phrase is compared.
-A phrase that stands in a text has its rare words at those places, so none is missed. A label is given if all the
-phrases of one of its templates are there.
-
-Words are runs of anything but ASCII other than letters and digits, A-Z in lower case. Null texts count as empty. The
-score is the largest share of a template's phrases that the text holds. Rows are independent: repeated ones, null
-ids and hot groups need no care; nothing but the word counts is shuffled. Further columns are not read.
+Licences are templates: a text, and the key phrases in it that are mandatory. Document frequencies of all licence words
+are counted over all documents. The index has postings (template, position) of each template's words of highest
+inverse document frequency, RARE of them, and of each key phrase's highest two. A file's index words are looked up,
+and their postings are intersected by relative position: the word at place i of a file that stands at place o of a
+template votes for the template at i - o.
+
+Key phrases are found in the same way by their own postings, at places that all their index words agree on, and there
+the whole phrase is compared: a phrase that stands in a text has its index words at those places, so none is missed. A
+label is given if all the key phrases of one of its templates are there. The score is the largest share of a template's
+postings that agree on one place of it, so a whole licence has 1 and a mere mention less.
+
+The postings are array and map constants that expressions look up, so the plan doesn't grow with the number of
+templates, nor the work per word that isn't in the index.
+
+Words are runs of anything but ASCII other than letters and digits, A-Z in lower case. Null texts count as empty. Rows
+are independent: repeated ones, null ids and hot groups need no care; nothing but the word counts is shuffled. Further
+columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,92 +31,160 @@ from parcelwise.llm.common import pick
 
 # Phrases and labels of the base.
 BASE = (
-    (("under the mit license",), "mit"),
-    (("apache license version 2",), "apache-2"),
-    (("cc by nc",), "cc-by-nc"),
+    ("mit", "under the mit license"),
+    ("apache-2", "apache license version 2"),
+    ("cc-by-nc", "cc by nc"),
 )
-# Key phrases of further templates.
+# Label, key phrases and text of further templates (notices of public licences; for some, the title).
 MORE = (
-    (("permission is hereby granted free of charge to any person", "the software is provided as is"), "mit"),
-    (("licensed under the apache license",), "apache-2"),
-    (("gnu general public license version 3",), "gpl-3"),
-    (("gnu general public license version 2",), "gpl-2"),
-    (("gnu lesser general public license",), "lgpl"),
-    (("mozilla public license version 2",), "mpl-2"),
-    (("redistribution and use in source and binary forms", "redistributions of source code must retain"), "bsd"),
-    (("creative commons attribution noncommercial",), "cc-by-nc"),
-    (("creative commons attribution sharealike",), "cc-by-sa"),
-    (("cc by sa",), "cc-by-sa"),
-)
+    ("mit", ("permission is hereby granted free of charge to any person", "the software is provided as is"),
+     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+     "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+     "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+     "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the "
+     "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache-2", ("licensed under the apache license",),
+     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+     "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+     "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", ("redistribution and use in source and binary forms", "redistributions of source code must retain"),
+     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+     "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+     "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", ("permission to use copy modify and or distribute this software for any purpose",),
+     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+     "permission notice appear in all copies"),
+    ("gpl-3", ("gnu general public license version 3",), "gnu general public license version 3"),
+    ("gpl-2", ("gnu general public license version 2",), "gnu general public license version 2"),
+    ("gpl", ("gnu general public license as published by the free software foundation",),
+     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
+     "particular purpose see the gnu general public license for more details"),
+    ("lgpl", ("gnu lesser general public license",), "gnu lesser general public license"),
+    ("mpl-2", ("mozilla public license",),
+     "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at "
+     "http mozilla org mpl 2 0"),
+    ("unlicense", ("free and unencumbered software released into the public domain",),
+     "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in "
+     "source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc-by-nc", ("creative commons attribution noncommercial",), "creative commons attribution noncommercial"),
+    ("cc-by-sa", ("creative commons attribution sharealike",), "creative commons attribution sharealike"),
+    ("cc-by-sa", ("cc by sa",), "cc by sa"),
+)
 #: Words on the raw text; the same places as in the lower-cased one.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _IN = WORD[:-1]
-RARE = 2
+#: Index words of a template and of a key phrase.
+RARE, ANCHORS = 8, 2
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _phrases() -> list[tuple[str, ...]]:
-    return sorted({tuple(p.split()) for t, _ in BASE + MORE for p in t})
+@dataclass(frozen=True)
+class Template:
+    label: str
+    phrases: tuple[tuple[str, ...], ...]
+    words: tuple[str, ...]
+
+
+def templates() -> list[Template]:
+    """Those of the base, then the others."""
+    base = [Template(label, (tuple(p.split()),), tuple(p.split())) for label, p in BASE]
+    return base + [Template(label, tuple(tuple(p.split()) for p in phrases), tuple(text.split())) for label, phrases, text in MORE]
 
 
-def _any(words: list[str]) -> str:
-    """A pattern for texts that hold one of the words (letters in either case)."""
-    return rf"(?i)(?<!{_IN})(?:{'|'.join(words)})(?!{_IN})"
+def phrases() -> list[tuple[str, ...]]:
+    return sorted({p for t in templates() for p in t.phrases})
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, _UPPER, _SMALL)
+def _lower_words(text: str) -> Column:
+    return F.regexp_extract_all(F.translate(F.col(text), _UPPER, _SMALL), F.lit(WORD), 0)
 
 
 def frequencies(docs: DataFrame) -> dict[str, int]:
     """In how many documents each licence word stands (a fixed number of counts)."""
-    vocabulary = sorted({w for p in _phrases() for w in p})
+    vocabulary = sorted({w for t in templates() for w in (*t.words, *(w for p in t.phrases for w in p))})
     held = F.array_intersect(_lower_words("text"), F.array(*map(F.lit, vocabulary)))
     got = docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in got}
 
 
-def _lower_words(text: str) -> Column:
-    return F.regexp_extract_all(_lower(F.col(text)), F.lit(WORD), 0)
+class Index:
+    """The postings, by the words' document frequencies."""
+
+    def __init__(self, count: dict[str, int]):
+        rarest = lambda words, n: sorted(set(words), key=lambda w: (count[w], w))[:n]
+        self.phrases, self.templates = phrases(), templates()
+        self.anchors = [rarest(p, ANCHORS) for p in self.phrases]
+        self.by_phrase: dict[str, list[tuple[int, int]]] = {}
+        for k, p in enumerate(self.phrases):
+            for w in self.anchors[k]:
+                self.by_phrase.setdefault(w, []).append((k, p.index(w)))
+        self.by_template: dict[str, list[tuple[int, int]]] = {}
+        self.sizes = []
+        for k, t in enumerate(self.templates):
+            known = {*rarest(t.words, RARE), *(w for p in t.phrases for w in self.anchors[self.phrases.index(p)])}
+            places = [(w, o) for o, w in enumerate(t.words) if w in known]
+            self.sizes.append(len(places))
+            for w, o in places:
+                self.by_template.setdefault(w, []).append((k, o))
+        self.words = sorted({*self.by_phrase, *self.by_template})
 
 
-def _places(phrase: tuple[str, ...], rare: list[str]) -> Column:
-    """Where a phrase starts in `words`: places that the rare words' postings agree on, verified."""
+def _constant(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
-    def starts(word: str) -> Column:
-        at = phrase.index(word)
-        return F.transform(F.filter(F.col("hits"), lambda h: (h["w"] == word) & (h["i"] >= at)), lambda h: h["i"] - at)
 
-    lists = [starts(word) for word in rare]
-    agreed = reduce(F.array_intersect, lists[1:], F.array_distinct(lists[0]))
-    return F.filter(agreed, lambda s: F.slice(F.col("words"), s + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
+def _postings(table: dict[str, list[tuple[int, int]]]) -> Column:
+    return _constant({w: [{"k": k, "o": o} for k, o in got] for w, got in table.items()}, "map<string,array<struct<k:int,o:int>>>")
+
+
+def _votes(table: dict[str, list[tuple[int, int]]]) -> Column:
+    """What the hits vote for, in order: array<struct<k, s>>, s being the place where phrase or template k begins."""
+    postings = _postings(table)
+    none = F.array().cast("array<struct<k:int,s:int>>")
+    each = lambda h: F.coalesce(F.transform(F.try_element_at(postings, h["w"]), lambda p: F.struct(p["k"].alias("k"), (h["i"] - p["o"]).alias("s"))), none)
+    return F.array_sort(F.flatten(F.transform("hits", each)))
+
+
+def _labels(found: str, some: list[Template], names: list[tuple[str, ...]]) -> Column:
+    """The labels of templates all of whose phrases are found, joined."""
+    table = _constant([{"label": t.label, "phrases": [names.index(p) for p in t.phrases]} for t in some], "array<struct<label:string,phrases:array<int>>>")
+    given = F.filter(table, lambda t: F.forall(t["phrases"], lambda p: F.array_contains(F.col(found), p)))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(given, lambda t: t["label"]))), ",")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs(doc_id,
     text)."""
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    count = frequencies(docs)
-    rare = {p: sorted(dict.fromkeys(p), key=lambda w: (count[w], w))[:RARE] for p in _phrases()}
-    # A text without the rarest word of any phrase has no phrase; it keeps an empty list of words.
-    first = _any(sorted({r[0] for r in rare.values()}))
-    anchors = sorted({w for r in rare.values() for w in r})
-    rows = docs.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(first), F.col("text")).alias("text"))
-    rows = rows.select("doc_id", "n_words", F.when(F.col("text").isNotNull(), _lower_words("text")).alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(anchors))
+    index = Index(frequencies(docs))
+    # A text without any index word is not cut into words.
+    any_word = rf"(?i)(?<!{_IN})(?:{'|'.join(index.words)})(?!{_IN})"
+    rows = docs.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(any_word), F.col("text")).alias("text"))
+    rows = rows.select("doc_id", "n_words", F.coalesce(_lower_words("text"), F.array().cast("array<string>")).alias("words"))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(index.words))
     rows = rows.withColumn("hits", hits)
-    names = {p: f"p{k}" for k, p in enumerate(_phrases())}
-    rows = rows.select("doc_id", "n_words", *[F.when(F.col("words").isNotNull(), _places(p, rare[p])).alias(names[p]) for p in _phrases()])
-    found = {p: F.coalesce(F.size(names[p]) > 0, F.lit(False)) for p in _phrases()}
-    base = F.concat(*[F.coalesce(names[tuple(t[0].split())], F.array().cast("array<int>")) for t, _ in BASE])
-
-    def joined(templates: tuple) -> Column:
-        got = [F.when(reduce(lambda a, b: a & b, [found[tuple(p.split())] for p in t]), F.lit(label)) for t, label in templates]
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*got)))), ",")
-
-    shares = [reduce(lambda a, b: a + b, [found[tuple(p.split())].cast("double") for p in t]) / len(t) for t, _ in BASE + MORE]
-    rows = rows.withColumn("base", base)
+    rows = rows.select("doc_id", "n_words", "words", _votes(index.by_phrase).alias("votes"), _votes(index.by_template).alias("shifts"))
+    # All index words of a phrase agree where as many equal votes stand in a row.
+    need = _constant([len(a) for a in index.anchors], "array<int>")
+    agreed = F.filter("votes", lambda v, k: (v["s"] >= 0) & v.eqNullSafe(F.get("votes", k + F.get(need, v["k"]) - 1)))
+    rows = rows.withColumn("agreed", agreed)
+    texts = _constant([list(p) for p in index.phrases], "array<array<string>>")
+    places = F.filter("agreed", lambda v: F.slice("words", v["s"] + 1, F.size(F.get(texts, v["k"]))) == F.get(texts, v["k"]))
+    rows = rows.withColumn("places", places)
+    base = [t for t in index.templates[: len(BASE)]]
+    own = [index.phrases.index(t.phrases[0]) for t in base]
+    starts = F.transform(F.filter("places", lambda v: v["k"].isin(own)), lambda v: v["s"])
+    rows = rows.withColumn("starts", starts).withColumn("found", F.array_distinct(F.transform("places", lambda v: v["k"])))
+    sizes = _constant(index.sizes, "array<int>")
+
+    def longest(state: Column, v: Column) -> Column:
+        n = F.when(v.eqNullSafe(state["last"]), state["n"] + 1).otherwise(F.lit(1))
+        return F.struct(v.alias("last"), n.alias("n"), F.greatest(state["best"], n / F.get(sizes, v["k"])).alias("best"))
+
+    start = F.struct(F.lit(None).cast("struct<k:int,s:int>").alias("last"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
+    score = F.aggregate("shifts", start, longest, lambda state: state["best"])
     return rows.select(
-        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base").cast("long").alias("first_word"), F.array_max("base").cast("long").alias("last_word"),
-        joined(BASE).alias("base_labels"), joined(BASE + MORE).alias("labels"), F.greatest(*shares).alias("score"),
+        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
+        _labels("found", base, index.phrases).alias("base_labels"), _labels("found", index.templates, index.phrases).alias("labels"), score.alias("score"),
     )
