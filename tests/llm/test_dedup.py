@@ -253,8 +253,31 @@ def test_short_embeddings_are_found(spark, dim):
         y -= (x @ y) * x
         y /= np.sqrt(y @ y)
         rows += [(2 * k, x.tolist(), k), (2 * k + 1, (0.9801 * x + np.sqrt(1 - 0.9801**2) * y).tolist(), k)]
-    links = lattice.near_duplicate_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
-    assert sorted(map(tuple, links)) == [(2 * k, 2 * k + 1) for k in range(300)]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(i, 1, i // 2 * 2, i % 2 == 0) for i in range(600)]
+
+
+def test_embeddings_of_any_magnitude(spark):
+    v = [3.0, -1.0, 2.0, 0.5]
+    rows = [(k, [x * s for x in v], 0) for k, s in enumerate([1.0, 1e-200, 1e200, 1e-300, 1e300, 5e-310])] + [(10, [0.0] * 4, 0), (11, [-x for x in v], 0), (12, [-0.0, 0.0, 0.0, 0.0], 0)]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(k, 5, 0, k == 0) for k in range(6)] + [(k, 0, k, True) for k in (10, 11, 12)]
+
+
+def test_copies_and_repeated_ids_of_embeddings(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 64))
+    near = a + rng.normal(size=64) * 0.02
+    rows = [(5, a), (3, a), (9, a), (9, a), (7, near), (20, b), (21, b * 2)]
+    table = lambda rows: spark.createDataFrame([(i, x.tolist(), 1) for i, x in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(map(tuple, lattice.near_duplicates(table(rows)).collect()))
+    assert got == [(3, 3, 3, True), (5, 3, 3, False), (7, 3, 3, False), (9, 3, 3, False), (9, 3, 3, False), (20, 1, 20, True), (21, 1, 20, False)]
+    # 30 has a vector of either group, which makes one component of both; 31 has two that are alike
+    got = sorted(map(tuple, lattice.near_duplicates(table([*rows, (30, a), (30, b), (31, near), (31, a)])).collect()))
+    ids = [r[0] for r in got]
+    assert ids == [3, 5, 7, 9, 9, 20, 21, 30, 30, 31, 31] and {r[2] for r in got} == {3}
+    links = {i: sorted(r[1] for r in got if r[0] == i) for i in ids}
+    assert links == {3: [6], 5: [6], 7: [6], 9: [6, 6], 20: [2], 21: [2], 30: [2, 6], 31: [5, 5]}
 
 
 def test_rows_of_one_id_link_by_any_text(spark):
