@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return bpe.digests(docs, path, public_tokenizers.PATTERN)
 
 
 STAGES = [
