@@ -148,6 +148,24 @@ def clip_convex(ring: Column, sides: Column, slack: float = 0.0) -> Column:
     return F.aggregate(sides, ring.cast(RING), cut)
 
 
+def open_ring(ring: Column) -> Column:
+    """The ring without a last point that repeats the first."""
+    return F.when((F.size(ring) > 1) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+
+
+def half_plane(ring: Column, ux: Column, uz: Column, mid: Column, side: int, slack: float = 1e-5) -> Column:
+    """The part of an open ring on one side (1 or -1) of the line ux * x + uz * z = mid."""
+    valued = F.transform(ring, lambda p: F.struct(p.alias("p"), (p["x"] * ux + p["z"] * uz - mid).alias("v")))
+
+    def piece(e: Column) -> Column:
+        p, q, va, vb = e["a"]["p"], e["b"]["p"], e["a"]["v"], e["b"]["v"]
+        t, none = va / (va - vb), F.array().cast(RING)
+        mid_point = F.array(point(p["x"] + t * (q["x"] - p["x"]), p["z"] + t * (q["z"] - p["z"])))
+        return F.concat(F.when(va * side >= -slack, F.array(p)).otherwise(none), F.when(va * vb < 0, mid_point).otherwise(none))
+
+    return F.flatten(F.transform(edges(valued), piece))
+
+
 def clip_ring(ring: Column, extent: Column) -> Column:
     """Cuts a ring to a box, edges included; may leave fewer than three points."""
     e = extent

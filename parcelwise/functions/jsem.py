@@ -46,15 +46,27 @@ def round_to(x: Column, digits: int) -> Column:
     return round_half_up(x * 10.0**digits) / 10.0**digits
 
 
+def french_date(x: Column) -> Column:
+    """A date as day/month/year; null for what isn't one."""
+    return F.date_format(x, "dd/MM/yyyy")
+
+
+def iso_day(text: Column) -> Column:
+    """The day of a time in ISO form: its first ten characters."""
+    return F.substring(text, 1, 10)
+
+
 def wrap32(x: Column) -> Column:
     """A long, wrapped to a signed 32-bit value."""
     return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
 
 def text_hash(text: Column | str) -> Column:
-    """The 32-bit polynomial hash (times 31, plus the character's code) of an ASCII text."""
+    """The 32-bit polynomial hash (times 31, plus the character's code) of a text. A character beyond the basic plane
+    counts by the first of its two UTF-16 units."""
     chars = F.filter(F.split(_col(text), ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: wrap32(n * 31 + F.ascii(c)))
+    code = lambda c: F.when(F.ascii(c) < 0x10000, F.ascii(c)).otherwise(F.lit(0xD800) + F.shiftright(F.ascii(c) - 0x10000, 10)).cast("long")
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: wrap32(n * 31 + code(c)))
 
 
 def unsigned(x: Column) -> Column:

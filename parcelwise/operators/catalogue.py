@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geom, jsem
 from parcelwise.operators import spatial
+from parcelwise.operators.rounds import cut
 
 # Widths in metres by class, names by amenity.
 ROAD_WIDTH = {"trunk": 11.0, "primary": 10.0, "secondary": 8.0, "tertiary": 7.0, "residential": 5.5, "unclassified": 5.5, "service": 3.5, "living_street": 4.0, "track": 2.8, "path": 1.4, "footway": 1.5, "cycleway": 2.0, "steps": 1.5}
@@ -108,7 +109,8 @@ def build(roads: DataFrame, points: DataFrame, areas: DataFrame, zones: DataFram
     buildings; zones(ord, id, name, nature, poly); buildings(ord, id, tags, poly, landmark), landmark being a
     name or null; landmarks(ord, id, name, kind, p). Later sources come after earlier ones in the records' order: what
     several of them hold goes to the first. A named point in exactly one building that isn't known yet makes that
-    building a record; a landmark joins the first record of its name within 45 m, or else is a point of its own.
+    building a record; a landmark joins the first record of its name within 45 m, earlier landmarks that became records included, or else
+    is a point of its own.
     """
     step = lambda df, k: df.withColumn("ord", F.col("ord").cast("long") + F.lit(k * (1 << 40)))
     named = jsem.text_or_null(F.trim("name"))
@@ -133,15 +135,14 @@ def build(roads: DataFrame, points: DataFrame, areas: DataFrame, zones: DataFram
     hits = spatial.unique_container(asked, buildings.select(F.col("id").cast("string").alias("id"), "poly"), "point_id")
     hits = hits.join(base.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min(F.struct("point_ord", "point_name", "point_source")).alias("h"), F.first("poly").alias("poly"))
     found = house(step(hits.select("id", F.col("h.point_name").alias("name"), F.col("h.point_source").alias("source"), F.col("h.point_ord").alias("ord"), "poly"), 3), F.col("source"))
-    base = base.unionByName(found)
+    base = cut(base.unionByName(found))
     marks = landmarks.where(geom.within(F.col("p"), extent)).withColumn("id", F.col("id").cast("string")).join(base.select("id").distinct(), "id", "left_anti")
     placed = base.where("type <> 'line'").select(F.col("id").alias("record_id"), F.col("name").alias("record_name"), F.col("position").alias("q"), "ord")
-    merged = spatial.merged_by_name(marks.select("id", "name", "p"), placed)
+    merged = cut(spatial.merged_by_name(marks.select("id", "name", "p"), placed))
     # A landmark without a record may have an earlier one of its name near by, which is its record then.
-    new = marks.join(merged.where("added").select("id"), "id", "left_semi")
-    twin = spatial.near_pairs(new.select("id", "name", "p", "ord"), new.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("p").alias("q"), F.col("ord").alias("other_ord")), 45.0).where("name = other_name and other_ord < ord")
-    twin = twin.groupBy("id").agg(F.min_by("other", "other_ord").alias("record_id"))
-    alone = new.join(twin.select("id"), "id", "left_anti")
+    new = cut(marks.join(merged.where("added").select("id"), "id", "left_semi"))
+    came = spatial.first_come(new.select("id", "name", "p", "ord"))
+    alone, twin = new.join(came.where("id = record_id").select("id"), "id", "left_semi"), came.where("id <> record_id")
     extra = _record(step(alone, 4), "point", kind=F.coalesce(jsem.text_or_null("kind"), F.lit("Lieu / équipement")), source=F.lit("IGN BD TOPO"), position=F.col("p"))
     records = base.unionByName(extra)
     empty = F.array().cast("array<string>")

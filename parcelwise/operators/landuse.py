@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom, jsem
+from parcelwise.operators import spatial
 
 # Classes of land.
 CLASSES = {
@@ -66,23 +67,67 @@ def tree_step(scrub: Column, distance: Column) -> Column:
     return F.when(scrub, 62.0).when(distance < 1100, 42.0).when(distance < 1900, 60.0).otherwise(83.0)
 
 
-def garden_candidates(shapes: DataFrame, step: float = 38.0) -> DataFrame:
-    """Jittered grid points inside polygons (id, ord, poly). The jitter hashes the place: the same at any layout."""
+def _draw(k: int) -> Column:
+    """A number in [0, 1) that hashes a place of a grid: the same at any layout. ids count as text."""
+    text = F.concat_ws(":", F.col("id").cast("string"), F.col("i").cast("string"), F.col("j").cast("string"), F.lit(str(k)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _jittered(shapes: DataFrame, step: Column) -> DataFrame:
+    """A row per cell of a grid over the box of each of shapes(id, poly, ...): i, j, a point p of the cell that lies in the
+    polygon, and two more draws, u and v."""
     b = geom.bounds(F.col("poly")[0])
-    out = shapes.withColumn("b", b).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("b.maxx") - F.col("b.minx")) / step)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("b.maxz") - F.col("b.minz")) / step))))
-    draw = lambda k: jsem.seeded_random(F.pmod(F.xxhash64("id", "i", "j", F.lit(k)), F.lit(1 << 31)))
-    p = geom.point(F.col("b.minx") + (F.col("i") + draw(0)) * step, F.col("b.minz") + (F.col("j") + draw(1)) * step)
-    out = out.withColumn("p", p).where(draw(2) > 0.48).where(geom.inside_polygon(F.col("p"), F.col("poly")))
-    return out.select("id", "ord", "i", "j", "p")
+    out = geom.once(shapes, b=b, step=step)
+    cells = lambda lo, hi: F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil((F.col(f"b.{hi}") - F.col(f"b.{lo}")) / F.col("step"))) - 1)
+    out = out.withColumn("i", F.explode(cells("minx", "maxx"))).withColumn("j", F.explode(cells("minz", "maxz")))
+    p = geom.point(F.col("b.minx") + (F.col("i") + _draw(0)) * F.col("step"), F.col("b.minz") + (F.col("j") + _draw(1)) * F.col("step"))
+    return geom.once(out, p=p, u=_draw(2), v=_draw(3)).where(geom.inside_polygon(F.col("p"), F.col("poly")))
+
+
+def garden_candidates(shapes: DataFrame, step: float = 38.0) -> DataFrame:
+    """(id, ord, i, j, p, height): jittered grid points inside gardens (id, ord, poly), about half of the cells."""
+    out = _jittered(shapes, F.lit(step)).where("u > 0.48")
+    return out.select("id", "ord", "i", "j", "p", (5 + F.col("v") * 5).alias("height"))
+
+
+def wood_order(woods: DataFrame) -> DataFrame:
+    """Adds distance, of the box's centre from the nearer village, and place: woods(ord, poly, added, ...) in the order of
+    distance; of equal ones the added source's come first, the last of them in front."""
+    out = geom.once(woods, distance=village_distance(geom.centre(F.col("poly")[0])))
+    front = F.coalesce("added", F.lit(False))
+    return out.withColumn("place", F.row_number().over(Window.orderBy("distance", ~front, F.when(front, -F.col("ord")).otherwise(F.col("ord")))).cast("long"))  # a row per wood
+
+
+def wood_candidates(woods: DataFrame) -> DataFrame:
+    """(id, place, i, j, p, height): jittered grid points inside woods(id, place, distance, scrub, poplar, poly), sparser
+    farther away."""
+    scrub, poplar = (F.coalesce(c, F.lit(False)) for c in ("scrub", "poplar"))
+    out = _jittered(woods, tree_step(scrub, F.col("distance")))
+    height = F.when(scrub, 4 + F.col("v") * 4).when(poplar, 13 + F.col("v") * 5).otherwise(9 + F.col("v") * 7)
+    return out.select("id", "place", "i", "j", "p", height.alias("height"))
+
+
+def unblocked(points: DataFrame, shapes: DataFrame, lines: DataFrame, margin: float = 9.0, size: float = 80.0) -> DataFrame:
+    """The points(p, ...) that stand in none of shapes(poly) and not within (width + margin) / 2 of any of lines(line,
+    width). Exact, where a drawn mask would be as coarse as its pixels."""
+    at = points.withColumn("_cx", F.floor(F.col("p.x") / size).cast("int")).withColumn("_cz", F.floor(F.col("p.z") / size).cast("int"))
+    boxes = spatial.grid_cover(shapes.select("poly"), geom.bounds(F.col("poly")[0]), size).select(F.col("cx").alias("_cx"), F.col("cz").alias("_cz"), "poly")
+    free = at.join(boxes, (at["_cx"] == boxes["_cx"]) & (at["_cz"] == boxes["_cz"]) & geom.inside_polygon(at["p"], boxes["poly"]), "left_anti")
+    legs = lines.select(F.explode(geom.path_edges(F.col("line"))).alias("leg"), ((F.col("width") + margin) / 2).alias("reach"))
+    lo, hi = (lambda k, f=f, sign=sign: f(F.col(f"leg.a.{k}"), F.col(f"leg.b.{k}")) + sign * F.col("reach") for f, sign in ((F.least, -1), (F.greatest, 1)))
+    box = F.struct(lo("x").alias("minx"), hi("x").alias("maxx"), lo("z").alias("minz"), hi("z").alias("maxz"))
+    cover = spatial.grid_cover(legs, box, size).select(F.col("cx").alias("_cx"), F.col("cz").alias("_cz"), "leg", "reach")
+    near = geom.segment_distance(free["p"], cover["leg.a"], cover["leg.b"]) < cover["reach"]
+    return free.join(cover, (free["_cx"] == cover["_cx"]) & (free["_cz"] == cover["_cz"]) & near, "left_anti").drop("_cx", "_cz")
 
 
 def planted(candidates: DataFrame, limit: int = MAX_TREES) -> DataFrame:
-    """Trees (ord, real, p): the first of each cell of 7 m, real ones first and all of them, others up to the limit."""
+    """Trees of candidates(ord, real, p, ...): the first of each cell of 7 m, real ones first and all of them, others up to
+    the limit."""
     cell = lambda k: jsem.round_half_up(F.col("p")[k] / TREE_CELL)
-    first = candidates.withColumn("ci", cell("x")).withColumn("cj", cell("z")).groupBy("ci", "cj").agg(F.min(F.struct((~F.col("real")).alias("late"), F.col("ord"), F.col("p"))).alias("t"))
-    first = first.select(F.col("t.ord").alias("ord"), (~F.col("t.late")).alias("real"), F.col("t.p").alias("p"))
+    first = candidates.withColumn("ci", cell("x")).withColumn("cj", cell("z")).groupBy("ci", "cj").agg(F.min_by(F.struct(*candidates.columns), F.struct(~F.col("real"), "ord")).alias("t")).select("t.*")
     made = first.where("not real").orderBy("ord").limit(limit)  # the limit is the feature
     have = first.where("real")
     room = have.agg(F.greatest(F.lit(0), F.lit(limit) - F.count("*")).alias("room"))
     ranked = made.withColumn("rn", F.row_number().over(Window.orderBy("ord"))).crossJoin(room).where("rn <= room")  # limit rows at most, one row
-    return have.unionByName(ranked.select("ord", "real", "p"))
+    return have.unionByName(ranked.select(*have.columns))

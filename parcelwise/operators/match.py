@@ -67,3 +67,24 @@ def roof_materials(code: Column) -> Column:
     """Distinct materials of a code's known digits, in their order."""
     known = F.array_distinct(F.filter(F.split(F.coalesce(code, F.lit("")), ""), lambda c: c.isin(*ROOF_CODES)))
     return F.transform(known, lambda c: jsem.lookup(c, ROOF_CODES))
+
+
+def entries(matches: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(id, entry) of matches(id, source_id, iou, coverage, runner_up, *columns): what a match brings, the match itself as
+    a struct with rounded figures, like the columns asked for."""
+    figure = lambda c: jsem.round_to(F.col(c), 3).alias(c)
+    return matches.select("id", F.struct("source_id", F.struct(figure("iou"), figure("coverage"), figure("runner_up")).alias("match"), *columns).alias("entry"))
+
+
+def annotated(found: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """(id, entry, landmark) of found(id, entry) and landmarks(id, ord, ...): the last landmark of an id is added to its
+    entry, or makes a row without one."""
+    rest = [c for c in landmarks.columns if c not in ("id", "ord")]
+    last = landmarks.groupBy("id").agg(F.max_by(F.struct(*rest), "ord").alias("landmark"))
+    return found.join(last, "id", "full")
+
+
+def enriched(df: DataFrame, extra: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Rows of df with the columns of extra(key, ...), or their defaults where there is no row."""
+    out = df.join(extra.select(key, *defaults), key, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

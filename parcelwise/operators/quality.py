@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +39,108 @@ def outside(points: DataFrame, extent: Column, slack: float = 0.01) -> DataFrame
     return points.where(bad)
 
 
+def wrong_code(df: DataFrame, column: str, code: str) -> DataFrame:
+    return df.where(~F.col(column).eqNullSafe(F.lit(code)))
+
+
+def origin_outside(borders: DataFrame) -> DataFrame:
+    """One row if none of borders(poly) holds the origin."""
+    here = geom.inside_polygon(geom.point(F.lit(0), F.lit(0)), F.col("poly"))
+    return borders.agg(F.count_if(here).alias("n")).where("n = 0")
+
+
+def too_wide(extents: DataFrame, most: float = 7000.0) -> DataFrame:
+    """Extents (minx, maxx, minz, maxz) of that size or more."""
+    return extents.where((F.col("maxx") - F.col("minx") >= most) | (F.col("maxz") - F.col("minz") >= most))
+
+
+def too_few(counts: DataFrame, least: dict[str, int]) -> DataFrame:
+    """(name, n): the counts of a one-row table that aren't above their bound."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n"), F.lit(n).alias("least")) for c, n in least.items()])
+    return counts.select(F.inline(pairs)).where("n <= least").select("name", "n")
+
+
+def without(df: DataFrame, required: list[dict[str, str]], tags: str = "properties") -> DataFrame:
+    """(k): the numbers of required tag sets that no feature has."""
+    has = [F.max(F.when(F.coalesce(reduce(lambda a, b: a & b, [F.col(tags)[k] == v for k, v in want.items()]), F.lit(False)), 1).otherwise(0)).alias(f"r{k}") for k, want in enumerate(required)]
+    there = df.agg(*has)
+    return there.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"r{k}", F.lit(0)).alias("n")) for k in range(len(required))]))).where("n = 0").select("k")
+
+
+def misoriented(origins: DataFrame, origin: tuple[float, float]) -> DataFrame:
+    """Origins (lon, lat) from which a thousandth of a degree east isn't more than 70 m to the east, or north 110 m to the
+    north, in the projection around origin."""
+    here = geom.project(F.col("lon"), F.col("lat"), origin)
+    east, north = geom.project(F.col("lon") + 0.001, F.col("lat"), origin), geom.project(F.col("lon"), F.col("lat") + 0.001, origin)
+    return origins.where(~((east["x"] - here["x"] > 70) & (north["z"] - here["z"] < -110)))
+
+
+def changed(found: DataFrame, expected: DataFrame, key: str, digest: str = "sha256") -> DataFrame:
+    """Keys whose digest isn't the expected one, or isn't there."""
+    f, e = found.select(key, F.col(digest).alias("_now")), expected.select(key, F.col(digest).alias("_then"))
+    return e.join(f, key, "left").where(~F.col("_now").eqNullSafe(F.col("_then"))).select(key)
+
+
+def altered_walls(profiles: DataFrame, source: DataFrame, tags: str = "tags") -> DataFrame:
+    """Ids of buildings whose given wall height isn't kept though no height is tagged."""
+    given = source.where(F.col("wall_height").isNotNull() & (F.col("wall_height") != 0) & F.coalesce(F.col(tags)["height"], F.lit("")).eqNullSafe(F.lit("")))
+    both = profiles.select("id", F.col("wall_height").alias("_now")).join(given.select("id", F.col("wall_height").alias("_then")), "id")
+    return both.where(~F.col("_now").eqNullSafe(F.col("_then"))).select("id")
+
+
+def invented_names(records: DataFrame, features: DataFrame) -> DataFrame:
+    """(id, source_id): records (id, name, source_ids) whose name isn't that of a source feature (id, name, ref), or whose
+    source isn't there."""
+    own = records.select("id", "name", F.explode("source_ids").alias("source_id"))
+    title = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.col("ref"), F.lit("")))
+    known = features.select(F.col("id").alias("source_id"), title.alias("_title"))
+    return own.join(known, "source_id", "left").where(~F.col("name").eqNullSafe(F.col("_title"))).select("id", "source_id")
+
+
+def bad_vertices(built: DataFrame, extent: Column, slack: float = 0.1, most: float = 90.0) -> DataFrame:
+    """Corners of built(id, walls) that aren't finite, lie outside the extent, or are below 0 or not below 90 m."""
+    corner = lambda p, y: F.struct(F.col(f"w.{p}").alias("p"), F.col(f"w.{y}").alias("y"))
+    rows = built.select("id", F.explode("walls").alias("w")).select("id", F.explode(F.array(corner("a", "low"), corner("b", "low"), corner("b", "top_b"), corner("a", "top_a"))).alias("c")).select("id", "c.p", "c.y")
+    high = F.isnan("y") | F.col("y").isNull() | (F.col("y") < 0) | (F.col("y") >= most)
+    return rows.where(high).select("id").unionByName(outside(rows.where(~high), extent, slack).select("id"))
+
+
+def unresolved(picks: DataFrame) -> DataFrame:
+    """Of picks(query_id, record_id, want): queries that don't lead to the record they were made for."""
+    return picks.where(~F.col("record_id").eqNullSafe(F.col("want")))
+
+
+def report(rules: dict[str, DataFrame]) -> DataFrame:
+    """(rule, violations): how many rows each rule's query returns."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, df in rules.items()])
+
+
 def weak_matches(matches: DataFrame, coverage: float = 0.65, iou: float = 0.5, margin: float = 0.149) -> DataFrame:
     """Matches that don't hold the thresholds (the margin allows for values rounded to three digits)."""
     return matches.where((F.col("coverage") < coverage) | (F.col("iou") < iou) | (F.col("iou") - F.col("runner_up") < margin))
 
 
-def interval_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, mean, and nearest-rank quantiles sorted[floor(n * q)] (not those of percentile functions)."""
-    v = F.sort_array(F.collect_list(value))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), v.alias("v"))
-    at = lambda q: F.get("v", F.floor(F.col("n") * q).cast("int"))
-    return out.select(*keys, "n", "mean", at(0.5).alias("median"), at(0.95).alias("p95"))
+def interval_statistics(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """Count, mean, and nearest-rank quantiles sorted[floor(n * q)] (not those of percentile functions). Exact, without
+    gathering a key's values: approximate quantiles (a sketch) cut a key's values into buckets, the buckets' exact counts
+    tell which bucket holds a rank, and only that bucket's rows are ranked."""
+    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    r, s = rows.alias("r"), stats.alias("s")
+    placed = r.join(s, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select(*[F.col(f"r.{k}") for k in keys], "n", "_v", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("_v"))).alias("_b"))
+    held = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_m"), F.first("n").alias("n"))
+    ahead = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.array(*[F.floor(F.col("n") * q).cast("long") for q in (0.5, 0.95)])
+    held = held.withColumn("_ahead", ahead).withColumn("_want", F.filter(ranks, lambda r: (r >= F.col("_ahead")) & (r < F.col("_ahead") + F.col("_m")))).where("size(_want) > 0")
+    p, h = placed.alias("p"), held.select(*keys, "_b", "_ahead", "_want").alias("h")
+    some = p.join(h, [F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*keys, "_b")]).select(*[F.col(f"p.{k}") for k in keys], "p._b", "_v", "n", "_ahead", "_want")
+    rank = F.col("_ahead") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) - 1
+    some = some.withColumn("_rank", rank).where(F.array_contains("_want", F.col("_rank")))
+    at = lambda q: F.max(F.when(F.col("_rank") == F.floor(F.col("n") * q), F.col("_v")))
+    found = some.groupBy(*keys).agg(at(0.5).alias("median"), at(0.95).alias("p95"))
+    f = found.alias("f")
+    out = s.join(f, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "left")
+    return out.select(*[F.col(f"s.{k}") for k in keys], "n", "mean", "median", "p95")
 
 
 def frame_intervals(df: DataFrame, keys: list[str], n: str, t: str, warm_up: int = 15) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom
+from parcelwise.operators.rounds import cut, first_kept
 
 CELL = 80.0
+#: Cells that one box may cover; a bad coordinate is an error, not billions of rows.
+MOST_CELLS = 1 << 20
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -16,9 +19,11 @@ def _cell(x: Column, size: float) -> Column:
 
 
 def grid_cover(df: DataFrame, box: Column, size: float = CELL) -> DataFrame:
-    """A row per grid cell that a box touches: cx, cz, and the box's first cell cx0, cz0."""
-    out = df.withColumn("_b", box).withColumn("cx0", _cell(F.col("_b.minx"), size)).withColumn("cz0", _cell(F.col("_b.minz"), size))
-    out = out.withColumn("cx", F.explode(F.sequence("cx0", _cell(F.col("_b.maxx"), size))))
+    """A row per grid cell that a box touches: cx, cz, and the box's first cell cx0, cz0. No box, no row."""
+    out = geom.once(df, _b=box).withColumn("cx0", _cell(F.col("_b.minx"), size)).withColumn("cz0", _cell(F.col("_b.minz"), size))
+    cells = ((F.col("_b.maxx") - F.col("_b.minx")) / size + 1) * ((F.col("_b.maxz") - F.col("_b.minz")) / size + 1)
+    far = F.when(cells <= MOST_CELLS, _cell(F.col("_b.maxx"), size)).otherwise(F.raise_error(F.lit("a box covers too many cells: bad coordinates, or cells that are too small")).cast("int"))
+    out = out.where("_b is not null").withColumn("cx", F.explode(F.sequence("cx0", far)))
     return out.withColumn("cz", F.explode(F.sequence("cz0", _cell(F.col("_b.maxz"), size)))).drop("_b")
 
 
@@ -98,17 +103,61 @@ def merged_by_name(marks: DataFrame, records: DataFrame, reach: float = 45.0) ->
     return out.select("id", "name", F.coalesce("found", "id").alias("record_id"), F.col("found").isNull().alias("added"))
 
 
-def nearest_by_name(marks: DataFrame, records: DataFrame) -> DataFrame:
-    """Each mark (id, name, p) with the nearest record (record_id, record_name, q, ord) of its name."""
-    both = marks.join(records, marks["name"] == records["record_name"]).withColumn("d", geom.distance(F.col("p"), F.col("q")))
-    return both.groupBy("id").agg(F.min_by("record_id", F.struct("d", "ord")).alias("record_id"))
-
-
-def interval_lookup(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+def first_come(marks: DataFrame, reach: float = 45.0, by_name: bool = True) -> DataFrame:
+    """(id, record_id) of marks(id, name, p, ord): in their order, a mark joins the first record (of its name) less than
+    reach away, a record being an earlier mark that joined none; else it is a record itself."""
+    other = marks.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("p").alias("q"), F.col("ord").alias("other_ord"))
+    earlier = "(other_ord < ord or other_ord = ord and other < id)" + " and name = other_name" * by_name
+    pairs = cut(near_pairs(marks.select("id", "name", "p", "ord"), other, reach).where(earlier).select("id", "other", "other_ord"))
+    state = first_kept(marks, pairs)
+    target = pairs.join(state.where("kept").select(F.col("id").alias("other")), "other").groupBy("id").agg(F.min_by("other", F.struct("other_ord", "other")).alias("record_id"))
+    return state.join(target, "id", "left").select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("record_id")).alias("record_id"))
+
+
+def nearest_by_name(marks: DataFrame, records: DataFrame, first: float = 128.0) -> DataFrame:
+    """Each mark (id, name, p) with the nearest record (record_id, record_name, q, ord) of its name. Cells grow fourfold
+    from round to round: a mark whose nearest record around its cell is nearer than a cell is wide is done, so a
+    common name costs its near records, not all pairs. The last round has one cell for all that is left."""
+    at = lambda p, size: (_cell(F.col(p)["x"], size).alias("cx"), _cell(F.col(p)["z"], size).alias("cz"))
+    marks, size, done = marks.join(records.select(F.col("record_name").alias("name")).distinct(), "name", "left_semi"), first, []
+    b = records.select(F.min("q.x").alias("a"), F.max("q.x").alias("b"), F.min("q.z").alias("c"), F.max("q.z").alias("d")).first()  # one row
+    span = max(b["b"] - b["a"], b["d"] - b["c"]) if b["a"] is not None else 0.0
+    while True:
+        last = size > span
+        there = records.select("record_id", F.col("record_name").alias("name"), "q", "ord", *(at("q", size) if not last else (F.lit(0).alias("cx"), F.lit(0).alias("cz"))))
+        if last:
+            mine = marks.select("id", "name", "p", F.lit(0).alias("cx"), F.lit(0).alias("cz"))
+        else:
+            around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+            mine = marks.select("id", "name", "p", *at("p", size)).withColumn("cx", around("cx")).withColumn("cz", around("cz"))
+        best = mine.join(there, ["name", "cx", "cz"]).withColumn("d", geom.distance(F.col("p"), F.col("q"))).groupBy("id").agg(F.min(F.struct("d", "ord", "record_id")).alias("r"))
+        found = best if last else best.where(F.col("r.d") < size)
+        found = cut(found.select("id", "r.record_id"))
+        done.append(found)
+        marks = marks.join(found.select("id"), "id", "left_anti")
+        if last or marks.isEmpty():
+            break
+        marks, size = cut(marks), size * 4
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def interval_lookup(points: DataFrame, ranges: DataFrame, keys: list[str], cell: int = 1 << 16) -> DataFrame:
     """Adds range_id, the range [start, end) of the same keys that holds pos, else null. Ranges don't overlap within
-    the keys; starts and points are sorted together and the last start is carried on, so no range join is needed."""
+    the keys; starts and points are sorted together and the last start is carried on, so no range join is needed. That
+    is done within cells of positions; the last start of each cell is carried on from cell to cell, a row each, so a
+    key with many ranges is spread over tasks."""
     known = ranges.select(*keys, F.col("start").alias("pos"), F.lit(0).alias("_k"), F.struct("id", "end").alias("_r"), F.lit(None).cast("long").alias("_p"))
     asked = points.select(*keys, "pos", F.lit(1).alias("_k"), F.lit(None).cast(known.schema["_r"].dataType).alias("_r"), F.col("point_id").alias("_p"))
-    order = Window.partitionBy(*keys).orderBy("pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = known.unionByName(asked).withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_k = 1")
-    return out.select(F.col("_p").alias("point_id"), *keys, "pos", F.when(F.col("pos") < F.col("_r.end"), F.col("_r.id")).alias("range_id"))
+    place = F.floor(F.col("pos") / cell).alias("_c")
+    both = known.unionByName(asked).withColumn("_c", place)
+    lasts = both.groupBy(*keys, "_c").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("pos"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy(*keys, "_c").orderBy("pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_k = 1")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "_c")]
+    out = out.alias("o").join(lasts.withColumn("_before", before).select(*keys, "_c", "_before").alias("b"), same, "left")
+    held = F.coalesce("_r", "_before")
+    return out.select(F.col("_p").alias("point_id"), *[F.col(f"o.{c}") for c in keys], "pos", F.when(F.col("pos") < held["end"], held["id"]).alias("range_id"))

@@ -55,7 +55,16 @@ def id_hash(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select(k.alias("id"), jsem.text_hash(F.concat(F.lit("way/"), k)).alias("hash"))
 
 
-@query()
+_U32 = "& 4294967295"
+
+
+def _imul(a: str, b: str) -> str:
+    """The low 32 bits of a product, unsigned."""
+    return f"CAST(CAST(({a}) {_U32} AS HUGEINT) * CAST(({b}) {_U32} AS HUGEINT) % 4294967296 AS BIGINT)"
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS id, (10220 + {_imul('p_partkey + 1', '1831565813')}) {_U32} AS s FROM part), b AS (SELECT id, {_imul('xor(s, s >> 15)', 's | 1')} AS t FROM a),
+c AS (SELECT id, t, (t + {_imul('xor(t, t >> 7)', 't | 61')}) {_U32} AS m FROM b), d AS (SELECT id, xor(m, t) AS t FROM c) SELECT id, xor(t, t >> 14) / CAST(4294967296 AS DOUBLE) AS value FROM d""")
 def seeded_random(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), jsem.seeded_random(F.col("p_partkey") + 1).alias("value"))
 
@@ -182,9 +191,9 @@ def category_counts(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, coalesce(c_mktsegment, 'none') AS usage, coalesce(c_acctbal, 0) AS height FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 > 0")
 def enrich_left_join(spark, sf_dir):
-    extra = fx.table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
-    out = fx.table(spark, sf_dir, "orders").join(extra, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return out.select(F.col("o_orderkey").alias("id"), F.coalesce("c_mktsegment", F.lit("none")).alias("usage"), F.coalesce("c_acctbal", F.lit(0.0)).alias("height"))
+    extra = fx.table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("usage"), F.col("c_acctbal").alias("height"))
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"))
+    return match.enriched(rows, extra, "key", {"usage": "none", "height": 0.0}).select("id", "usage", "height")
 
 
 _LAND = """t AS (SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'forest' WHEN 1 THEN 'vineyard' WHEN 2 THEN 'reservoir' WHEN 3 THEN '' WHEN 4 THEN 'railway' WHEN 5 THEN 'odd' END AS landuse, CASE event_id % 5 WHEN 0 THEN 'water' WHEN 1 THEN 'scrub' WHEN 2 THEN 'grassland' END AS nat,

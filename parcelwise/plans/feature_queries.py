@@ -94,7 +94,8 @@ def landmarks(spark, sf_dir):
 
 @query("SELECT c_custkey AS id, c_mktsegment AS nature, c_acctbal AS precision FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def vegetation_subset(spark, sf_dir):
-    return fx.table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("nature"), F.col("c_acctbal").alias("precision"))
+    rows = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("nature"), F.col("c_acctbal").alias("precision"), "c_name")
+    return geojson.of_nature(rows, ("BUILDING", "MACHINERY"))
 
 
 def _extent(x0, x1, z0, z1):
@@ -213,9 +214,10 @@ def longest_edge(spark, sf_dir):
 SELECT f.ref, id, n // 2 AS at FROM f JOIN r USING (id)""")
 def road_shields(spark, sf_dir):
     c, k = F.col("o_custkey"), F.col("o_orderkey")
-    rows = fx.table(spark, sf_dir, "orders").select(k.alias("id"), F.when(c % 5 == 0, "D 619").when(c % 5 == 1, "D 116").when(c % 5 == 2, "A 1").alias("ref"), (k % 6).alias("n"))
-    first = rows.where(F.col("ref").isin("D 619", "D 116") & (F.col("n") > 3)).groupBy("ref").agg(F.min_by(F.struct("id", "n"), "id").alias("f"))
-    return first.select("ref", "f.id", F.floor(F.col("f.n") / 2).alias("at"))
+    line = F.transform(F.sequence(F.lit(1).cast("long"), k % 6), lambda i: geom.point(i - 1, k))
+    rows = fx.table(spark, sf_dir, "orders").where(k % 6 > 0).select(k.alias("ord"), F.when(c % 5 == 0, "D 619").when(c % 5 == 1, "D 116").when(c % 5 == 2, "A 1").alias("ref"), line.alias("line"))
+    out = labels.shields(rows, ("D 619", "D 116"))
+    return out.select(F.col("name").alias("ref"), F.col("p.z").cast("long").alias("id"), F.col("p.x").cast("long").alias("at"))
 
 
 @query("SELECT n_name AS name, TRUE AS own FROM nation UNION ALL SELECT name, FALSE FROM (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE (SELECT min(n_name) FROM nation) END AS name FROM customer) WHERE name NOT IN (SELECT n_name FROM nation)")
@@ -232,25 +234,12 @@ def label_order(spark, sf_dir):
     return labels.in_order(rows).withColumn("place", F.row_number().over(Window.orderBy(F.desc("major"), "ord")).cast("long"))
 
 
-@query()
-def label_fit(spark, sf_dir):
-    s = F.col("s_suppkey")
-    rows = fx.table(spark, sf_dir, "supplier").select((s % 4).alias("view_id"), s.alias("id"), s.alias("ord"), F.col("s_name").alias("name"), (s % 5 == 0).alias("major"), (s % 3 == 0).alias("local"), (s * 40.0).alias("distance"), (s * 53 % 1400).cast("double").alias("x"), (s * 29 % 900).cast("double").alias("y"))
-    return labels.fitting(rows, 1280.0, 800.0)
-
-
 @query(f"{fx.sql('pt')}, c AS (SELECT floor(x / 7 + 0.5) AS i, floor(z / 7 + 0.5) AS j, min(point_id) AS ord FROM pt GROUP BY 1, 2), r AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rn FROM c) SELECT ord FROM r WHERE rn <= 3200")
 def tree_cells(spark, sf_dir):
     rows = fx.points(spark, sf_dir).select(F.col("point_id").alias("ord"), F.lit(False).alias("real"), "p")
     return landuse.planted(rows).select("ord")
 
 
-@query()
-def garden_points(spark, sf_dir):
-    shapes = fx.zones(spark, sf_dir).withColumn("id", F.col("ord"))
-    return landuse.garden_candidates(shapes).select("id", "i", "j", F.round("p.x", 6).alias("x"), F.round("p.z", 6).alias("z"))
-
-
 @query("""WITH n AS (SELECT event_id, event_type, row_number() OVER w AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_id, n, dt FROM n WHERE n > 15""")
 def frame_lag(spark, sf_dir):
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")

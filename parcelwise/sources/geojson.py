@@ -11,15 +11,32 @@ FEATURE = "struct<type:string,id:string,properties:map<string,string>,geometry:s
 _MULTI = {"Point": 0, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, id, properties, kind, coordinates) of a collection or a single feature; coordinates as JSON text. A byte
-    order mark at a file's start is dropped."""
-    text = F.regexp_replace(F.col("value"), "^﻿", "")
-    whole = spark.read.text(path, wholetext=True).select(text.alias("v"))
+def parse(texts: DataFrame) -> DataFrame:
+    """(ord, id, properties, kind, coordinates) of each of texts(value, ...), a collection or a single feature, beside its
+    other columns; coordinates as JSON text. A byte order mark at a text's start is dropped."""
+    rest = [c for c in texts.columns if c != "value"]
+    whole = texts.select(*rest, F.regexp_replace(F.col("value"), "^\ufeff", "").alias("v"))
     many = F.from_json(F.get_json_object("v", "$.features"), f"array<{FEATURE}>")
     one = F.array(F.from_json("v", FEATURE))
-    rows = whole.select(F.posexplode(F.coalesce(many, one)).alias("ord", "f"))
-    return rows.select("ord", "f.id", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+    rows = whole.select(*rest, F.posexplode(F.coalesce(many, one)).alias("ord", "f"))
+    return rows.select(*rest, "ord", "f.id", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """The features of files: a file is one JSON text, as such files are written."""
+    return parse(spark.read.text(path, wholetext=True).select("value"))
+
+
+def load(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The features of several files by name; fails as a whole where one is missing."""
+    return {name: features(spark, f"{folder}/{name}") for name in names}
+
+
+def boundary(df: DataFrame, code: str) -> DataFrame:
+    """The features as they are; reading one with another code, or none that is an area, is an error."""
+    good = F.col("kind").isin("Polygon", "MultiPolygon") & F.col("properties")["code"].eqNullSafe(F.lit(code))
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("not the boundary of "), F.lit(code), F.lit(": "), F.coalesce("id", F.lit("?")))))
+    return df.withColumn("kind", checked)
 
 
 def polygons(df: DataFrame, origin: tuple[float, float]) -> DataFrame:
@@ -63,6 +80,11 @@ def named_zones(df: DataFrame, commune: str) -> DataFrame:
     return df.where((F.col("insee") == commune) & (F.col("state") == "En service") & F.col("fictitious").eqNullSafe(False) & jsem.text_or_null("name").isNotNull()).select("id", "name", "nature", "precision")
 
 
+def of_nature(df: DataFrame, natures: tuple[str, ...]) -> DataFrame:
+    """Features of some natures: id, nature, precision."""
+    return df.where(F.col("nature").isin(*natures)).select("id", "nature", "precision")
+
+
 def landmarks(df: DataFrame, commune: str) -> DataFrame:
     """Zones in service with a name or a nature that stands for one; the flag of unreal geometry is carried along."""
     # Names by nature.
@@ -71,11 +93,41 @@ def landmarks(df: DataFrame, commune: str) -> DataFrame:
     return df.where((F.col("insee") == commune) & (F.col("state") == "En service")).withColumn("name", name).where("name is not null").select("id", "name", "nature", "precision", "fictitious")
 
 
+_NESTED = {"Point": "array<double>", "LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>"}
+
+
+def rounded_geometry(kind: Column, coordinates: Column, digits: int = 7) -> Column:
+    """Coordinates as JSON text with all numbers rounded; null for other kinds of geometry."""
+
+    def deep(x: Column, depth: int) -> Column:
+        return F.transform(x, lambda y: deep(y, depth - 1)) if depth else rounded(x, digits)
+
+    out = F.lit(None).cast("string")
+    for name, nested in _NESTED.items():
+        out = F.when(kind == name, F.to_json(deep(F.from_json(coordinates, nested), nested.count("array")))).otherwise(out)
+    return out
+
+
+def buildings(df: DataFrame) -> DataFrame:
+    """Features whose building tag isn't empty."""
+    return df.where(jsem.text_or_null(F.col("properties")["building"]).isNotNull())
+
+
 def write_features(df: DataFrame, path: str) -> None:
-    """JSON lines with null fields kept."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """JSON lines with null fields kept, coordinates rounded."""
+    out = df.withColumn("coordinates", rounded_geometry(F.col("kind"), F.col("coordinates"))) if {"kind", "coordinates"} <= set(df.columns) else df
+    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """A snapshot that is written only where there is none."""
+def write_once(df: DataFrame, path: str, provenance: dict[str, str] | None = None) -> None:
+    """A snapshot that is written only where there is none, and beside it where it comes from (requests, box, time,
+    licence), as a table of names and values."""
     df.write.mode("ignore").parquet(path)
+    if provenance:
+        df.sparkSession.createDataFrame(sorted(provenance.items()), "name string, value string").coalesce(1).write.mode("ignore").json(path.rstrip("/") + ".provenance")
+
+
+def write_all(tables: dict[str, DataFrame], folder: str) -> None:
+    """Several tables, each by its name; audits and enrichment go this way."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")

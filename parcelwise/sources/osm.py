@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,50 @@ def way_geometry(refs: DataFrame, nodes: DataFrame, areas: DataFrame) -> DataFra
     listed = areas.select("way_id").distinct().withColumn("listed", F.lit(True))
     out = joined.join(listed, "way_id", "left")
     return out.select("way_id", F.when(closed & F.col("listed"), "Polygon").otherwise("LineString").alias("kind"), F.size(path).alias("n_points"), path.alias("path"), F.exists("s", lambda p: p["lon"].isNull()).alias("tainted"))
+
+
+def _stitched(ways: list[list[tuple[float, float]]]) -> tuple[list[list[tuple[float, float]]], bool]:
+    """Rings that ways make up end to end, either way round, and whether all are closed."""
+    left, rings, whole = [w for w in ways if len(w) > 1], [], True
+    while left:
+        ring = list(left.pop(0))
+        while ring[0] != ring[-1]:
+            k = next((k for k, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
+            if k is None:
+                whole = False
+                break
+            w = left.pop(k)
+            ring += (w if w[0] == ring[-1] else w[::-1])[1:]
+        rings.append(ring)
+    return rings, whole
+
+
+def _holds(ring: list[tuple[float, float]], p: tuple[float, float]) -> bool:
+    """Even-odd containment."""
+    hits = 0
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        hits += (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax
+    return hits % 2 == 1
+
+
+def _assembled(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("pos")
+    path = lambda rows: [[(p["lon"], p["lat"]) for p in w] for w in rows if w is not None]
+    outer, closed = _stitched(path(group.path[group.role != "inner"]))
+    inner, also = _stitched(path(group.path[group.role == "inner"]))
+    polys = [[ring] for ring in outer if ring[0] == ring[-1]]
+    for ring in inner:
+        home = next((p for p in polys if _holds(p[0], ring[0])), None)
+        if home is not None:
+            home.append(ring)
+    polys = [[[{"lon": x, "lat": y} for x, y in ring] for ring in p] for p in polys]
+    return pd.DataFrame({"relation_id": [group.relation_id.iloc[0]], "polys": [polys], "tainted": [bool(group.path.isna().any() or not closed or not also)]})
+
+
+def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
+    """(relation_id, polys, tainted) of members(relation_id, pos, role, way_id) and ways(way_id, path): outer ways are
+    joined end to end to shells, inner ones to holes of the shell they lie in; a relation with a missing way or an open
+    ring is tainted. A relation is one group: map data bounds its members (32,000), so no group grows with the input."""
+    rows = members.join(ways.select("way_id", "path"), "way_id", "left").select("relation_id", "pos", F.coalesce("role", F.lit("outer")).alias("role"), "path")
+    point = "struct<lon:double,lat:double>"
+    return rows.groupBy("relation_id").applyInPandas(_assembled, f"relation_id long, polys array<array<array<{point}>>>, tainted boolean")

@@ -26,7 +26,7 @@ def first_answer(endpoints: list[str], parameters: dict, transport) -> dict:
     for endpoint in endpoints:
         try:
             got = transport(endpoint, parameters)
-            if not isinstance(got, dict) or got.get("remark") or "features" not in got:
+            if not isinstance(got, dict) or got.get("remark") or not ("features" in got or got.get("elements")):
                 raise ValueError("not a whole answer")
             return got
         except Exception as e:  # noqa: BLE001  the next endpoint may answer
