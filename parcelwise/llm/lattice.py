@@ -188,6 +188,22 @@ def _first_shared(keys: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.nda
     return out
 
 
+def _share_smaller(keys: np.ndarray, bucket: int) -> np.ndarray:
+    """Which rows share a cell that is smaller than the one they are all in."""
+    values, of, count = np.unique(keys, return_inverse=True, return_counts=True)
+    use = (count > 1) & (values < bucket) & (values != _NONE)
+    column, of = np.cumsum(use) - 1, of.ravel()
+    row, at = np.repeat(np.arange(len(keys)), keys.shape[1])[use[of]], column[of[use[of]]]
+    out = np.zeros((len(keys), len(keys)), bool)
+    for lo in range(0, int(use.sum()), 4096):
+        there = np.zeros((len(keys), 4096), np.float32)
+        some = (at >= lo) & (at < lo + 4096)
+        there[row[some], at[some] - lo] = 1
+        there = there[:, : int(use.sum()) - lo]
+        out |= there @ there.T > 0
+    return out
+
+
 def _compare(least: float):
     def links(group: pa.Table, found: _Links) -> None:
         """Links among rows that lie group by group."""
@@ -203,10 +219,10 @@ def _compare(least: float):
         keys[np.arange(keys.shape[1]) < many[:, None]] = cells.flatten().to_numpy()
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        def fit(i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> None:
+        def fit(i: np.ndarray, j: np.ndarray, cos: np.ndarray, known: bool = False) -> None:
             keep = (cos >= least) & (ids[i] != ids[j]) & (label[i] == label[j]) & (~cross[i] | (chunk[i] != chunk[j]))
             i, j = i[keep], j[keep]
-            own = _first_shared(keys, bucket, i, j)
+            own = slice(None) if known else _first_shared(keys, bucket, i, j)
             left.append(i[own])
             right.append(j[own])
 
@@ -226,8 +242,10 @@ def _compare(least: float):
                 own = np.arange(first[g], first[g] + sizes[g])
                 own = own[place[own] >= 0]
                 cos = unit[place[own]] @ unit[place[own]].T
-                i, j = np.nonzero(np.triu(cos >= least - 1e-9, 1))
-                fit(own[i], own[j], (unit[place[own[i]]] * unit[place[own[j]]]).sum(1))
+                near = np.triu(cos >= least - 1e-9, 1)
+                if near.any():
+                    i, j = np.nonzero(near & ~_share_smaller(keys[own], bucket[first[g]]))
+                    fit(own[i], own[j], (unit[place[own[i]]] * unit[place[own[j]]]).sum(1), known=True)
         found.add(ids, d1, size, np.concatenate(left), np.concatenate(right))
 
     def run(batches):
