@@ -185,6 +185,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = pick(docs, "doc_id", "text", cast=KINDS).where("doc_id is not null")
     seq, _ = stored(docs.mapInArrow(by_text("text", _sequence), "doc_id long, n_words long, s1 long, s2 long").where(F.col("n_words") >= window), "sequences")
     same = seq.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    same, _ = stored(same, "same")  # so that the copies of a frequent text can be split in the join
     repeated = seq.groupBy("doc_id").count().where("count > 1").select("doc_id")  # their rows may differ
     copies = seq.join(same, ["s1", "s2", "n_words"]).where("doc_id > rep").select("doc_id").join(repeated, "doc_id", "left_anti")
     copies, _ = stored(copies, "copies")
