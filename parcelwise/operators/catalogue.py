@@ -67,15 +67,16 @@ def pick(queries: DataFrame, buildings: DataFrame, points: DataFrame, lines: Dat
     record may be null: then nothing is found), the nearest point within 22, the nearest line within 10, the smallest
     zone. buildings(ord, record_id, poly), points(ord, record_id, q), lines(ord, record_id, line), zones(ord,
     record_id, poly)."""
-    one = spatial.first_container(queries, buildings, "query_id", "ord").select("query_id", F.struct("record_id").alias("t1"))
-    two = spatial.nearest_point(queries, points, "query_id", "ord").select("query_id", F.col("record_id").alias("t2"))
-    three = spatial.nearest_segment(queries, lines, "query_id", "ord").select("query_id", F.col("record_id").alias("t3"))
-    four = spatial.smallest_container(queries, zones, "query_id", "ord").select("query_id", F.col("record_id").alias("t4"))
-    out = queries.select("query_id")
-    for tier in (one, two, three, four):
-        out = out.join(tier, "query_id", "left")
-    tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3).when(F.col("t4").isNotNull(), 4)
-    return out.select("query_id", tier.alias("tier"), F.when(F.col("t1").isNotNull(), F.col("t1.record_id")).otherwise(F.coalesce("t2", "t3", "t4")).alias("record_id"))
+    tiers = (
+        spatial.first_container(queries, buildings, "query_id", "ord"), spatial.nearest_point(queries, points, "query_id", "ord"),
+        spatial.nearest_segment(queries, lines, "query_id", "ord"), spatial.smallest_container(queries, zones, "query_id", "ord"),
+    )
+    kind = buildings.schema["record_id"].dataType
+    out = queries.select("query_id", F.lit(len(tiers) + 1).alias("tier"), F.lit(None).cast(kind).alias("record_id"))
+    for k, found in enumerate(tiers):  # their rows meet in one shuffle, not in a join each
+        out = out.unionByName(found.select("query_id", F.lit(k + 1).alias("tier"), F.col("record_id").cast(kind).alias("record_id")))
+    best = out.groupBy("query_id").agg(F.min(F.struct("tier", "record_id")).alias("b"))
+    return best.select("query_id", F.when(F.col("b.tier") <= len(tiers), F.col("b.tier")).alias("tier"), F.col("b.record_id").alias("record_id"))
 
 
 def landmark_override(buildings: DataFrame, amenities: DataFrame) -> DataFrame:

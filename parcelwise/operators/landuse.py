@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geom, jsem
 from parcelwise.operators import spatial
+from parcelwise.operators.rounds import numbered
 
 # Classes of land.
 CLASSES = {
@@ -95,7 +96,8 @@ def wood_order(woods: DataFrame) -> DataFrame:
     distance; of equal ones the added source's come first, the last of them in front."""
     out = geom.once(woods, distance=village_distance(geom.centre(F.col("poly")[0])))
     front = F.coalesce("added", F.lit(False))
-    return out.withColumn("place", F.row_number().over(Window.orderBy("distance", ~front, F.when(front, -F.col("ord")).otherwise(F.col("ord")))).cast("long"))  # a row per wood
+    out = out.withColumns({"_late": ~front, "_turn": F.when(front, -F.col("ord")).otherwise(F.col("ord"))})
+    return numbered(out, [], ["distance", "_late", "_turn"], "place").drop("_late", "_turn")
 
 
 def wood_candidates(woods: DataFrame) -> DataFrame:

@@ -144,8 +144,11 @@ def interval_statistics(df: DataFrame, keys: list[str], value: str, buckets: int
 
 
 def frame_intervals(df: DataFrame, keys: list[str], n: str, t: str, warm_up: int = 15) -> DataFrame:
-    """Adds dt, the time since the frame before, for frames after the warm-up."""
-    return df.withColumn("dt", F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(n))).where(F.col(n) > warm_up)
+    """Adds dt, the time since the frame before, for frames after the warm-up; n counts a key's frames without gaps. The
+    frame before is looked up by its number, so a key with most of the frames is no single task's."""
+    before = df.select(*keys, (F.col(n) + 1).alias(n), F.col(t).alias("_before")).alias("b")
+    out = df.where(F.col(n) > warm_up).alias("f").join(before, [F.col(f"f.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, n)], "left")
+    return out.select(*[F.col(f"f.{c}") for c in df.columns], (F.col(f"f.{t}") - F.col("_before")).alias("dt"))
 
 
 def render_settings(mode: Column, dpr: Column, cores: Column, memory: Column) -> Column:

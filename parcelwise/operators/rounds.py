@@ -1,10 +1,10 @@
-"""Operators that decide rows in rounds."""
+"""Operators that decide or number rows in several steps, so that no key or order meets in one task."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,15 @@ def first_kept(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         state = cut(state.join(seen, "id", "left").select("id", now.alias("kept")))
         if state.where("kept is null").isEmpty():
             return state
+
+
+def numbered(df: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
+    """Adds a row's number (from 1) in an order within its keys. Rows are dealt out by ranges of keys and order; a range's
+    first number comes from the counts of those before, a row per key and range, and rows are ranked within ranges."""
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_held"))
+    ahead = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead")).alias("c")
+    rows = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).alias("r")
+    out = rows.join(counts, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_part")])
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_ahead") + F.col("_rank")).cast("long").alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geom, jsem
 from parcelwise.operators import catalogue, labels, landuse, quality
+from parcelwise.operators.rounds import numbered
 from parcelwise.plans import fixtures as fx
 from parcelwise.sources import geojson, osm
 
@@ -119,14 +120,16 @@ def tag_scan(spark, sf_dir):
 
 
 @query("""WITH refs AS (SELECT l_orderkey AS way_id, l_partkey % 40 AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS pos FROM lineitem),
-n AS (SELECT way_id, count(*) AS n, count(*) FILTER (node_id <> 39) AS known, min_by(node_id, pos) AS first, max_by(node_id, pos) AS last, sum(CASE WHEN node_id <> 39 THEN node_id * 0.5 * pos END) AS s FROM refs GROUP BY 1)
-SELECT way_id, CASE WHEN n >= 4 AND first = last AND way_id % 2 = 0 THEN 'Polygon' ELSE 'LineString' END AS kind, CAST(known AS INTEGER) AS n_points, known < n AS tainted FROM n""")
+k AS (SELECT way_id, sum(node_id * CAST(0.5 AS DOUBLE) * rn) AS path FROM (SELECT way_id, node_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) AS rn FROM refs WHERE node_id <> 39) GROUP BY 1),
+n AS (SELECT way_id, count(*) AS n, count(*) FILTER (node_id <> 39) AS known, min_by(node_id, pos) AS first, max_by(node_id, pos) AS last FROM refs GROUP BY 1)
+SELECT way_id, coalesce(path, 0) AS path, CASE WHEN n >= 4 AND first = last AND way_id % 2 = 0 THEN 'Polygon' ELSE 'LineString' END AS kind, CAST(known AS INTEGER) AS n_points, known < n AS tainted FROM n LEFT JOIN k USING (way_id)""")
 def osm_way_geometry(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     refs = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), F.row_number().over(order).alias("pos"), (F.col("l_partkey") % 40).alias("node_id"))
     nodes = spark.range(39).select(F.col("id").alias("node_id"), (F.col("id") * 0.5).alias("lon"), (F.col("id") * 0.25).alias("lat"))
     areas = fx.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("way_id"))
-    return osm.way_geometry(refs, nodes, areas).select("way_id", "kind", "n_points", "tainted")
+    place = F.aggregate(F.transform("path", lambda p, i: p["lon"] * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return osm.way_geometry(refs, nodes, areas).select("way_id", "kind", "n_points", "tainted", place.alias("path"))
 
 
 _GROUP = f"""{fx.sql('road')}, t AS (SELECT *, coalesce(nullif(trim(name), ''), ref) AS title FROM road), k AS (SELECT *, CASE WHEN is_road THEN 'road:' ELSE 'rail:' END || title AS key FROM t WHERE title IS NOT NULL)"""
@@ -182,6 +185,13 @@ def clip_counts(spark, sf_dir):
     return piece.agg(F.count("*").alias("pieces"), F.round(F.sum(F.col("s")[1]["x"] - F.col("s")[0]["x"]), 6).alias("length"))
 
 
+@query(f"""{fx.sql('pt')}, c AS (SELECT greatest(0, (100 - x) / 30, (100 - z) / 40) AS lo, least(1, (900 - x) / 30, (900 - z) / 40) AS hi FROM pt) SELECT count(*) AS pieces, round(sum(50 * (hi - lo)), 5) AS length FROM c WHERE lo <= hi""")
+def clip_slanted(spark, sf_dir):
+    line = F.array(F.col("p"), geom.point(F.col("p.x") + 30, F.col("p.z") + 40))
+    piece = fx.points(spark, sf_dir).select(F.explode(geom.clip_line(line, _extent(100, 900, 100, 900))).alias("s"))
+    return piece.agg(F.count("*").alias("pieces"), F.round(F.sum(geom.distance(F.col("s")[0], F.col("s")[1])), 5).alias("length"))
+
+
 @query(f"{fx.sql('a')}, c AS (SELECT a_id, least(x1, 700) - greatest(x0, 100) AS w, least(z1, 600) - greatest(z0, 50) AS h FROM a) SELECT a_id, round(w * h, 6) AS area FROM c WHERE w > 0 AND h > 0")
 def clip_rings(spark, sf_dir):
     a, _ = fx.footprints(spark, sf_dir, polygons=True)
@@ -242,8 +252,7 @@ def tree_cells(spark, sf_dir):
 
 @query("""WITH n AS (SELECT event_id, event_type, row_number() OVER w AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_id, n, dt FROM n WHERE n > 15""")
 def frame_lag(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = fx.table(spark, sf_dir, "events").withColumn("n", F.row_number().over(order).cast("long")).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = numbered(fx.table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))), ["event_type"], ["ts", "event_id"])
     return quality.frame_intervals(rows, ["event_type"], "n", "t").select("event_id", "n", "dt")
 
 

@@ -119,6 +119,8 @@ rt AS (SELECT *, coalesce(nullif(trim(name), ''), ref) AS title FROM road)
 SELECT 'D1 code' AS rule, (SELECT count(*) FROM region WHERE r_regionkey % 2 <> 0) AS violations
 UNION ALL SELECT 'D1 origin', (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM nation WHERE (n_nationkey % 5) * 200 - 60 <= 0 AND (n_nationkey % 5) * 200 + 110 > 0 AND (n_nationkey // 5) * 200 - 60 <= 0 AND (n_nationkey // 5) * 200 + 90 > 0)
 UNION ALL SELECT 'D2 width', (SELECT count(*) FROM supplier WHERE s_suppkey * 100 >= 7000)
+UNION ALL SELECT 'D3 clipped', CAST(0 AS BIGINT)
+UNION ALL SELECT 'D3 raw', (SELECT CAST(sum(2 * CAST(NOT (x0 BETWEEN 99.99 AND 700.01 AND z0 BETWEEN 49.99 AND 600.01) AS INTEGER) + CAST(NOT (x1 BETWEEN 99.99 AND 700.01 AND z0 BETWEEN 49.99 AND 600.01) AS INTEGER) + CAST(NOT (x1 BETWEEN 99.99 AND 700.01 AND z1 BETWEEN 49.99 AND 600.01) AS INTEGER) + CAST(NOT (x0 BETWEEN 99.99 AND 700.01 AND z1 BETWEEN 49.99 AND 600.01) AS INTEGER)) AS BIGINT) FROM a)
 UNION ALL SELECT 'D5 volumes', (SELECT CASE WHEN count(building) <= 1000 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (highway <> '') <= 300000 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (railway = 'rail') <= 5 THEN 1 ELSE 0 END FROM f)
 UNION ALL SELECT 'D6 required', (SELECT CASE WHEN count(*) FILTER (place = 'hamlet' AND name = 'n22') = 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (name = 'Church') = 0 THEN 1 ELSE 0 END FROM f)
 UNION ALL SELECT 'D7 orientation', (SELECT count(*) FROM supplier WHERE s_suppkey % 90 >= 0 AND 0.001 * {_M} * cos(radians(CAST(48.5 AS DOUBLE))) <= 70)
@@ -144,6 +146,9 @@ def dq_report(spark, sf_dir):
     texts = fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     then = texts.withColumn("sha256", F.when(d % 100 == 0, "0").otherwise(F.col("sha256")))
     matches = _matches(spark, sf_dir)
+    frame = _extent(100, 700, 50, 600)
+    rings = fx.footprints(spark, sf_dir, polygons=True)[0].select(F.col("a_poly")[0].alias("r"))
+    corners = lambda r: rings.select(F.explode(r).alias("p"))
     totals = matches.agg(F.count_if(F.col("status") == "matched").alias("a"), F.count("b_id").alias("b")).where("a <> b")
     ids = quality.missing(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), fx.table(spark, sf_dir, "customer").where("c_custkey % 10 > 0").select(F.col("c_custkey").alias("k")), "k")
     buildings = _buildings(spark, sf_dir)
@@ -160,6 +165,7 @@ def dq_report(spark, sf_dir):
     picks = picks.withColumn("want", F.when(F.col("query_id") % 7 == 3, -1).otherwise(F.col("query_id")))
     return quality.report({
         "D1 code": quality.wrong_code(codes, "code", "10220"), "D1 origin": quality.origin_outside(borders), "D2 width": quality.too_wide(extents),
+        "D3 clipped": quality.outside(corners(geom.clip_ring(F.col("r"), frame)), frame), "D3 raw": quality.outside(corners(F.col("r")), frame),
         "D5 volumes": quality.too_few(geojson.feature_counts(features), {"buildings": 1000, "roads": 300000, "rail": 5}), "D6 required": quality.without(features, [{"place": "hamlet", "name": "n22"}, {"name": "Church"}]),
         "D7 orientation": quality.misoriented(origins, (0.5, 48.5)), "D8 hashes": quality.changed(texts, then, "doc_id"), "D9 matches": quality.weak_matches(matches.where("status <> 'unmatched'")), "D10 matched": totals, "D10 ids": ids,
         "D11 vertices": quality.bad_vertices(built, _extent(0, 100, 0, 100)), "D12 walls": quality.altered_walls(profiles, buildings), "D13 names": quality.invented_names(groups.select("id", "name", "source_ids"), sources), "D15 picks": quality.unresolved(picks),
