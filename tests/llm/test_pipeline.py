@@ -77,3 +77,15 @@ def test_empty_table(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         now, _ = stored(stage(spark, now, sf_dir), "stage")
     assert now.count() == 0
+
+
+def test_further_columns_do_no_harm(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(25)
+    plain, wide = docs, docs.selectExpr("1 as slot", "'x' as TEXT", "doc_id", "text", "lang", "source", "n_chars", "'y' as Source", "array(1) as words", "'z' as lang_pred", "2 as t")
+    plain, _ = stored(plain, "plain")
+    for _, stage in pipeline.STAGES:
+        plain, _ = stored(stage(spark, plain, sf_dir), "stage")
+        wide = stage(spark, wide, sf_dir)
+        assert wide.columns == plain.columns
+        wide, _ = stored(wide, "stage")
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, plain.collect()))
