@@ -253,10 +253,12 @@ def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     """The bounded sample of labelled(text, lang), as (lang, text) in the order of lang: at most SAMPLE_TEXTS *
     SAMPLE_CHARS characters of each language, and a separator after each piece."""
     rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", "text", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    once, n = rows.select("lang", "h").distinct(), 4 * SAMPLE_TEXTS  # copies count once
+    once, n = rows.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(64))), 4 * SAMPLE_TEXTS  # copies count once
+    first = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy("h"))
     while True:  # texts in the order of their hashes, until there are enough that differ in what is learned
-        best = F.broadcast(once.withColumn("rank", rank).where(F.col("rank") <= n).toDF("l", "h2", "rank"))  # n rows a language
+        some = once.withColumn("rank", first("part")).where(F.col("rank") <= n)  # so that a language is ranked by many tasks
+        best = some.withColumn("rank", first()).where(F.col("rank") <= n).select(F.col("lang").alias("l"), F.col("h").alias("h2"), "rank")
+        best = F.broadcast(best)  # n rows a language
         some = rows.join(best, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("h2"))).groupBy("lang", "rank").agg(F.min("text").alias("text"))
         found: dict[str, list[str]] = {}
         count: dict[str, int] = {}
