@@ -45,6 +45,12 @@ def rectangle_overlap(a: Column, b: Column) -> Column:
     return side("minx", "maxx") * side("minz", "maxz")
 
 
+def in_service(df: DataFrame) -> DataFrame:
+    """Footprints (state, polys) in service that have an area, with it: the sum of their polygons', less their holes'."""
+    area = F.aggregate(F.transform("polys", geom.polygon_area), F.lit(0.0), lambda n, v: n + v)
+    return geom.once(df.where(F.col("state") == "En service"), area=area).where("area > 0")
+
+
 def wall_height(height: Column, accuracy: Column) -> Column:
     """The height if it is plausible and accurate enough."""
     acc = F.coalesce(accuracy.cast("string").try_cast("double"), F.lit(0.0))

@@ -203,7 +203,7 @@ _LAND = """t AS (SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'forest' W
 
 @query(f"""WITH {_LAND}, k AS (SELECT *, coalesce(nullif(landuse, ''), nullif(nat, ''), nullif(leisure, '')) AS kind FROM t) SELECT id,
     CASE WHEN nat = 'water' OR landuse = 'reservoir' THEN 'water' {' '.join(f"WHEN kind IN {_isin(v)} THEN '{n}'" for n, v in landuse.CLASSES.items())} END AS class, coalesce(amenity = 'parking', FALSE) AS parking, coalesce(name <> '' AND leisure = 'stadium', FALSE) AS sports,
-    coalesce(highway <> 'proposed', FALSE) AS scene, CASE WHEN railway = 'rail' THEN 2.2 WHEN highway = 'primary' THEN 14 END AS spacing FROM k""")
+    coalesce(highway <> 'proposed', FALSE) AS scene, CAST(CASE WHEN railway = 'rail' THEN 2.2 WHEN highway = 'primary' THEN 14 END AS DOUBLE) AS spacing FROM k""")
 def land_use(spark, sf_dir):
     e = F.col("event_id")
     pick = lambda m, *v: F.coalesce(*[F.when(e % m == i, x) for i, x in enumerate(v) if x is not None])

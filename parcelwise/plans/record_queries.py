@@ -244,6 +244,17 @@ def building_surfaces(spark, sf_dir):
 
 
 # --- Enrichment entries.
+@query(f"{fx.sql('a')} SELECT a_id, (x1 - x0) * (z1 - z0) * CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS area FROM a WHERE a_id % 4 > 0 AND p_size % 5 > 0")
+def in_service(spark, sf_dir):
+    """footprints in service, of one or two polygons or none."""
+    rows, _ = fx.footprints(spark, sf_dir, polygons=True)
+    sizes = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a_id"), "p_size")
+    poly, size = F.col("a_poly"), F.col("p_size")
+    polys = F.when(size % 5 == 0, F.slice(F.array(poly), 1, 0)).when(size % 3 == 0, F.array(poly, poly)).otherwise(F.array(poly))
+    rows = rows.join(sizes, "a_id").select("a_id", F.when(F.col("a_id") % 4 > 0, "En service").otherwise("En projet").alias("state"), polys.alias("polys"))
+    return match.in_service(rows).select("a_id", "area")
+
+
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders WHERE o_orderkey % 3 > 0), m AS (SELECT c_custkey AS c, c_acctbal AS h, c_mktsegment AS usage FROM customer WHERE c_custkey % 2 = 0),
 e AS (SELECT id, m.* FROM o JOIN m USING (c)), l AS (SELECT l_orderkey AS id, 'P' || max(l_partkey) AS mark FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 = 0 GROUP BY 1)
 SELECT coalesce(e.id, l.id) AS id, e.c AS matched, round(CAST(0.5 AS DOUBLE) + e.c % 50 * CAST(0.01 AS DOUBLE), 3) AS iou, e.h AS wall, e.usage, l.mark AS landmark FROM e FULL JOIN l ON l.id = e.id""")
