@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import PIECE, give_back, kept, pick, slices, small_batches
+from parcelwise.llm.packing import pack, planes, unpack, unplanes
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK = 6 << 20
@@ -95,31 +96,6 @@ def _cut(pattern, text: str) -> Iterator[list[str]]:
         yield some
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, first all lowest bytes, then the next ones: high bytes are mostly zero and pack well."""
-    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplanes(raw: bytes | memoryview) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-
-
-def _pack(number: np.ndarray, lens: np.ndarray, data: bytes) -> bytes:
-    """Ascending word numbers, and a stretch of data for each."""
-    import zstandard
-
-    head = np.array([len(number)], np.int32).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + _planes(np.diff(number, prepend=0)) + _planes(lens) + data)
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = 4 * int(np.frombuffer(raw[:4], np.int32)[0])
-    return np.cumsum(_unplanes(raw[4 : 4 + n])), _unplanes(raw[4 + n : 4 + 2 * n]), raw[4 + 2 * n :]
-
-
 def _distinct(pattern: str, buckets: int):
     def run(batches):
         cut = _split(pattern)
@@ -138,7 +114,7 @@ def _distinct(pattern: str, buckets: int):
             for k in np.flatnonzero(np.diff(edge)):
                 own = order[edge[k] : edge[k + 1]]
                 some = [words[i] for i in own]
-                rows.append((int(k), _pack(own, np.array([len(x) for x in some]), b"".join(some))))
+                rows.append((int(k), pack(own, np.array([len(x) for x in some]), b"".join(some))))
             yield pa.record_batch([pa.array(np.full(len(rows), key)), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "words"])
 
     return run
@@ -157,8 +133,8 @@ def _positions(pattern: str):
                     parts.append(np.fromiter(map(number.__getitem__, some), np.int32, len(some)))
                     lens[-1] += len(some)
             flat = np.concatenate(parts)
-            planes = press(_planes(flat))
-            yield pa.record_batch([pa.array([_key(ids, texts)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([len(number)], pa.int32()), pa.array([planes], pa.binary())], names=["block", "doc_ids", "lens", "n_distinct", "positions"])
+            packed = press(planes(flat))
+            yield pa.record_batch([pa.array([_key(ids, texts)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([len(number)], pa.int32()), pa.array([packed], pa.binary())], names=["block", "doc_ids", "lens", "n_distinct", "positions"])
 
     return run
 
@@ -174,7 +150,7 @@ def _encode_words(path: str, pattern: str):
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
                 if bucket != last or len(known) > REMEMBERED:
                     last, known = bucket, {}
-                number, lens, data = _unpack(blob.as_py())
+                number, lens, data = unpack(blob.as_py())
                 got, at = [], 0
                 for n in lens.tolist():
                     word = data[at : at + n]
@@ -184,7 +160,7 @@ def _encode_words(path: str, pattern: str):
                         ids = known[word] = enc.encode_ordinary(word.decode())
                     got.append(ids)
                 flat = np.fromiter(itertools.chain.from_iterable(got), np.int32)
-                out.append(_pack(number, np.array([len(x) for x in got]), _planes(flat)))
+                out.append(pack(number, np.array([len(x) for x in got]), planes(flat)))
             yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], names=["block", "ids"])
 
     return run
@@ -205,9 +181,9 @@ def _joined(left: pa.Table, right: pa.Table) -> Iterator[tuple[list, pa.ListArra
 
     if not left.num_rows:
         raise RuntimeError("documents changed between two reads: words of an unknown block")
-    parts = [_unpack(x.as_py()) for x in right.column("ids")] or [(np.zeros(0, np.int64), np.zeros(0, np.int32), b"")]
+    parts = [unpack(x.as_py()) for x in right.column("ids")] or [(np.zeros(0, np.int64), np.zeros(0, np.int32), b"")]
     number, lens = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    flat, offs = np.concatenate([_unplanes(x[2]) for x in parts]), np.concatenate([[0], np.cumsum(lens)])
+    flat, offs = np.concatenate([unplanes(x[2]) for x in parts]), np.concatenate([[0], np.cumsum(lens)])
     del parts
     distinct, order = np.unique(number, return_index=True)  # equal blocks send equal words
     for row in left.to_pylist():
@@ -215,7 +191,7 @@ def _joined(left: pa.Table, right: pa.Table) -> Iterator[tuple[list, pa.ListArra
             raise RuntimeError("documents changed between two reads: a block's words don't match its texts")
         n = sum(row["lens"])
         raw = zstandard.ZstdDecompressor().decompress(row["positions"], max_output_size=4 * n) if n else b""
-        at = _unplanes(raw)
+        at = unplanes(raw)
         ends = np.cumsum(row["lens"])
         k = 0
         while k < len(ends):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import components, mix, pick, small_batches, stored
+from parcelwise.llm.common import components, drop_path, mix, pick, small_batches, stored
 
 TABLES, PROBES, SCALE, CHUNK = 6, 6, 3.2, 256
 _NONE = np.iinfo(np.int64).min
@@ -302,10 +302,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     else:
         digest = vectors.schema["embedding"].dataType.simpleString()
         points = points.mapInArrow(_with_digests, f"vec_id long, label long, embedding {digest}, d1 long").join(reps, ["vec_id", "label", "d1"]).dropDuplicates(["vec_id", "label", "d1"])
-    points, _ = stored(points.select("vec_id", "label", "d1", "size", "embedding"), "points")
+    points, points_at = stored(points.select("vec_id", "label", "d1", "size", "embedding"), "points")
 
     cells = points.select("vec_id", "d1", "label", "embedding").mapInArrow(_buckets, "bucket long, vec_id long, d1 long, home boolean")
-    cells, _ = stored(cells, "cells")
+    cells, cells_at = stored(cells, "cells")
     shared = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     member = cells.join(shared, "bucket").groupBy("vec_id", "d1").agg(F.collect_set(F.struct("bucket", "chunks")).alias("own"))  # TABLES * (PROBES + 1) entries at most
     full = points.join(member, ["vec_id", "d1"]).withColumn("cells", F.transform("own", lambda c: c["bucket"])).withColumn("one", F.explode("own")).drop("own")
@@ -314,6 +314,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     full = full.select("bucket", "lo", "hi", "chunk", "vec_id", "d1", "label", "size", "cells", "embedding").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     links, _ = stored(full.mapInArrow(_compare(least), "vec_id long, d1 long, root long, links long"), "links")
 
+    for path in (points_at, cells_at):
+        drop_path(vectors.sparkSession, path)
+
     count = links.groupBy(F.col("vec_id").alias("rep"), "d1").agg(F.sum("links").alias("links"))
     found = components(links, "vec_id", "root").withColumnRenamed("id", "rep")
     whole = classes.join(count, ["rep", "d1"], "left").join(found, "rep", "left").select(*key, (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))

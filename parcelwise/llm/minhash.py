@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_text, components, give_back, grams, hash_words, mix, pick, small_batches, stored, text_buffer
+from parcelwise.llm.common import by_text, components, drop_path, give_back, grams, hash_words, mix, pick, small_batches, stored, text_buffer
 
 SHINGLE, R, HALF = 5, 2, 10
 #: Members and shingles of a chunk, about; columns that are multiplied at once.
@@ -168,8 +168,9 @@ def _across(threshold: tuple[int, int]):
     return run
 
 
-def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links (a, b) among large(doc, n, i, part) between members of one part that are not in one component."""
+def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, str]:
+    """Links (a, b) among large(doc, n, i, part) between members of one part that are not in one component, and the path
+    of a table that they read."""
     comp = found.select(F.col("id").alias("doc"), F.col("component"))
     own = large.join(comp, "doc", "left").select("doc", "n", "i", "part", F.coalesce("component", "doc").alias("c"))
     each = own.groupBy("part", "c").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
@@ -178,7 +179,7 @@ def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     ).where("comps > 1")
     chunks = lambda size, weight: F.ceil(F.greatest(size / CHUNK, weight / WEIGHT))
     parts = parts.select("part", F.col("main.c").alias("main"), chunks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("others"), chunks(F.col("main.size"), F.col("main.weight")).alias("mains"))
-    parts, _ = stored(parts, "parts")  # so that a hot part's members can be split in the join
+    parts, path = stored(parts, "parts")  # so that a hot part's members can be split in the join
     dealt = own.join(parts, "part").withColumn("open", F.col("c") != F.col("main"))
     deal = F.xxhash64("doc", F.lit(1))
     dealt = dealt.withColumn("chunk", F.when(F.col("open"), F.pmod(deal, "others")).otherwise(F.col("others") + F.pmod(deal, "mains")))
@@ -186,7 +187,7 @@ def _rest(large: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     rows = dealt.select("doc", "n", "c", "i", "part", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     full = rows.join(reps.select("doc", "n", "keys"), ["doc", "n"]).join(texts, "doc").repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi")
-    return full.select("part", "lo", "hi", "i", "doc", "n", "c", "chunk", "keys", "text").mapInArrow(_across(threshold), "a long, b long")
+    return full.select("part", "lo", "hi", "i", "doc", "n", "c", "chunk", "keys", "text").mapInArrow(_across(threshold), "a long, b long"), path
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -204,14 +205,14 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
         F.collect_list(F.when(F.col("i") < HALF, F.struct("i", "key"))).alias("one"),
         F.collect_list(F.when(F.col("i") >= HALF, F.struct("i", "key"))).alias("two"),
     )  # at most HALF entries a side
-    rows, _ = stored(
+    rows, rows_at = stored(
         mine.select("doc", "n", F.explode("one").alias("x"), "two").select("doc", "n", "x", F.explode("two").alias("y"))
         .select("doc", "n", F.col("x.i").alias("i"), F.xxhash64("x.i", "x.key").alias("part"), F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("bucket")),
         "tables",
     )
     member = F.struct("doc", "n")
     lead = F.min_by(member, F.struct(F.xxhash64("doc", F.lit(0)), "doc"))
-    stats, _ = stored(rows.groupBy("bucket").agg(F.count("*").alias("size"), lead.alias("leader")).where("size > 1"), "buckets")
+    stats, stats_at = stored(rows.groupBy("bucket").agg(F.count("*").alias("size"), lead.alias("leader")).where("size > 1"), "buckets")
     # A document's buckets are brought together (at most HALF ** 2), so that what they have in common is one row.
     led = rows.select("doc", "n", "bucket").join(stats.select("bucket", "leader"), "bucket").groupBy("doc", "n").agg(F.collect_set("leader").alias("leaders"))
     led = led.select(member.alias("x"), F.explode("leaders").alias("y"))
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
         fits = f"x.doc <> y.doc and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
         return df.where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
-    pairs, _ = stored(candidates(led), "pairs")
+    pairs, pairs_at = stored(candidates(led), "pairs")
     repeated = sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeats = not repeated.isEmpty()
     texts = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]) if repeats else docs
@@ -228,14 +229,19 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100)) ->
     if repeats:  # a document's texts hold its copies together
         same = there.join(repeated, "doc_id").join(copies.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).where("doc_id <> rep")
         links = links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links, _ = stored(links, "links")
-    found, _ = stored(components(links), "found")
+    links, links_at = stored(links, "links")
+    found, found_at = stored(components(links), "found")
 
     some = stats.where("size > 2").select("bucket")
-    large, _ = stored(rows.join(some, "bucket").select("doc", "n", "i", "part").distinct(), "large")
-    more, _ = stored(_rest(large, found, reps, texts, threshold), "links")
+    large, large_at = stored(rows.join(some, "bucket").select("doc", "n", "i", "part").distinct(), "large")
+    more, parts_at = _rest(large, found, reps, texts, threshold)
+    more, more_at = stored(more, "links")
+    gone = [rows_at, stats_at, pairs_at, links_at, large_at, parts_at, more_at]
     if not more.isEmpty():
+        gone.append(found_at)
         found, _ = stored(components(links.union(more)), "found")
+    for path in gone:  # the result reads the signatures and the components only
+        drop_path(docs.sparkSession, path)
     whole = copies.select("h1", "h2", "n_shingles", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.join(whole, ["h1", "h2", "n_shingles"], "left")
     if repeats:  # an empty row goes with the document's others

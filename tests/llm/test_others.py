@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from parcelwise.llm import bpe, langid, licenses, mixing, sharding, topk, warc
+from parcelwise.llm import bpe, langid, licenses, mixing, packing, sharding, topk, warc
 
 
 def test_damaged_archives_are_errors():
@@ -420,7 +420,7 @@ def test_packing_round_trip():
         number = np.sort(rng.choice(10**6, n, replace=False))
         lens = rng.integers(0, 9, n)
         data = rng.bytes(int(lens.sum()))
-        a, b, c = bpe._unpack(bpe._pack(number, lens, data))
+        a, b, c = packing.unpack(packing.pack(number, lens, data))
         assert (a == number).all() and (b == lens).all() and c == data
 
 
