@@ -18,7 +18,8 @@ Vectors that are null, zero or hold null or non-finite components, and rows with
 nothing; vectors of unequal lengths don't either. Vectors are scaled by their largest component before they are
 normed, so that none is too small or large. Repeated rows of one vec_id and vector count once. A vec_id that comes
 with several vectors is one node of the components, and its vectors don't link with each other; n_links is each row's
-own vector's, counting other ids' vectors. Further columns, whatever their names, are not read.
+own vector's, counting other ids' vectors. Labels that aren't whole numbers are compared by 64 bits of hash. Further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -286,9 +287,12 @@ def _classes(digests: DataFrame) -> tuple[DataFrame, list[str]]:
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label)."""
     small_batches(vectors.sparkSession)
-    kind = dict(vectors.dtypes).get("embedding")
-    vectors = pick(vectors, "vec_id", "embedding", "label").select(
-        F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<float>" if kind == "array<float>" else "array<double>")
+    vectors = pick(vectors, "vec_id", "embedding", "label")
+    kind = dict(vectors.dtypes)["embedding"]
+    whole = dict(vectors.dtypes)["label"] in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    vectors = vectors.select(
+        F.col("vec_id").cast("long"), label.alias("label"), F.col("embedding").cast("array<float>" if kind == "array<float>" else "array<double>")
     )
     digests, _ = stored(vectors.mapInArrow(_digests, "vec_id long, label long, d1 long, d2 long"), "digests")
     classes, key = _classes(digests)

@@ -264,6 +264,13 @@ def test_embeddings_of_any_magnitude(spark):
     assert sorted(map(tuple, got)) == [(k, 5, 0, k == 0) for k in range(6)] + [(k, 0, k, True) for k in (10, 11, 12)]
 
 
+def test_labels_of_any_kind(spark):
+    v = np.random.default_rng(1).normal(size=64).tolist()
+    rows = [(1, v, "a"), (2, v, "a"), (3, v, "b"), (4, v, None)]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_copies_and_repeated_ids_of_embeddings(spark):
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(2, 64))
