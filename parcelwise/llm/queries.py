@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, langid, lattice, licenses, minhash, mixing, sharding, substring, topk, warc
+from parcelwise.llm import ann, bpe, langid, lattice, licenses, minhash, mixing, sharding, substring, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_warc, op2_minhash_near_dedup, op3_extendible_sharding, op4_license_scan, op5_source_mixing, op6_exact_top_k,
-        op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe,
+        op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe, op11_approximate_nearest,
     )
     return {f.__name__: f for f in every}
 
