@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import ann, bpe, langid, lattice, licenses, minhash, mixing, sharding, substring, topk, warc
+from parcelwise.llm import ann, bpe, langid, lattice, licenses, merkle, minhash, mixing, sharding, substring, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,14 @@ def op11_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.lower_case_tampering(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_warc, op2_minhash_near_dedup, op3_extendible_sharding, op4_license_scan, op5_source_mixing, op6_exact_top_k,
-        op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe, op11_approximate_nearest,
+        op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe, op11_approximate_nearest, op12_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
@@ -103,6 +107,39 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len({at}) AS BIGINT) AS
     {given(ts[: len(licenses.BASE)])} AS base_labels, {given(ts)} AS labels, coalesce(share, 0) AS score FROM p LEFT JOIN best USING (r)"""
 
 
+def _tree_sql(name: str, nodes: str, depth: int) -> str:
+    """{name}0 to {name}{depth}: nodes (tree, pos, node, n) level by level; {name}s0 ...: each node's place and others."""
+    parts = [f"{name}0 AS ({nodes})"]
+    for k in range(depth):
+        parts.append(f"""{name}s{k} AS (SELECT tree, pos, pos % 8 AS place, array_to_string(list_concat(run[:pos % 8], run[pos % 8 + 2:]), '') AS others
+    FROM {name}{k} JOIN (SELECT tree, pos // 8 AS up, list(node ORDER BY pos) AS run FROM {name}{k} GROUP BY ALL) ON up = pos // 8 AND {name}{k}.tree = tree_1 WHERE n > 1)""".replace("SELECT tree, pos // 8 AS up", "SELECT tree AS tree_1, pos // 8 AS up"))
+        parts.append(f"""{name}{k + 1} AS (SELECT tree, pos // 8 AS pos, CASE WHEN max(n) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node, (max(n) + 7) // 8 AS n FROM {name}{k} GROUP BY 1, 2)""")
+    return ",\n".join(parts)
+
+
+def _merkle_sql(depth: int = 8, over: int = 3) -> str:
+    """Trees unrolled: {8} ** depth rows a language, {8} ** over languages. The checksum is computed bit by bit."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "list_reduce(list_concat([4294967295], flatten([[-ord(c) - 1, 0, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), lambda a, b: CASE WHEN b < 0 THEN xor(a, -b - 1) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    joins = "".join(f" LEFT JOIN ds{k} ON ds{k}.tree = p.tree AND ds{k}.pos = p.pos // {8**k}" for k in range(depth)) + "".join(f" LEFT JOIN ls{k} ON ls{k}.pos = g.pos // {8**k}" for k in range(over))
+    steps = [f"ds{k}" for k in range(depth)] + [f"ls{k}" for k in range(over)]
+    folds, at = [], "f"
+    for k, x in enumerate(steps):
+        folds.append(f"f{k} AS (SELECT * EXCLUDE (f), CASE WHEN o{k} IS NULL THEN f ELSE sha256(substr(o{k}, 1, 64 * c{k}) || f || substr(o{k}, 64 * c{k} + 1)) END AS f FROM {at})")
+        at = f"f{k}"
+    return f"""
+WITH x AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf, CASE WHEN xor({bits}, 4294967295) % 3 = 0 THEN {leaf(text)} END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM x),
+{_tree_sql("d", "SELECT tree, pos, leaf AS node, n FROM p", depth)},
+{_tree_sql("l", f"SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, node, count(*) OVER () AS n, tree AS of FROM d{depth}", over)},
+f AS (SELECT p.doc_id, p.leaf, g.node AS subroot, l{over}.node AS root, coalesce(p.other, p.leaf) AS f, {", ".join(f"{x}.others AS o{k}, {x}.place AS c{k}" for k, x in enumerate(steps))}
+    FROM p JOIN l0 g ON g.of = p.tree CROSS JOIN l{over}{joins}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"coalesce(o{k}, '')" for k in range(len(steps)))}) AS proof_sha256, f AS folded_root, f = root AS verified FROM {at}"""
+
+
 _ORACLE = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -139,6 +176,7 @@ late AS (SELECT sid, blocks, had, coalesce(sum(blocks - had) OVER (ORDER BY sid
 sl AS (SELECT sid, rank, id AS slot FROM c WHERE rank < blocks UNION ALL SELECT sid, rank, CAST(n.n + ahead + rank - had AS BIGINT) FROM n, late, range(had, blocks) r(rank)),
 q AS (SELECT *, CAST(greatest(0, least(start + size, upto) - start) + greatest(0, least(source_size + start + size, upto) - source_size - start) AS BIGINT) AS taken FROM p)
 SELECT doc_id, size, source_size, target, taken, sl.slot AS first_slot FROM q LEFT JOIN sl ON taken > 0 AND sl.sid = q.sid AND sl.rank = start // {mixing.BLOCK}""",
+    "op12_merkle_manifest": _merkle_sql(),
     "op2_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS ws FROM documents),
 sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
