@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import ann, bpe, langid, lattice, licenses, merkle, minhash, mixing, sharding, substring, topk, warc
+from parcelwise.llm import ann, bpe, langid, lattice, licenses, merkle, minhash, mixing, negatives, sharding, substring, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +69,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.lower_case_tampering(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(vectors, "vec_id % 100 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_warc, op2_minhash_near_dedup, op3_extendible_sharding, op4_license_scan, op5_source_mixing, op6_exact_top_k,
         op7_language_id, op8_embedding_near_dedup, op9_substring_dedup, op10_byte_bpe, op11_approximate_nearest, op12_merkle_manifest,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
@@ -177,6 +184,15 @@ sl AS (SELECT sid, rank, id AS slot FROM c WHERE rank < blocks UNION ALL SELECT
 q AS (SELECT *, CAST(greatest(0, least(start + size, upto) - start) + greatest(0, least(source_size + start + size, upto) - source_size - start) AS BIGINT) AS taken FROM p)
 SELECT doc_id, size, source_size, target, taken, sl.slot AS first_slot FROM q LEFT JOIN sl ON taken > 0 AND sl.sid = q.sid AND sl.rank = start // {mixing.BLOCK}""",
     "op12_merkle_manifest": _merkle_sql(),
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, x.vec_id, q.label = x.label AS same, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.w, x.w)]) AS BIGINT) AS score
+    FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.w) = len(x.w) WHERE q.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op2_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS ws FROM documents),
 sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
