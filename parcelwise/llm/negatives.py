@@ -16,7 +16,8 @@ Anchors and rows meet in blocks (a stated query set against all rows): a task ge
 BLOCK rows, dealt by a stored row number, and as many anchors, and returns at most k rows a window; the best of all blocks
 are ranked by a window function. Labels are compared within blocks and never a key, so a label may hold all rows.
 
-Components x become floor(256 * x), whole numbers held in double precision; scores are exact (see topk.products). Rows
+Components x become floor(256 * x), whole numbers held in double precision; scores are exact (see
+topk.products; beyond 64 bits they are set to the largest or smallest long). Rows
 without vec_id or label, and vectors that are null, empty or hold null or non-finite components, take no part. Vectors are
 compared with anchors of their own length. A row of the anchor's own vec_id is not its candidate; other repeated rows are
 candidates each, and a repeated positive is returned as often as it was picked. A repeated anchor is asked once: its
