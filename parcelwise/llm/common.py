@@ -24,10 +24,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_SPACE] = 0
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The bytes of a lane of 8 that are a word's, by their number.
+_HELD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 #: Rows and bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's defaults.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _kept: dict = {}
@@ -66,9 +65,12 @@ def pick(df: DataFrame, *names: str, cast: dict[str, str] | None = None) -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark
+    runs on this machine alone; elsewhere that is an error, as executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="parcelwise-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -97,15 +99,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, p, np.uint64)])) for p in (_P, _P_INV))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers up to n; those of a longer word than PIECE are not kept."""
-    return kept("words", PIECE, lambda: _powers(PIECE)) if n <= PIECE else _powers(n)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its offsets; null counts as empty."""
     if column.null_count:
@@ -132,16 +125,27 @@ def hash_words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np
     after = np.ones(n, bool)
     after[:-1] = space[1:]
     ends = np.flatnonzero(~space & (after | first[1:])) + 1
-    hashes = np.empty(len(starts), np.uint64)
+    return starts, ends, word_hashes(raw, starts, ends), np.searchsorted(starts, at)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of words, seed by seed independent: a word's lanes of 8 bytes are each mixed with their place, summed, and
+    mixed with the word's length. No structure of a word (repetition, swapped parts) makes two words alike."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    out = np.empty(len(starts), np.uint64)
     k = 0
-    while k < len(starts):  # pieces end at a word's end
+    while k < len(starts):  # about PIECE bytes at a time
         last = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, "right")))
-        lo, hi = int(starts[k]), int(ends[last - 1])
-        up, down = _power(hi - lo)
-        rel = starts[k:last] - lo
-        hashes[k:last] = np.add.reduceat(_BYTE[raw[lo:hi]] * up[: hi - lo], rel) * down[rel]
+        size = ends[k:last] - starts[k:last]
+        lanes = (size + 7) >> 3
+        head = np.cumsum(lanes) - lanes
+        place = np.arange(int(lanes.sum())) - np.repeat(head, lanes)
+        value = eight[np.repeat(starts[k:last], lanes) + 8 * place] & _HELD[np.minimum(np.repeat(size, lanes) - 8 * place, 8)]
+        value = mix(value ^ mix((place.astype(np.uint64) * np.uint64(4) + np.uint64(seed)) * _P + np.uint64(1)))
+        out[k:last] = mix(np.add.reduceat(value, head) + mix(size.astype(np.uint64) + _P))
         k = last
-    return starts, ends, mix(hashes), np.searchsorted(starts, at)
+    return out
 
 
 def grams(words: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -190,7 +194,7 @@ def by_text(column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (id, component): component is the smallest id reachable, for each id in a link.
 
     Large-star and small-star rounds: each round relinks a node's larger neighbours, then its smaller ones, to its
@@ -203,7 +207,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
     mark = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours larger than u go to u's smallest neighbour (itself included)
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -218,8 +222,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

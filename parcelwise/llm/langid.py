@@ -9,15 +9,16 @@ language that sorts first.
 
 The sample is bounded: of each language SAMPLE_TEXTS distinct texts (those of smallest text hash; texts that are alike
 in what is learned count once), of each up to SAMPLE_CHARS characters: the whole text, or PIECES pieces from all over
-it, evenly spaced. That is all that is collected, and its size doesn't depend on the corpus. Texts and
-samples are lower-cased, and every run of other characters than letters counts as one space.
+it, evenly spaced. Pieces are cleaned, and those that are alike dropped, where the texts are; so no more than that is ever
+collected, whatever the corpus. Texts and samples are lower-cased, and every run of other characters than letters counts as one space.
 
 Predictions read whole texts. A long text is cut into runs that are parsed side by side with numpy as if a phrase began
 at each run's start; then the phrase that the run before left open is carried on into the run, up to the first place
 where both parses begin a phrase: from there on they are the same. Counts are those of one parse of the whole text.
 
 Null and letterless texts get `und` and score 0. A score is 1 - entropy of the winner / entropy of the second (1.0 if
-there is one language only). With no labelled text at all, every text is `und`. Repeated rows are predicted each.
+there is one language only). With no labelled text at all, every text is `und`. Repeated rows are predicted each; an empty table
+gives none.
 Further columns, whatever their names, are not read.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_text, kept, pick, small_batches
+from parcelwise.llm.common import by_text, kept, pick, small_batches, stored
 
 SAMPLE_TEXTS, SAMPLE_CHARS, PIECES = 24, 800, 8
 #: Characters of a run, runs at a time.
@@ -252,24 +253,18 @@ def _pieces(text: Column) -> Column:
 def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     """The bounded sample of labelled(text, lang), as (lang, text) in the order of lang: at most SAMPLE_TEXTS *
     SAMPLE_CHARS characters of each language, and a separator after each piece."""
-    rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", "text", F.xxhash64("text").alias("h"))
-    once, n = rows.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(64))), 4 * SAMPLE_TEXTS  # copies count once
+    rows = pick(labelled, "text", "lang").where(r"lang is not null and text rlike '\\p{L}'").select("lang", F.trim(_pieces(F.col("text"))).alias("piece"))
+    rows = rows.where("piece <> ''").withColumn("h", F.xxhash64("piece"))
+    once = rows.select("lang", "h").distinct()  # texts alike in what is learned count once
     first = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy("h"))
-    while True:  # texts in the order of their hashes, until there are enough that differ in what is learned
-        some = once.withColumn("rank", first("part")).where(F.col("rank") <= n)  # so that a language is ranked by many tasks
-        best = some.withColumn("rank", first()).where(F.col("rank") <= n).select(F.col("lang").alias("l"), F.col("h").alias("h2"), "rank")
-        best = F.broadcast(best)  # n rows a language
-        some = rows.join(best, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("h2"))).groupBy("lang", "rank").agg(F.min("text").alias("text"))
-        found: dict[str, list[str]] = {}
-        count: dict[str, int] = {}
-        for r in some.select("lang", "rank", _pieces(F.col("text")).alias("text")).orderBy("lang", "rank").collect():
-            count[r["lang"]] = count.get(r["lang"], 0) + 1
-            texts = found.setdefault(r["lang"], [])
-            if r["text"].strip() not in map(str.strip, texts):
-                texts.append(r["text"])
-        if all(len(texts) >= SAMPLE_TEXTS or count[x] < n for x, texts in found.items()):
-            return tuple((x, "\n".join(found[x][:SAMPLE_TEXTS])) for x in sorted(found))
-        n *= 4
+    some = once.withColumn("rank", first(F.pmod("h", F.lit(64)))).where(F.col("rank") <= SAMPLE_TEXTS)  # a language is ranked by many tasks
+    best = some.withColumn("rank", first()).where(F.col("rank") <= SAMPLE_TEXTS).select(F.col("lang").alias("l"), F.col("h").alias("h2"), "rank")
+    best, _ = stored(best.coalesce(1), "best")  # SAMPLE_TEXTS rows a language; broadcast by the file's size
+    found = rows.join(best, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("h2"))).groupBy("lang", "rank").agg(F.min("piece").alias("piece"))
+    texts: dict[str, list[str]] = {}
+    for r in found.orderBy("lang", "rank").collect():  # SAMPLE_TEXTS rows a language at most
+        texts.setdefault(r["lang"], []).append(r["piece"])
+    return tuple((x, "\n".join(own)) for x, own in sorted(texts.items()))
 
 
 def predict(docs: DataFrame, sample: tuple[tuple[str, str], ...], carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:

@@ -16,7 +16,8 @@ laid out in two steps as well: sums per hash range, then within a range. Sources
 hosts): their order and running sums are found per range of sources, then within a range. So neither a hot source nor
 many sources meet in one task.
 
-Null texts have no words and are never taken, nor are empty ones. Repeated rows are documents each. The schedule
+Null texts have no words and are never taken, nor are empty ones. Rows without an id are placed by a hash of their text.
+An empty table gives no rows; long texts are whole. Repeated rows are documents each. The schedule
 depends on ids, sources and sizes only, so reruns agree. Further columns, whatever their names, are not read.
 """
 
@@ -82,9 +83,7 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     point = (F.pmod(F.pmod(F.col("id"), F.lit(1 << 31)) * F.lit(GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32))).alias("u")
     line = spark.range(n).select("id", point).withColumn("cell", F.floor(F.col("u") * cells))
     mine = line.join(there, "cell").where("u >= lo and u < hi").select("sid", "blocks", "id", F.floor(F.col("id") / STRETCH).alias("stretch"))
-    counts = mine.groupBy("sid", "stretch").agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("sid", "stretch", start.alias("start"))
+    counts = _base(mine.groupBy("sid", "stretch").agg(F.count("*").alias("n")), "stretch").withColumnRenamed("base", "start")
     within = F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("id")) - 1
     ranked = mine.withColumn("within", within).join(counts, ["sid", "stretch"]).withColumn("rank", F.col("start") + F.col("within"))
     had = mine.groupBy("sid").agg(F.count("*").alias("had"))
@@ -94,13 +93,19 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.where("rank < blocks").select("sid", "rank", F.col("id").alias("slot")).union(late)
 
 
+def _base(sums: DataFrame, place: str) -> DataFrame:
+    """(sid, place, base) of sums(sid, place, n): the sum of n over the places of the same sid before. A running sum over
+    all, less what it is where the sid begins, so that no sid's places meet in one task."""
+    before, _ = stored(_running(sums.withColumnRenamed("n", "held"), ["sid", place], ("held",)).select("sid", place, "before_held"), "before")
+    begin, _ = stored(before.groupBy("sid").agg(F.min("before_held").alias("begin")), "begin")  # so that a frequent sid can be split in the join
+    return before.join(begin, "sid").select("sid", place, (F.col("before_held") - F.col("begin")).alias("base"))
+
+
 def streams(sizes: DataFrame, n_docs: int) -> DataFrame:
     """Adds start: where each row of sizes(sid, h, doc_id, size) begins in its source's stream."""
     bits = max(0, math.ceil(math.log2(max(1, n_docs / RANGE))))
     rows = sizes.withColumn("range", F.expr(f"shiftright(h, {BITS - bits})"))
-    sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("sid", "range", base.alias("base"))
+    sums = _base(rows.groupBy("sid", "range").agg(F.sum("size").alias("n")), "range")
     inner = Window.partitionBy("sid", "range").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["sid", "range"]).withColumn("start", F.col("base") + F.col("before")).drop("range", "before", "base")
 
@@ -108,7 +113,7 @@ def streams(sizes: DataFrame, n_docs: int) -> DataFrame:
 def mixture(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents and the mix. Documents: (doc_id, sid, source, size, t, source_size, target, start) per row, t being a hash of the text. Mix:
     (slot, sid, doc_id, start, pass, from_word, to_word), a row per slot and stretch of a document it takes."""
-    sizes = pick(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), id_hash("doc_id").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("t"))
+    sizes = pick(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), id_hash("doc_id", "text").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("t"))
     sizes, _ = stored(sizes, "sizes")
     sources, _ = stored(targets(sizes), "targets")
     n_docs = sizes.count()

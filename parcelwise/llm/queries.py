@@ -151,11 +151,11 @@ _ORACLE = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= {warc.LEAST} GROUP BY 1)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN m < page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN m < page_id OR page_id IS NULL AND m IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN m < page_id OR page_id IS NULL THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
     # A plain extendible hash: all rows begin in one bucket; those of oversized buckets go on to the next depth.
     "op3_extendible_sharding": f"""
-WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n FROM documents),
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n FROM documents),
 b AS (SELECT r, doc_id, h, n, 0 AS depth, sum(n) OVER () AS bytes, min(h) OVER () <> max(h) OVER () AS several FROM t
     UNION ALL SELECT r, doc_id, h, n, depth + 1, sum(n) OVER w, min(h) OVER w <> max(h) OVER w FROM b WHERE bytes > {sharding.LIMIT} AND several AND depth < {sharding.BITS}
     WINDOW w AS (PARTITION BY h >> ({sharding.BITS} - 1 - depth)))
@@ -163,7 +163,7 @@ SELECT doc_id, n AS n_bytes, CAST(depth AS INTEGER) AS depth, h >> ({sharding.BI
 FROM b WHERE NOT (bytes > {sharding.LIMIT} AND several)""",
     "op4_license_scan": _license_sql(),
     "op5_source_mixing": f"""
-WITH t AS (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(coalesce(len({_WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents),
+WITH t AS (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h, CAST(coalesce(len({_WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM t GROUP BY 1),
 w AS (SELECT *, CAST([3, 1, 2][(sid - 1) % 3 + 1] AS DOUBLE) AS w, CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS total FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, sid) AS rn,

@@ -12,7 +12,8 @@ A bucket that holds one hash only can't split further: a single document larger
 own, and rows that repeat one id beyond the limit are dealt to numbered pages of at most the limit each (overflow
 pages), in the order of their sizes.
 
-Null texts have no bytes; null ids hash like an empty one. Further columns, whatever their names, are not read.
+Null texts have no bytes; rows without an id hash by their text, so they don't meet in one bucket. An empty table gives
+no rows; texts are never cut, however long. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from parcelwise.llm.common import pick, stored
 BITS, STEP, LIMIT = 60, 6, 1 << 20
 
 
-def id_hash(column: str):
-    """60 bits of the MD5 of a value's text, as a long."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def id_hash(column: str, text: str) -> Column:
+    """60 bits of the MD5 of an id's digits, as a long; those of a text's MD5, where there is no id."""
+    unknown = F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), unknown).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _up(column: str, by) -> Column:
@@ -67,7 +69,7 @@ def _leaves(rows: DataFrame, done: int, bits: int, limit: int) -> DataFrame:
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, depth, prefix, page, shard_bytes) for each row of docs(doc_id, text); a shard is (depth,
     prefix, page), with shard_bytes bytes in all."""
-    rows = pick(docs, "doc_id", "text").select("doc_id", id_hash("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    rows = pick(docs, "doc_id", "text").select("doc_id", id_hash("doc_id", "text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
     rows, _ = stored(rows, "sizes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     even = math.ceil(math.log2(total / limit)) if total > limit else 0

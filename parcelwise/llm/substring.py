@@ -3,8 +3,8 @@
 Seeds: from each text's 5-word grams, winnowing keeps the smallest hash of every nine in a row. Any 13 consecutive
 words hold exactly nine such grams, so two documents that share 13 words share the seed of that place. Documents are
 joined on seeds; seeds that one document alone holds are dropped there. Extension: each seed that two documents share
-is extended both ways to all 13-word windows that it stands for, which are compared by 96 bits of hash beside the
-seed's place in them; windows that overlap or touch make up the maximal repeats, and every one of at least 13 words is
+is extended both ways to all 13-word windows that it stands for, which are compared by 95 bits of hash, of two
+independent hashes of each word, beside the seed's place in them; windows that overlap or touch make up the maximal repeats, and every one of at least 13 words is
 kept. Of each window's documents the smallest doc_id keeps it.
 
 Documents with equal word sequences are found first, by an aggregation; all but the smallest are wholly repeats (from
@@ -14,7 +14,8 @@ holds is a repeat; such rows are settled there, and only one row for others to c
 a third of all documents share makes a few rows a task in its group, not one a document; rows that are settled are
 dealt out by document.
 
-Null and empty texts have no words. Rows without doc_id neither remove nor lose words. Repeated rows of one doc_id
+Null and empty texts have no words, and an empty table gives no rows. Long texts are read whole, about a megabyte of
+words at a time where texts are split. Rows without doc_id neither remove nor lose words. Repeated rows of one doc_id
 don't count against each other. Further columns, whatever their names, are not read.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_text, give_back, grams, hash_words, mix, pick, slices, small_batches, stored, text_buffer
+from parcelwise.llm.common import by_text, give_back, grams, hash_words, mix, pick, slices, small_batches, stored, text_buffer, word_hashes
 
 GRAM = 5
 #: Seeds and windows that a task remembers.
@@ -49,14 +50,15 @@ def _seeds(words: np.ndarray, window: int) -> np.ndarray:
 
 
 def _sequence(part: pa.RecordBatch) -> pa.RecordBatch:
-    _, _, words, first = hash_words(*text_buffer(part.column("text")))
+    raw, at = text_buffer(part.column("text"))
+    starts, ends, words, first = hash_words(raw, at)
     n = np.diff(first)
     full = np.flatnonzero(n)
     out = np.zeros((2, len(n)), np.uint64)
     if len(full):
         place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), n)
-        for k in range(2):
-            out[k, full] = np.add.reduceat(mix(words + mix(place * np.uint64(2) + np.uint64(k))), first[:-1][full])
+        for k, own in enumerate((words, word_hashes(raw, starts, ends, 1))):
+            out[k, full] = np.add.reduceat(mix(own + mix(place * np.uint64(2) + np.uint64(k))), first[:-1][full])
     return pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64))], names=["doc_id", "n_words", "s1", "s2"])
 
 
@@ -113,9 +115,11 @@ class _WindowRows(_Rows):
         return {"w1": np.zeros(0, np.int64), "w2": np.zeros(0, np.int32), "doc": np.zeros(0, np.int64)}
 
     def rows(self, part: pa.RecordBatch, state: dict) -> pa.RecordBatch:
-        _, _, words, first = hash_words(*text_buffer(part.column("text")))
+        raw, place = text_buffer(part.column("text"))
+        starts, ends, words, first = hash_words(raw, place)
         n = self.window
-        low, one, two = _seeds(words, n).view(np.int64), _window_keys(words, n).view(np.int64), (grams(words, n, 32) >> np.uint64(33)).astype(np.int32)
+        low, one = _seeds(words, n).view(np.int64), _window_keys(words, n).view(np.int64)
+        two = (grams(word_hashes(raw, starts, ends, 1), n, 32) >> np.uint64(33)).astype(np.int32)
         flat, offs = part.column("seeds").flatten().to_numpy(), part.column("seeds").offsets.to_numpy()
         got = []
         for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):

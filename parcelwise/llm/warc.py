@@ -13,8 +13,10 @@ silence: a member that began as a record and can't be decoded to its end (cut sh
 than its header says) is an error, and so, unless junk between members is allowed (strict=False), is anything but a
 record at a file's start and after each record, up to the file's end.
 
-A null html is an empty payload; null urls are left out; rows with a null page_id are responses without an id. Rows
-that repeat the smallest page_id of a payload are responses too. Further columns, whatever their names, are not read.
+A null html is an empty payload; null urls are left out; rows with a null page_id come after all others, and are
+revisits of the smallest page_id of their payload; where no record of a payload has an id, there is none to refer to, and
+all are responses. Rows that repeat the smallest page_id of a payload are responses too. Empty and null payloads are
+records as well, an empty table gives none, and long ones are one record each, read as a whole. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -93,7 +95,8 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     small_batches(pages.sparkSession)
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     seen = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
-    first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
+    first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count_if(F.col("page_id").isNull()).alias("nulls"))
+    first, _ = stored(first.where("refers_to < last or refers_to is not null and nulls > 0").select("digest", "refers_to"), "first")  # so that a frequent payload can be split in the joins
     again = seen.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
     known, unknown = rows.where("page_id is not null"), rows.where("page_id is null")
     # by page alone: equal page_ids with other payloads are told apart by the digest
@@ -101,7 +104,8 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     both = both.withColumn("refers_to", F.when(F.col("digest") == F.col("d2"), F.col("refers_to"))).drop("d2")
     if _repeated(seen):
         both = known.withColumn("digest", F.sha2("html", 256)).join(again, ["page_id", "digest"], "left")
-    both = both.select("page_id", "url", "html", "digest", "refers_to").unionByName(unknown.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), F.lit(None).cast("long").alias("refers_to")))
+    others = unknown.withColumn("digest", F.sha2("html", 256)).join(first, "digest", "left")
+    both = both.select("page_id", "url", "html", "digest", "refers_to").unionByName(others.select("page_id", "url", "html", "digest", "refers_to"))
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     listed, _ = stored(both.mapInArrow(_write(folder), "path string, size long, records long"), "archives")
     return listed

@@ -129,6 +129,30 @@ def test_hashing_of_long_texts_does_not_depend_on_pieces(monkeypatch):
     assert len(whole[0]) == sum(len(raw[a:b].tobytes().split()) for a, b in zip(at[:-1], at[1:], strict=True))
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("power", range(9, 14))
+def test_words_of_regular_structure_have_hashes_of_their_own(power):
+    n = 1 << power
+    words = [thue_morse(n), thue_morse(n, "b", "a"), *[x for k in range(3, power) for x in (thue_morse(n, "ab"[: 1 + k % 2], "cd"), "ab" * (n >> k), "a" * (n >> k), "a" * (n >> k) + "\0")]]
+    half = words[0][: n // 2]
+    words = sorted({*words, half + half[::-1], half[::-1] + half, half[8:] + half[:8], half[:8] + half[8:]})
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, one, _ = common.hash_words(raw, np.array([0, len(raw)]))
+    two = common.word_hashes(raw, starts, ends, 1)
+    assert len(one) == len(words) == len(set(one.tolist())) == len(set(two.tolist())) and not (one == two).any()
+
+
+def test_words_of_one_structure_make_no_repeats(spark):
+    a, b = thue_morse(1024), thue_morse(1024, "b", "a")
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words[:6], a, *words[6:]])), (2, " ".join([*words[:6], b, *words[6:]]))]
+    assert [r.n_removed for r in substring.without_repeats(table(spark, rows)).collect()] == [0, 0]
+    assert {r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(50)], [(0, i) for i in range(1, 40)] + [(100, 99), (99, 7)]])
 def test_components(spark, edges):
     links = spark.createDataFrame(edges, "a long, b long")

@@ -49,7 +49,7 @@ def warc_brute(rows):
     for i, _, h in rows:
         b = (h or "").encode()
         m = first.get(b)
-        again = i is not None and m is not None and m < i
+        again = m is not None and (i is None or m < i)
         out.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", m if again else None))
     return sorted(out, key=str)
 
@@ -90,16 +90,20 @@ def test_warc_members_between_junk():
         assert len(got) == 50 and [warc.parsed(r)[1] for r in got] == [b"x" * i for i in range(50)]
 
 
+def id_text(i, texts):
+    return str(i) if i is not None else "-" + hashlib.md5((texts[None] or "").encode()).hexdigest()
+
+
 def test_shards(spark):
     rng = random.Random(4)
     rows = [(i, "é" * rng.randint(0, 400)) for i in range(300)] + [(1000, "x" * 5000), (None, "y" * 50), (7000, None)] + [(2000, "z" * 100)] * 60
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, prefix int").repartition(4)
     got = sharding.shards(df, limit=2000).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
-    held = defaultdict(list)
+    held, texts = defaultdict(list), dict(rows)
     for r in got:
         held[r.depth, r.prefix, r.page].append(r)
-        h = int(hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest()[:15], 16)
+        h = int(hashlib.md5(id_text(r.doc_id, texts).encode()).hexdigest()[:15], 16)
         assert r.prefix == h >> (60 - r.depth)
     for rs in held.values():
         assert sum(r.n_bytes for r in rs) == rs[0].shard_bytes
@@ -110,7 +114,7 @@ def test_shards(spark):
 
 def shards_brute(rows, limit):
     """A plain extendible hash: (doc_id, depth)."""
-    done, todo = set(), [(0, [(int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16), i, len((t or "").encode())) for i, t in rows])]
+    done, todo = set(), [(0, [(int(hashlib.md5(id_text(i, {i: t}).encode()).hexdigest()[:15], 16), i, len((t or "").encode())) for i, t in rows])]
     while todo:
         depth, own = todo.pop()
         if sum(n for _, _, n in own) <= limit or len({h for h, _, _ in own}) == 1:
@@ -414,6 +418,36 @@ def test_language_sample_holds_distinct_texts(spark):
     assert sorted(sample["yy"].split("\n")) == ["one text", "two texts"]
 
 
+def test_texts_alike_in_letters_are_learned_once(spark, monkeypatch):
+    rows = [("log", f"sensor reading {i}") for i in range(20000)] + [("en", f"text {w}") for w in ("one", "two", "three")]
+    frame = type(spark.range(0))
+    got, collect = [], frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(out := collect(self)) or out)
+    sample = dict(langid.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4)))
+    assert sample["log"] == "sensor reading" and sorted(sample["en"].split("\n")) == ["text one", "text three", "text two"]
+    assert sum(map(len, got)) == 4
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None, f"text {i}") for i in range(500)] + [(i, "x" * 10) for i in range(500)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=400).collect()
+    assert max(Counter((r.depth, r.prefix, r.page) for r in got).values()) < 60 and {r.page for r in got} == {0}
+
+
+def test_one_source_with_nearly_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 4)
+    rows = [(i if i % 2 else None, "hot" if i % 100 else "cold", "w " * (i % 50)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    out = mixing.taken(df).collect()
+    mix_brute = defaultdict(int)
+    for r in out:
+        mix_brute[r.target] += r.taken
+        assert r.taken <= 2 * r.size
+    assert all(int(t) == n for t, n in mix_brute.items()) and len(out) == 600
+    plan = mixing.streams(spark.range(9).selectExpr("id % 2 as sid", "id as h", "id as doc_id", "id as size", "id as t"), 9)._jdf.queryExecution().executedPlan().toString()
+    assert all("sid" not in line or "range" in line or "h" in line for line in plan.split("\n") if "Window " in line)
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(4)
     for n in (0, 1, 1000):
