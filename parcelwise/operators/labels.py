@@ -69,10 +69,8 @@ def fitting(labels: DataFrame, width: float, height: float, local_reach: float =
     box = F.struct((F.col("x") - half).alias("minx"), (F.col("x") + half).alias("maxx"), (F.col("y") - 15).alias("minz"), (F.col("y") + 15).alias("maxz"))
     order = F.struct(~F.coalesce("major", F.lit(False)), F.col("ord"), F.col("id"))
     rows = cut(labels.where(on).select(F.struct("view_id", "id").alias("id"), "view_id", order.alias("o"), box.alias("box")))
-    cells = spatial.grid_cover(rows, F.col("box"), 128.0)
-    a, b = cells.alias("a"), cells.select("view_id", "cx", "cz", F.col("id").alias("other"), F.col("o").alias("other_o"), F.col("box").alias("other_box"), F.col("cx0").alias("ox0"), F.col("cz0").alias("oz0"))
+    others = rows.select("view_id", F.col("id").alias("other"), F.col("o").alias("other_o"), F.col("box").alias("other_box"))
     over = (F.col("box.minx") < F.col("other_box.maxx")) & (F.col("box.maxx") > F.col("other_box.minx")) & (F.col("box.minz") < F.col("other_box.maxz")) & (F.col("box.maxz") > F.col("other_box.minz"))
-    first = (F.col("cx") == F.greatest("cx0", "ox0")) & (F.col("cz") == F.greatest("cz0", "oz0"))
-    pairs = cut(a.join(b, ["view_id", "cx", "cz"]).where(first & over & (F.col("other_o") < F.col("o"))).select(F.col("id"), "other"))
+    pairs = cut(spatial.grid_join(rows, others, "box", "other_box", 128.0, by=("view_id",)).where(over & (F.col("other_o") < F.col("o"))).select(F.col("id"), "other"))
     seen = first_kept(rows, pairs).select("id.view_id", "id.id", F.col("kept").alias("visible"))
     return labels.join(seen, ["view_id", "id"], "left").select("view_id", "id", F.coalesce("visible", F.lit(False)).alias("visible"))

@@ -112,15 +112,11 @@ def wood_candidates(woods: DataFrame) -> DataFrame:
 def unblocked(points: DataFrame, shapes: DataFrame, lines: DataFrame, margin: float = 9.0, size: float = 80.0) -> DataFrame:
     """The points(p, ...) that stand in none of shapes(poly) and not within (width + margin) / 2 of any of lines(line,
     width). Exact, where a drawn mask would be as coarse as its pixels."""
-    at = points.withColumn("_cx", F.floor(F.col("p.x") / size).cast("int")).withColumn("_cz", F.floor(F.col("p.z") / size).cast("int"))
-    boxes = spatial.grid_cover(shapes.select("poly"), geom.bounds(F.col("poly")[0]), size).select(F.col("cx").alias("_cx"), F.col("cz").alias("_cz"), "poly")
-    free = at.join(boxes, (at["_cx"] == boxes["_cx"]) & (at["_cz"] == boxes["_cz"]) & geom.inside_polygon(at["p"], boxes["poly"]), "left_anti")
-    legs = lines.select(F.explode(geom.path_edges(F.col("line"))).alias("leg"), ((F.col("width") + margin) / 2).alias("reach"))
-    lo, hi = (lambda k, f=f, sign=sign: f(F.col(f"leg.a.{k}"), F.col(f"leg.b.{k}")) + sign * F.col("reach") for f, sign in ((F.least, -1), (F.greatest, 1)))
-    box = F.struct(lo("x").alias("minx"), hi("x").alias("maxx"), lo("z").alias("minz"), hi("z").alias("maxz"))
-    cover = spatial.grid_cover(legs, box, size).select(F.col("cx").alias("_cx"), F.col("cz").alias("_cz"), "leg", "reach")
-    near = geom.segment_distance(free["p"], cover["leg.a"], cover["leg.b"]) < cover["reach"]
-    return free.join(cover, (free["_cx"] == cover["_cx"]) & (free["_cz"] == cover["_cz"]) & near, "left_anti").drop("_cx", "_cz")
+    places = points.select("p").distinct()
+    held = spatial.contained(places, shapes.select("poly"), size=size).select("p")
+    near = spatial.near_lines(places, lines.select("line", ((F.col("width") + margin) / 2).alias("reach")), size).select("p")
+    blocked = held.unionByName(near).distinct().select(F.col("p").alias("_p"))
+    return points.join(blocked, (F.col("p.x") == F.col("_p.x")) & (F.col("p.z") == F.col("_p.z")), "left_anti")
 
 
 def planted(candidates: DataFrame, limit: int = MAX_TREES) -> DataFrame:

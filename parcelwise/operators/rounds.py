@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). A temporary one only where none is set and Spark
+    runs on this machine alone; elsewhere that is an error, as executors don't see each other's disks."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="parcelwise-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and written to the checkpoint folder that the cluster shares (spark.checkpoint.dir); a temporary one
-    only where none is set. Cuts the lineage between rounds."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parcelwise-"))
+    """df computed and written to the shared folder. Cuts the lineage between rounds."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

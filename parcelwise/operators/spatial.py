@@ -1,5 +1,5 @@
-"""Spatial joins. Everything is an equi-join on grid cells with the exact test as condition, so no nested-loop join is
-planned, and a pair is kept in one cell only, so duplicates never need a shuffle to go."""
+"""Spatial joins. Everything is an equi-join on cells of quadtree covers with the exact test as condition, so no nested-loop
+join is planned, and a pair is kept in one cell only, so duplicates never need a shuffle to go."""
 
 from __future__ import annotations
 
@@ -7,39 +7,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom
+from parcelwise.operators import cover
 from parcelwise.operators.rounds import cut, first_kept
 
 CELL = 80.0
-#: Cells that one box may cover; a bad coordinate is an error, not billions of rows.
-MOST_CELLS = 1 << 20
 
 
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("int")
 
 
-def grid_cover(df: DataFrame, box: Column, size: float = CELL) -> DataFrame:
-    """A row per grid cell that a box touches: cx, cz, and the box's first cell cx0, cz0. No box, no row."""
-    out = geom.once(df, _b=box).withColumn("cx0", _cell(F.col("_b.minx"), size)).withColumn("cz0", _cell(F.col("_b.minz"), size))
-    cells = ((F.col("_b.maxx") - F.col("_b.minx")) / size + 1) * ((F.col("_b.maxz") - F.col("_b.minz")) / size + 1)
-    far = F.when(cells <= MOST_CELLS, _cell(F.col("_b.maxx"), size)).otherwise(F.raise_error(F.lit("a box covers too many cells: bad coordinates, or cells that are too small")).cast("int"))
-    out = out.where("_b is not null").withColumn("cx", F.explode(F.sequence("cx0", far)))
-    return out.withColumn("cz", F.explode(F.sequence("cz0", _cell(F.col("_b.maxz"), size)))).drop("_b")
-
-
-def grid_join(a: DataFrame, b: DataFrame, box_a: str, box_b: str, size: float = CELL) -> DataFrame:
-    """All pairs whose boxes touch or overlap. A pair is kept where the larger of both first cells is."""
-    left = grid_cover(a, F.col(box_a), size).withColumnsRenamed({"cx0": "ax0", "cz0": "az0"})
-    right = grid_cover(b, F.col(box_b), size).withColumnsRenamed({"cx0": "bx0", "cz0": "bz0"})
-    first = (F.col("cx") == F.greatest("ax0", "bx0")) & (F.col("cz") == F.greatest("az0", "bz0"))
-    return left.join(right, ["cx", "cz"]).where(first & geom.boxes_meet(F.col(box_a), F.col(box_b))).drop("cx", "cz", "ax0", "az0", "bx0", "bz0")
+def grid_join(a: DataFrame, b: DataFrame, box_a: str, box_b: str, size: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs whose boxes touch or overlap, and that agree in the columns `by`. Boxes lie in the few cells of the level
+    that fits them; a pair meets at the level of its larger box, where the smaller one is looked up, and is kept in the cell
+    that is the larger of both first cells."""
+    left, right = cover.sized(a, F.col(box_a), size, 1), cover.sized(b, F.col(box_b), size, 1)
+    mine, theirs = cover.levels(left), cover.levels(right)
+    own = F.col("_lev")
+    row = lambda lev, larger: F.struct(lev.alias("lev"), F.lit(larger).alias("larger"))
+    above = lambda used, least: F.filter(used, lambda k: least(k))
+    # whose level it is: b's, with a looked up at all of b's levels from a's own on, or a's, above b's own
+    at_a = F.concat(F.transform(above(F.col("_used"), lambda k: k >= own), lambda k: row(k, "b")), F.when(F.array_min("_used") < own, F.array(row(own, "a"))).otherwise(F.array().cast("array<struct<lev:int,larger:string>>")))
+    at_b = F.concat(F.array(row(own, "b")), F.transform(above(F.col("_used"), lambda k: k > own), lambda k: row(k, "a")))
+    spread = lambda df, used, at: df.withColumn("_used", used).withColumn("_at", F.explode(at)).withColumn("_lev", F.col("_at.lev")).withColumn("_larger", F.col("_at.larger")).drop("_used", "_at")
+    left = cover.cells(spread(left, theirs, at_a), size).drop("_box").withColumnsRenamed({"_fx": "_ax", "_fz": "_az"})
+    right = cover.cells(spread(right, mine, at_b), size).drop("_box").withColumnsRenamed({"_fx": "_bx", "_fz": "_bz"})
+    first = (F.col("_cx") == F.greatest("_ax", "_bx")) & (F.col("_cz") == F.greatest("_az", "_bz"))
+    out = left.join(right, [*by, "_larger", *cover.KEY]).where(first & geom.boxes_meet(F.col(box_a), F.col(box_b)))
+    return out.drop("_larger", *cover.KEY, "_ax", "_az", "_bx", "_bz")
 
 
 def contained(points: DataFrame, shapes: DataFrame, poly: str = "poly", size: float = CELL) -> DataFrame:
-    """All (point, polygon) pairs with the point p in the polygon."""
-    cells = grid_cover(shapes, geom.bounds(F.col(poly)[0]), size).drop("cx0", "cz0")
-    at = points.withColumn("cx", _cell(F.col("p.x"), size)).withColumn("cz", _cell(F.col("p.z"), size))
-    return at.join(cells, ["cx", "cz"]).where(geom.inside_polygon(F.col("p"), F.col(poly))).drop("cx", "cz")
+    """All (point, polygon) pairs with the point p in the polygon. Points in cells that lie wholly inside need no test."""
+    known = cover.sized(shapes, geom.bounds(F.col(poly)[0]), size)
+    at = cover.look_up(points, "p", cover.levels(known), size)
+    hit = at.join(cover.polygon_cells(known, poly, size), cover.KEY)
+    return hit.where(F.col("_whole") | geom.inside_polygon(F.col("p"), F.col(poly))).drop(*cover.KEY, "_whole")
 
 
 def first_container(points: DataFrame, shapes: DataFrame, point_id: str, ord_: str, size: float = CELL) -> DataFrame:
@@ -81,15 +84,23 @@ def nearest_point(points: DataFrame, others: DataFrame, point_id: str, ord_: str
 
 def nearest_segment(points: DataFrame, lines: DataFrame, point_id: str, ord_: str, reach: float = 10.0, size: float = CELL) -> DataFrame:
     """Each point with the nearest line (column line) within reach over all of its segments."""
-    segs = lines.withColumn("seg", F.explode(geom.path_edges(F.col("line")))).drop("line")
-    lo, hi = lambda k: F.least(F.col(f"seg.a.{k}"), F.col(f"seg.b.{k}")) - reach, lambda k: F.greatest(F.col(f"seg.a.{k}"), F.col(f"seg.b.{k}")) + reach
-    cells = grid_cover(segs, F.struct(lo("x").alias("minx"), hi("x").alias("maxx"), lo("z").alias("minz"), hi("z").alias("maxz")), size).drop("cx0", "cz0")
-    at = points.withColumn("cx", _cell(F.col("p.x"), size)).withColumn("cz", _cell(F.col("p.z"), size))
-    hits = at.join(cells, ["cx", "cz"]).withColumn("d", geom.segment_distance(F.col("p"), F.col("seg.a"), F.col("seg.b"))).where(F.col("d") < reach).drop("cx", "cz", "seg")
+    hits = near_lines(points, lines.withColumn("reach", F.lit(reach)), size).drop("reach")
     rest = [c for c in hits.columns if c != point_id]
     return hits.groupBy(point_id).agg(F.min_by(F.struct(*rest), F.struct("d", ord_)).alias("_h")).select(point_id, "_h.*")
 
 
+def near_lines(points: DataFrame, lines: DataFrame, size: float = CELL) -> DataFrame:
+    """All pairs of a point p and a segment of lines(line, reach, ...) less than the line's reach apart, with their distance
+    d; the line itself goes."""
+    segs = lines.withColumn("_seg", F.explode(geom.path_edges(F.col("line")))).drop("line")
+    a, b = F.col("_seg.a"), F.col("_seg.b")
+    lo, hi = lambda k: F.least(a[k], b[k]) - F.col("reach"), lambda k: F.greatest(a[k], b[k]) + F.col("reach")
+    known = cover.sized(segs, F.struct(lo("x").alias("minx"), hi("x").alias("maxx"), lo("z").alias("minz"), hi("z").alias("maxz")), size)
+    at = cover.look_up(points, "p", cover.levels(known), size)
+    hits = at.join(cover.segment_cells(known, a, b, F.col("reach"), size), cover.KEY)
+    return hits.withColumn("d", geom.segment_distance(F.col("p"), a, b)).where(F.col("d") < F.col("reach")).drop(*cover.KEY, "_seg")
+
+
 def without_neighbours(points: DataFrame, others: DataFrame, point_id: str, reach: float = 45.0) -> DataFrame:
     """The points that have no other one less than reach away."""
     return points.join(near_pairs(points, others, reach).select(point_id).distinct(), point_id, "left_anti")

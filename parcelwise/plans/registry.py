@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.plans import attribute_queries, feature_queries, record_queries, rule_queries, spatial_queries
+from parcelwise.plans import attribute_queries, feature_queries, file_queries, record_queries, rule_queries, spatial_queries
 
 
-PARTS = (spatial_queries, feature_queries, attribute_queries, record_queries, rule_queries)
+PARTS = (spatial_queries, feature_queries, attribute_queries, record_queries, rule_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Feature files: scans of GeoJSON, fingerprints, rounding, and writing."""
+"""Features as JSON texts: parsing, selections, rounding. feature_files writes and scans large files."""
 
 from __future__ import annotations
 
@@ -27,11 +27,6 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path, wholetext=True).select("value"))
 
 
-def load(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    """The features of several files by name; fails as a whole where one is missing."""
-    return {name: features(spark, f"{folder}/{name}") for name in names}
-
-
 def boundary(df: DataFrame, code: str) -> DataFrame:
     """The features as they are; reading one with another code, or none that is an area, is an error."""
     good = F.col("kind").isin("Polygon", "MultiPolygon") & F.col("properties")["code"].eqNullSafe(F.lit(code))
@@ -111,23 +106,3 @@ def rounded_geometry(kind: Column, coordinates: Column, digits: int = 7) -> Colu
 def buildings(df: DataFrame) -> DataFrame:
     """Features whose building tag isn't empty."""
     return df.where(jsem.text_or_null(F.col("properties")["building"]).isNotNull())
-
-
-def write_features(df: DataFrame, path: str) -> None:
-    """JSON lines with null fields kept, coordinates rounded."""
-    out = df.withColumn("coordinates", rounded_geometry(F.col("kind"), F.col("coordinates"))) if {"kind", "coordinates"} <= set(df.columns) else df
-    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
-def write_once(df: DataFrame, path: str, provenance: dict[str, str] | None = None) -> None:
-    """A snapshot that is written only where there is none, and beside it where it comes from (requests, box, time,
-    licence), as a table of names and values."""
-    df.write.mode("ignore").parquet(path)
-    if provenance:
-        df.sparkSession.createDataFrame(sorted(provenance.items()), "name string, value string").coalesce(1).write.mode("ignore").json(path.rstrip("/") + ".provenance")
-
-
-def write_all(tables: dict[str, DataFrame], folder: str) -> None:
-    """Several tables, each by its name; audits and enrichment go this way."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")

@@ -1,14 +1,15 @@
 """Rounds, hot keys, sources and rules on small hand-made tables."""
 
 import json
+import math
 import random
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException  # noqa: F401
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom, jsem
-from parcelwise.operators import labels, landuse, quality, spatial
+from parcelwise.operators import cover, labels, landuse, quality, spatial
 from parcelwise.plans import registry
 from parcelwise.sources import elements, geojson, osm
 
@@ -63,12 +64,76 @@ def test_quantiles_of_hot_and_tied_keys(spark):
     assert "none" not in got
 
 
-def test_boxes_of_bad_coordinates_are_errors(spark):
-    box = "struct<minx:double,maxx:double,minz:double,maxz:double>"
-    df = spark.createDataFrame([(1, (0.0, 200.0, 0.0, 10.0))], f"id int, box {box}")
-    assert spatial.grid_cover(df, F.col("box")).count() == 3
-    with pytest.raises(PySparkException):
-        spatial.grid_cover(spark.createDataFrame([(1, (0.0, 1e9, 0.0, 1e9))], f"id int, box {box}"), F.col("box")).count()
+BOXES = "struct<minx:double,maxx:double,minz:double,maxz:double>"
+
+
+def test_rows_of_a_shape_are_bounded(spark):
+    rows = [(k, (-(3.0**k), 3.0**k * 1.7, 5.0, 5.0 + 2.0**k)) for k in range(-5, 600)] + [(1000, (float("-inf"), 1.0, 0.0, 1.0)), (1001, (0.0, float("nan"), 0.0, 1.0)), (1002, None), (1003, (1e18, 1e18 + 500, 0.0, 0.0))]
+    df = cover.sized(spark.createDataFrame(rows, f"id int, box {BOXES}"), F.col("box"), 80.0)
+    got = {r["id"]: r["count"] for r in cover.cells(df, 80.0).groupBy("id").count().collect()}
+    assert set(got) == {k for k, _ in rows} - {1000, 1001, 1002} and max(got.values()) <= (cover.FIT + 2) ** 2
+    assert got[0] == got[3] == 2 and df.agg(F.max("_lev")).first()[0] > 900
+
+
+def star(x, z, r, n, seed=0):
+    rng = random.Random(seed)
+    ring = [(x + r * rng.uniform(0.5, 1) * math.cos(2 * math.pi * k / n), z + r * rng.uniform(0.5, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    return [*ring, ring[0]]
+
+
+def holds(poly, p):
+    def inside(ring):
+        n = 0
+        for (ax, az), (bx, bz) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (az > p[1]) != (bz > p[1]) and p[0] < (bx - ax) * (p[1] - az) / (bz - az) + ax:
+                n += 1
+        return n % 2 == 1
+
+    return inside(poly[0]) and not any(map(inside, poly[1:]))
+
+
+def test_shapes_of_any_size_hold_the_same_points_as_by_brute_force(spark):
+    rng = random.Random(5)
+    shapes = [(0, [star(0, 0, 10**6, 40)]), (1, [star(100, 100, 10, 7)]), (2, [star(-3e4, 2e4, 5e4, 25, 2), star(-3e4, 2e4, 2e4, 9, 3)]), (3, [star(120, 90, 900, 12, 4), star(120, 90, 300, 5, 5)]), (4, [[(1e300, 1e300), (1e300, -1e300), (-1e300, 0.0)]])]
+    shapes += [(10 + k, [star(rng.uniform(-2e3, 2e3), rng.uniform(-2e3, 2e3), 10 ** rng.uniform(0, 4), 6, k)]) for k in range(40)]
+    points = [(i, (rng.uniform(-1, 1) * s, rng.uniform(-1, 1) * s)) for i, s in enumerate([50, 300, 3e3, 1e5, 1.2e6] * 60)] + [(9000, (float("nan"), 0.0)), (9001, None)]
+    pts = spark.createDataFrame(points, "id long, p struct<x:double,z:double>")
+    shp = spark.createDataFrame(shapes, "ord long, poly array<array<struct<x:double,z:double>>>")
+    got = sorted(map(tuple, spatial.contained(pts, shp).select("id", "ord").collect()))
+    assert got == sorted((i, k) for k, poly in shapes for i, p in points if p and p[0] == p[0] and holds(poly, p))
+    assert len({k for _, k in got}) > 12
+    cells = cover.polygon_cells(cover.sized(shp, geom.bounds(F.col("poly")[0]), 80.0), "poly", 80.0).groupBy("ord").agg(F.count("*").alias("n"), F.count_if("_whole").alias("whole"))
+    many = {r.ord: (r.n, r.whole) for r in cells.collect()}
+    assert max(n for n, _ in many.values()) <= 100 and many[0][1] > 5
+
+
+def test_boxes_of_any_size_meet_once(spark):
+    rng = random.Random(6)
+    box = lambda: (lambda x, z, w, h: (x, x + w, z, z + h))(rng.uniform(-500, 500), rng.uniform(-500, 500), rng.choice([0, 3, 10 ** rng.uniform(0, 7)]), 10 ** rng.uniform(0, 7))
+    a, b = [(i, box(), i % 3) for i in range(80)], [(i, box(), i % 3) for i in range(90)]
+    left, right = spark.createDataFrame(a, f"i long, u {BOXES}, g long"), spark.createDataFrame(b, f"j long, v {BOXES}, g long")
+    meet = lambda u, v: u[0] <= v[1] and u[1] >= v[0] and u[2] <= v[3] and u[3] >= v[2]
+    got = sorted(map(tuple, spatial.grid_join(left.drop("g"), right.drop("g"), "u", "v", 10.0).select("i", "j").collect()))
+    assert got == sorted((i, j) for i, u, _ in a for j, v, _ in b if meet(u, v))
+    got = sorted(map(tuple, spatial.grid_join(left, right, "u", "v", 10.0, by=("g",)).select("i", "j").collect()))
+    assert got == sorted((i, j) for i, u, g in a for j, v, h in b if g == h and meet(u, v))
+
+
+def test_long_segments_find_their_points(spark):
+    rng = random.Random(7)
+    lines = [(k, [(rng.uniform(-1, 1) * s, rng.uniform(-1, 1) * s) for _ in range(3)]) for k, s in enumerate([100, 1e4, 1e6] * 4)]
+    points = [(i, (a[0] + t * (b[0] - a[0]) + rng.uniform(-15, 15), a[1] + t * (b[1] - a[1]) + rng.uniform(-15, 15))) for i in range(200) for _, line in [rng.choice(lines)] for a, b in [rng.choice([line[:2], line[1:]])] for t in [rng.random()]]
+    got = sorted((r.id, r.ord) for r in spatial.nearest_segment(spark.createDataFrame(points, "id long, p struct<x:double,z:double>"), spark.createDataFrame(lines, "ord long, line array<struct<x:double,z:double>>"), "id", "ord").collect())
+
+    def d(p, line):
+        out = []
+        for (ax, az), (bx, bz) in zip(line, line[1:], strict=False):
+            t = max(0, min(1, ((p[0] - ax) * (bx - ax) + (p[1] - az) * (bz - az)) / ((bx - ax) ** 2 + (bz - az) ** 2)))
+            out.append(math.hypot(p[0] - ax - t * (bx - ax), p[1] - az - t * (bz - az)))
+        return min(out)
+
+    want = sorted((i, min((d(p, line), k) for k, line in lines)[1]) for i, p in points if min(d(p, line) for _, line in lines) < 10)
+    assert got == want and len(got) > 100
 
 
 @pytest.mark.parametrize("name, most", [("building_profile", 6), ("overlap_iou", 2)])
@@ -121,19 +186,6 @@ def test_boundaries(spark):
             geojson.boundary(df(*wrong), "10220").collect()
 
 
-def test_snapshots_keep_their_provenance(spark, tmp_path):
-    df = spark.createDataFrame([(1, "Point", "[1.23456789, 2]")], "id int, kind string, coordinates string")
-    for box in ("a", "b"):  # the second is not written
-        geojson.write_once(df, str(tmp_path / "s"), {"bbox": box, "licence": "open"})
-    assert {r.name: r.value for r in spark.read.json(str(tmp_path / "s.provenance")).collect()} == {"bbox": "a", "licence": "open"}
-    geojson.write_all({"features": df, "audit": quality.report({"none": df.where("false"), "all": df})}, str(tmp_path))
-    assert {r.rule: r.violations for r in spark.read.json(str(tmp_path / "audit")).collect()} == {"none": 0, "all": 1}
-    geojson.write_features(df, str(tmp_path / "f"))
-    assert spark.read.json(str(tmp_path / "f")).first().coordinates == "[1.2345679,2.0]"
-    with pytest.raises(PySparkException):
-        geojson.load(spark, str(tmp_path), ("f", "missing"))
-
-
 def test_rings_of_many_ways():
     square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     ways = [[square[0], square[1]], [square[2], square[1]], [square[2], square[3]], [square[0], square[3]], [(9.0, 9.0), (9.5, 9.0), (9.0, 9.5), (9.0, 9.0)]]
