@@ -24,6 +24,17 @@ def water_width(width: Column, waterway: Column) -> Column:
     return jsem.number_or(jsem.parse_float(width), F.coalesce(jsem.lookup(waterway, WATER_WIDTH), F.lit(3.0)))
 
 
+def clipped_roads(roads: DataFrame, extent: Column) -> DataFrame:
+    """Roads with the pieces of their paths inside an extent; those without a piece go, named or not."""
+    pieces = F.flatten(F.transform("paths", lambda path: geom.clip_line(path, extent)))
+    return geom.once(roads, _pieces=pieces).withColumn("paths", F.col("_pieces")).drop("_pieces").where(F.size("paths") > 0)
+
+
+def unnamed_roads(roads: DataFrame) -> DataFrame:
+    """Roads, not rails, without name and number."""
+    return roads.where(F.coalesce(jsem.text_or_null(F.trim("name")), jsem.text_or_null("ref")).isNull() & F.col("is_road"))
+
+
 def road_groups(roads: DataFrame) -> DataFrame:
     """Roads (ord, id, is_road, name, ref, width, paths) with the same title, as one record each: their paths and ids in
     order, the first one's width, and the middle of the path with most points (the last of equal ones)."""
@@ -106,7 +117,7 @@ def build(roads: DataFrame, points: DataFrame, areas: DataFrame, zones: DataFram
     """The catalogue's records (id, name, kind, source, type, position, poly, source_ids, ord) and its aliases (id,
     record_id).
 
-    roads: as in road_groups; points(ord, id, name, place, p); areas(ord, id, name, poly), neither roads nor
+    roads: as in road_groups, of which the pieces inside the extent count; points(ord, id, name, place, p); areas(ord, id, name, poly), neither roads nor
     buildings; zones(ord, id, name, nature, poly); buildings(ord, id, tags, poly, landmark), landmark being a
     name or null; landmarks(ord, id, name, kind, p). Later sources come after earlier ones in the records' order: what
     several of them hold goes to the first. A named point in exactly one building that isn't known yet makes that
@@ -115,7 +126,7 @@ def build(roads: DataFrame, points: DataFrame, areas: DataFrame, zones: DataFram
     """
     step = lambda df, k: df.withColumn("ord", F.col("ord").cast("long") + F.lit(k * (1 << 40)))
     named = jsem.text_or_null(F.trim("name"))
-    lines = _record(road_groups(roads).withColumn("kind", F.when(F.col("id").startswith("road:"), "Rue / voie").otherwise("Voie ferrée")).withColumn("source", F.lit("OpenStreetMap")), "line", source_ids=F.col("source_ids"))
+    lines = _record(road_groups(clipped_roads(roads, extent)).withColumn("kind", F.when(F.col("id").startswith("road:"), "Rue / voie").otherwise("Voie ferrée")).withColumn("source", F.lit("OpenStreetMap")), "line", source_ids=F.col("source_ids"))
     spots = points.withColumn("name", named).where("name is not null").where(geom.within(F.col("p"), extent))
     spots = _record(step(spots, 0), "point", kind=F.when(jsem.text_or_null("place").isNotNull(), "Lieu-dit / secteur").otherwise("Lieu / équipement"), source=F.lit("OpenStreetMap"), position=F.col("p"))
 

@@ -72,5 +72,5 @@ def fitting(labels: DataFrame, width: float, height: float, local_reach: float =
     others = rows.select("view_id", F.col("id").alias("other"), F.col("o").alias("other_o"), F.col("box").alias("other_box"))
     over = (F.col("box.minx") < F.col("other_box.maxx")) & (F.col("box.maxx") > F.col("other_box.minx")) & (F.col("box.minz") < F.col("other_box.maxz")) & (F.col("box.maxz") > F.col("other_box.minz"))
     pairs = cut(spatial.grid_join(rows, others, "box", "other_box", 128.0, by=("view_id",)).where(over & (F.col("other_o") < F.col("o"))).select(F.col("id"), "other"))
-    seen = first_kept(rows, pairs).select("id.view_id", "id.id", F.col("kept").alias("visible"))
+    seen = first_kept(rows.select("id", F.col("o").alias("order")), pairs).select("id.view_id", "id.id", F.col("kept").alias("visible"))
     return labels.join(seen, ["view_id", "id"], "left").select("view_id", "id", F.coalesce("visible", F.lit(False)).alias("visible"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom
+from parcelwise.operators.rounds import cut
 
 
 def running_ranges(df: DataFrame, keys: list[str], ord_: str, n: str) -> DataFrame:
@@ -120,27 +121,61 @@ def weak_matches(matches: DataFrame, coverage: float = 0.65, iou: float = 0.5, m
     return matches.where((F.col("coverage") < coverage) | (F.col("iou") < iou) | (F.col("iou") - F.col("runner_up") < margin))
 
 
-def interval_statistics(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
-    """Count, mean, and nearest-rank quantiles sorted[floor(n * q)] (not those of percentile functions). Exact, without
-    gathering a key's values: approximate quantiles (a sketch) cut a key's values into buckets, the buckets' exact counts
-    tell which bucket holds a rank, and only that bucket's rows are ranked."""
-    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
-    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    r, s = rows.alias("r"), stats.alias("s")
-    placed = r.join(s, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select(*[F.col(f"r.{k}") for k in keys], "n", "_v", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col("_v"))).alias("_b"))
-    held = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_m"), F.first("n").alias("n"))
-    ahead = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = F.array(*[F.floor(F.col("n") * q).cast("long") for q in (0.5, 0.95)])
-    held = held.withColumn("_ahead", ahead).withColumn("_want", F.filter(ranks, lambda r: (r >= F.col("_ahead")) & (r < F.col("_ahead") + F.col("_m")))).where("size(_want) > 0")
-    p, h = placed.alias("p"), held.select(*keys, "_b", "_ahead", "_want").alias("h")
-    some = p.join(h, [F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*keys, "_b")]).select(*[F.col(f"p.{k}") for k in keys], "p._b", "_v", "n", "_ahead", "_want")
-    rank = F.col("_ahead") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) - 1
-    some = some.withColumn("_rank", rank).where(F.array_contains("_want", F.col("_rank")))
-    at = lambda q: F.max(F.when(F.col("_rank") == F.floor(F.col("n") * q), F.col("_v")))
-    found = some.groupBy(*keys).agg(at(0.5).alias("median"), at(0.95).alias("p95"))
-    f = found.alias("f")
-    out = s.join(f, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "left")
-    return out.select(*[F.col(f"s.{k}") for k in keys], "n", "mean", "median", "p95")
+#: Buckets into which a range of values is cut, and how many values are sorted at once.
+BUCKETS, SORTED = 256, 1024
+
+
+def _bucket(v: Column, lo: Column, hi: Column) -> Column:
+    """The bucket of a value of the range: by sign, then zero apart, then by magnitude where the range is wide, else by
+    value; what isn't finite is apart. Larger values have no smaller bucket, and lo and hi have different ones."""
+    share = lambda at, a, b: F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(F.try_divide(at - a, b - a), F.lit(0.0)) * BUCKETS)).cast("int")
+    size = lambda x: F.log2(F.abs(x))
+    wide = F.greatest(F.abs(lo), F.abs(hi)) > F.least(F.abs(lo), F.abs(hi)) * 65536
+    by_size = F.when(lo > 0, share(size(v), size(lo), size(hi))).otherwise(share(-size(v), -size(lo), -size(hi)))
+    inner = F.when((lo < 0) & (hi > 0), F.signum(v).cast("int") + 1).when((lo == 0) | (hi == 0), F.when(v == 0, F.when(lo == 0, 0).otherwise(1)).otherwise(F.when(lo == 0, 1).otherwise(0)))
+    inner = inner.when(wide, by_size).otherwise(share(v, lo, hi))
+    return F.when(F.isnan(v), BUCKETS + 1).when(v == float("inf"), BUCKETS).when(v == float("-inf"), -1).otherwise(inner)
+
+
+def _beside(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of another table of the same keys, which may be null."""
+    r, o = rows.alias("r"), other.alias("o")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return r.join(o, same).select("r.*", *[F.col(f"o.{c}") for c in other.columns if c not in keys])
+
+
+def interval_statistics(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95), sort: int = SORTED) -> DataFrame:
+    """Count, mean, and nearest-rank quantiles sorted[floor(n * q)] (not those of percentile functions), exact, by radix
+    selection. A range of values is cut into buckets, which are counted; the one that holds a rank is the next range, down
+    to one value, or to so few that they are sorted in the aggregation. So rows are counted and never ranked, whether a key
+    has most of them, or a value. A range narrows by a factor of BUCKETS a round, at any magnitude."""
+    names = ["median", "p95"] if shares == (0.5, 0.95) else [f"q{k}" for k in range(len(shares))]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+    stats = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_q"), F.floor(F.col("n") * q).cast("long").alias("_rank")) for k, q in enumerate(shares)]))
+    none = F.lit(None).cast("double")
+    open_ = stats.select(*keys, "_lo", "_hi", each.alias("e")).select(*keys, "_lo", "_hi", "e.*", F.lit(True).alias("_all"))
+    found = []
+    while True:
+        v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+        held = _beside(rows, open_, keys).where(F.col("_all") | v.between(lo, hi))
+        some = held.groupBy(*keys, "_q", _bucket(v, F.coalesce(lo, none), hi).alias("_b")).agg(F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_rank").alias("_rank"))
+        upto = F.sum("_m").over(Window.partitionBy(*keys, "_q").orderBy("_b"))  # a row a bucket
+        some = some.withColumn("_upto", upto).where((F.col("_rank") >= F.col("_upto") - F.col("_m")) & (F.col("_rank") < F.col("_upto")))
+        some = cut(some.withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_m")))
+        found.append(some.where("_lo = _hi").select(*keys, "_q", F.col("_lo").alias("_x")))
+        left = some.where("_lo <> _hi")
+        small = left.where(F.col("_m") <= sort)
+        if not small.isEmpty():
+            last = _beside(rows, small.select(*keys, "_q", "_lo", "_hi", "_rank"), keys).where(v.between(lo, hi))
+            last = last.groupBy(*keys, "_q").agg(F.sort_array(F.collect_list("_v")).alias("_x"), F.first("_rank").alias("_rank"))  # sort values at most
+            found.append(cut(last.select(*keys, "_q", F.get("_x", F.col("_rank").cast("int")).alias("_x"))))
+        open_ = left.where(F.col("_m") > sort).select(*keys, "_q", "_lo", "_hi", "_rank", F.lit(False).alias("_all"))
+        if open_.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == k, F.col("_x"))).alias(n) for k, n in enumerate(names)])
+    return _beside(stats.select(*keys, "n", "mean"), every, keys)
 
 
 def frame_intervals(df: DataFrame, keys: list[str], n: str, t: str, warm_up: int = 15) -> DataFrame:

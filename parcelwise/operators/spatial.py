@@ -120,7 +120,7 @@ def first_come(marks: DataFrame, reach: float = 45.0, by_name: bool = True) -> D
     other = marks.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("p").alias("q"), F.col("ord").alias("other_ord"))
     earlier = "(other_ord < ord or other_ord = ord and other < id)" + " and name = other_name" * by_name
     pairs = cut(near_pairs(marks.select("id", "name", "p", "ord"), other, reach).where(earlier).select("id", "other", "other_ord"))
-    state = first_kept(marks, pairs)
+    state = first_kept(marks.select("id", F.struct("ord", "id").alias("order")), pairs)
     target = pairs.join(state.where("kept").select(F.col("id").alias("other")), "other").groupBy("id").agg(F.min_by("other", F.struct("other_ord", "other")).alias("record_id"))
     return state.join(target, "id", "left").select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("record_id")).alias("record_id"))
 

@@ -147,15 +147,33 @@ def longest_path_mid(spark, sf_dir):
     return catalogue.road_groups(fx.roads(spark, sf_dir)).select("id", "position.x")
 
 
-@query(_GROUP + """, g AS (SELECT key, count(*) AS n FROM k GROUP BY 1) SELECT (SELECT count(*) FROM g WHERE key LIKE 'road:%') AS named_roads, (SELECT CAST(sum(n) AS BIGINT) FROM g WHERE key LIKE 'road:%') AS named_road_segments,
+#: The frame ends between two points of the roads that it cuts; most roads lie outside.
+_EDGE = 9000.5
+_INSIDE = _GROUP.replace("FROM road)", f"FROM road WHERE id * 3 <= {_EDGE})")
+
+
+def _frame():
+    return F.struct(*[F.lit(v).alias(k) for k, v in (("minx", -1e6), ("maxx", _EDGE), ("minz", -1e6), ("maxz", 1e6))])
+
+
+@query(_INSIDE + f""", c AS (SELECT *, CASE WHEN id * 3 + n - 1 <= {_EDGE} THEN n ELSE CAST(floor({_EDGE} - id * 3) AS BIGINT) + 2 END AS m FROM k),
+l AS (SELECT key, max_by(id, m * 100000000 + ord) AS best, max(m) AS m FROM c GROUP BY 1), w AS (SELECT l.key, l.m, id, n, l.m // 2 AS spot, l.m // 2 = l.m - 1 AND l.m < n + (id * 3 + n - 1 > {_EDGE})::INT AND id * 3 + l.m // 2 > {_EDGE} AS cut_off FROM l JOIN c ON c.id = l.best),
+g AS (SELECT key, CAST(count(*) AS INTEGER) AS n_ids, CAST(sum(1) AS BIGINT) AS n_paths FROM k GROUP BY 1)
+SELECT key AS id, n_ids, n_paths, CAST(CASE WHEN cut_off THEN {_EDGE} ELSE id * 3 + spot END AS DOUBLE) AS x, round(CAST(CASE WHEN cut_off THEN id % 100 + (spot - 1) * (spot - 1) + ({_EDGE} - id * 3 - (spot - 1)) * (2 * spot - 1) ELSE id % 100 + spot * spot END AS DOUBLE), 6) AS z FROM g JOIN w USING (key)""")
+def clipped_roads(spark, sf_dir):
+    """A2 within an extent: pieces inside it are grouped, roads outside it go."""
+    out = catalogue.road_groups(catalogue.clipped_roads(fx.roads(spark, sf_dir), _frame()))
+    return out.select("id", F.size("source_ids").alias("n_ids"), "n_paths", "position.x", F.round("position.z", 6).alias("z"))
+
+
+@query(_INSIDE + """, g AS (SELECT key, count(*) AS n FROM k GROUP BY 1) SELECT (SELECT count(*) FROM g WHERE key LIKE 'road:%') AS named_roads, (SELECT CAST(sum(n) AS BIGINT) FROM g WHERE key LIKE 'road:%') AS named_road_segments,
 (SELECT count(*) FROM nation WHERE n_nationkey % 3 = 0) AS buildings, (SELECT count(*) FROM nation WHERE n_nationkey % 3 = 1) AS zones, (SELECT count(*) FROM nation WHERE n_nationkey % 3 = 2) AS points, (SELECT count(*) FROM t WHERE title IS NULL AND is_road) AS unnamed_road_segments""")
 def catalogue_stats(spark, sf_dir):
-    roads = fx.roads(spark, sf_dir)
+    roads = catalogue.clipped_roads(fx.roads(spark, sf_dir), _frame())
     lines = catalogue.road_groups(roads).select("id", F.lit("line").alias("type"), "source_ids")
     n = F.col("n_nationkey")
     other = fx.table(spark, sf_dir, "nation").select(F.concat(F.lit("way/"), n).alias("id"), F.when(n % 3 == 0, "building").when(n % 3 == 1, "zone").otherwise("point").alias("type"), F.array().cast("array<bigint>").alias("source_ids"))
-    unnamed = roads.where(F.coalesce(jsem.text_or_null(F.trim("name")), jsem.text_or_null("ref")).isNull() & F.col("is_road"))
-    return catalogue.catalogue_statistics(lines.unionByName(other), unnamed)
+    return catalogue.catalogue_statistics(lines.unionByName(other), catalogue.unnamed_roads(roads))
 
 
 @query(_GROUP + ", g AS (SELECT key, min(ord) AS ord FROM k GROUP BY 1), e AS (SELECT key AS id, key AS record_id, ord FROM g UNION ALL SELECT CAST(k.id AS VARCHAR), k.key, g.ord FROM k JOIN g USING (key)) SELECT id, max_by(record_id, ord) AS record_id FROM e GROUP BY 1")

@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     return register
 
 
-# --- The catalogue: roads of orders, points of suppliers, areas of nations, zones of regions, buildings of customers,
+# --- The catalogue: roads of orders (three quarters of them inside), points of suppliers, areas of nations, zones of regions, buildings of customers,
 # landmarks of parts, in an extent of 50 to 950.
 _EXTENT = (50, 950, 50, 950)
 
@@ -40,14 +40,17 @@ def _catalogue(spark, sf_dir):
         c.alias("ord"), F.concat(F.lit("way/"), c).alias("id"), tags.alias("tags"), box(c * 37 % 900 + 20, c * 91 % 900 + 20, side, side + c % 3).alias("poly"), F.when(c % 11 == 0, F.concat(F.lit("Mark "), c % 4)).alias("landmark"))
     marks = fx.table(spark, sf_dir, "part").select(
         k.alias("ord"), F.concat(F.lit("mark/"), k).alias("id"), F.concat(F.lit("L"), k % 9).alias("name"), F.when(k % 2 == 0, "Mairie").alias("kind"), geom.point(k * 13 % 1000, k * 7 % 990).alias("p"))
-    return catalogue.build(fx.roads(spark, sf_dir), points, areas, zones, buildings, marks, _extent(*_EXTENT))
+    o = F.col("id")
+    moved = lambda p: geom.point(p["x"] - o * 3 + (o % 120) * 10 + 5, p["z"] + 60)  # noqa: E731  whole roads in the extent, or outside
+    roads = fx.roads(spark, sf_dir).withColumn("paths", F.transform("paths", lambda path: F.transform(path, moved)))
+    return catalogue.build(roads, points, areas, zones, buildings, marks, _extent(*_EXTENT))
 
 
 _CLIP = "greatest(x0, 50) + least(x0 + w, 950) AS x2, greatest(z0, 50) + least(z0 + h, 950) AS z2"
-_CATALOGUE = _GROUP.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+_CATALOGUE = _GROUP.replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM road)", "FROM road WHERE (id % 120) * 10 + 5 BETWEEN 50 AND 950)") + f""",
 gl AS (SELECT key, max_by(id, n * 100000000 + ord) AS best, max(n) AS n FROM k GROUP BY 1),
 gr AS (SELECT key AS id, min(title) AS name, CASE WHEN key LIKE 'road:%' THEN 'Rue / voie' ELSE 'Voie ferrée' END AS kind, 'OpenStreetMap' AS source, 'line' AS type,
-    CAST(min(best) * 3 + min(gl.n) // 2 AS DOUBLE) AS x, CAST(min(best) % 100 + (min(gl.n) // 2) * (min(gl.n) // 2) AS DOUBLE) AS z, min(k.ord) AS ord FROM k JOIN gl USING (key) GROUP BY key),
+    CAST((min(best) % 120) * 10 + 5 + min(gl.n) // 2 AS DOUBLE) AS x, CAST(60 + min(best) % 100 + (min(gl.n) // 2) * (min(gl.n) // 2) AS DOUBLE) AS z, min(k.ord) AS ord FROM k JOIN gl USING (key) GROUP BY key),
 pt AS (SELECT s_suppkey AS sid, 'L' || (s_suppkey % 6) AS name, s_suppkey % 3 = 0 AS hamlet, CAST(s_suppkey * 53 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 29 % 1000 AS DOUBLE) AS z FROM supplier WHERE s_suppkey % 6 > 0),
 pi AS (SELECT * FROM pt WHERE x BETWEEN 50 AND 950 AND z BETWEEN 50 AND 950),
 sp AS (SELECT 'node/' || sid AS id, name, CASE WHEN hamlet THEN 'Lieu-dit / secteur' ELSE 'Lieu / équipement' END AS kind, 'OpenStreetMap' AS source, 'point' AS type, x, z, sid AS ord FROM pi),

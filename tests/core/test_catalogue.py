@@ -33,3 +33,15 @@ def test_build(spark):
     assert lead["w2"] == "road:Main" and lead["m1"] == "b3" and lead["m3"] == "m2" and lead["m4"] == "m4" and "m5" not in lead
     stats = catalogue.catalogue_statistics(records, roads.where("name is null and ref is null")).first()
     assert tuple(stats) == (1, 2, 4, 2, 5, 1)
+
+
+def test_roads_are_clipped_to_the_extent(spark):
+    line = lambda *xs: [(float(x), 5.0) for x in xs]
+    rows = [("in", 1, True, "A", None, 5.0, [line(10, 50, 90)]), ("cut", 2, True, "A", None, 5.0, [line(-50, 50, 150, 50, 40)]), ("out", 3, True, "A", None, 5.0, [line(200, 300)]), ("gone", 4, True, "Far", None, 5.0, [line(-10, -5), line(101, 200)]),
+            ("bare", 5, True, " ", "", 5.0, [line(10, 20)]), ("bare out", 6, True, None, None, 5.0, [line(500, 600)]), ("rail", 7, False, None, None, 5.0, [line(1, 2)])]
+    roads = spark.createDataFrame(rows, f"id string, ord long, is_road boolean, name string, ref string, width double, paths array<{RING}>")
+    extent = F.struct(*[F.lit(v).alias(k) for k, v in (("minx", 0.0), ("maxx", 100.0), ("minz", 0.0), ("maxz", 100.0))])
+    inside = catalogue.clipped_roads(roads, extent)
+    assert {r.id: [[p.x for p in path] for path in r.paths] for r in inside.collect()} == {"in": [[10, 50, 90]], "cut": [[0, 50, 100, 50, 40]], "bare": [[10, 20]], "rail": [[1, 2]]}  # both ends of a bend outside meet
+    (group,) = catalogue.road_groups(inside).collect()
+    assert (group.id, group.source_ids, group.n_paths) == ("road:A", ["in", "cut"], 2) and [r.id for r in catalogue.unnamed_roads(inside).collect()] == ["bare"]

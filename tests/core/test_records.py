@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException  # noqa: F401
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom, jsem
-from parcelwise.operators import cover, labels, landuse, quality, spatial
+from parcelwise.operators import cover, labels, landuse, quality, rounds, spatial
 from parcelwise.plans import registry
 from parcelwise.sources import elements, geojson, osm
 
@@ -54,16 +54,63 @@ def test_intervals_across_cells(spark):
         assert [r.range_id for r in sorted(got.collect(), key=lambda r: r.point_id)] == [1, 1, 2, 2, None, None, 3, None, None, None, 4, None, 5]
 
 
-def test_quantiles_of_hot_and_tied_keys(spark):
+@pytest.mark.parametrize("sort", [3, 1024])
+def test_quantiles_of_hot_and_tied_keys(spark, sort):
     rng = random.Random(3)
+    inf = float("inf")
     rows = [("hot", float(rng.choice([1, 2, 2, 2, 50, rng.random()]))) for _ in range(5000)] + [("same", 7.0)] * 40 + [("one", 3.0), (None, 1.0), (None, 2.0), ("hot", None), ("none", None)]
-    got = {r.k: (r.n, r.median, r.p95) for r in quality.interval_statistics(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 16).collect()}
-    for k in ("hot", "same", "one", None):
+    rows += [("wide", rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300)) for _ in range(300)] + [("odd", x) for x in (inf, -inf, inf, 0.0, -1.0, inf)] + [("low", -(10.0 ** rng.uniform(-9, 9))) for _ in range(90)] + [("zero", x) for x in [0.0] * 30 + [5e-324, 1e308, -5e-324]]
+    got = {r.k: (r.n, r.median, r.p95) for r in quality.interval_statistics(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", sort=sort).collect()}
+    for k in ("hot", "same", "one", None, "wide", "odd", "low", "zero"):
         v = sorted(x for key, x in rows if key == k and x is not None)
-        assert got[k] == (len(v), v[len(v) // 2], v[int(len(v) * 0.95)])
+        assert got[k] == (len(v), v[len(v) // 2], v[int(len(v) * 0.95)]), k
     assert "none" not in got
 
 
+def test_one_value_a_million_times_is_counted(spark, monkeypatch):
+    plans = []
+    cut = rounds.cut
+    monkeypatch.setattr(quality, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = quality.interval_statistics(spark.range(1_000_000).select(F.lit("k").alias("k"), F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id").cast("double")).alias("v")), ["k"], "v").first()
+    assert (got.n, got.median, got.p95) == (1_000_000, 5.0, 500009.0) and len(plans) <= 8
+    assert all("Window" not in p or "Aggregate" in p[p.index("Window") :] for p in plans)  # over counts of buckets
+
+
+def kept_brute(n, pairs):
+    against = {}
+    for i, j in pairs:
+        against.setdefault(i, set()).add(j)
+    kept = {}
+    for i in range(n):
+        kept[i] = not any(kept[j] for j in against.get(i, ()))
+    return kept
+
+
+def graph(name, n):
+    rng = random.Random(9)
+    chain = [(i, i - 1) for i in range(1, n)]
+    ladder = chain + [(i, i - 2) for i in range(2, n)]
+    wild = [(i, rng.randrange(i)) for i in range(1, n) for _ in range(rng.choice([0, 1, 3]))]
+    many = [(i, i - 1) for i in range(1, n) if i % 12] + [(i, i - 5) for i in range(5, n) if i % 12 > 7]
+    return sorted(set({"none": [], "ladder": ladder, "wild": wild, "many": many}[name]))
+
+
+@pytest.mark.parametrize("name, n, bound", [("none", 5, 9), ("ladder", 40, 60), ("wild", 200, 100_000), ("many", 300, 100)])
+def test_first_kept_of_any_graph(spark, name, n, bound):
+    pairs = graph(name, n)
+    rows = spark.createDataFrame([(i, (f"{i:05d}", i)) for i in range(n)], "id long, order struct<a:string,b:long>")
+    got = {r.id: r.kept for r in rounds.first_kept(rows, spark.createDataFrame(pairs, "id long, other long"), bound, 1).collect()}
+    assert got == kept_brute(n, pairs)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, cuts, cut = 100_000, [], rounds.cut  # a chain of 100,000 rows: pointers double 17 times
+    monkeypatch.setattr(rounds, "cut", lambda df: cuts.append(1) or cut(df))
+    rows = spark.range(n).select("id", F.col("id").alias("order"))
+    got = rounds.first_kept(rows, rows.where("id > 0").select("id", (F.col("id") - 1).alias("other")), bound=1000)
+    assert got.where(F.col("kept") == (F.col("id") % 2 == 0)).count() == n and len(cuts) < 40
+
+
 BOXES = "struct<minx:double,maxx:double,minz:double,maxz:double>"
 
 
