@@ -170,3 +170,25 @@ def dq_report(spark, sf_dir):
         "D7 orientation": quality.misoriented(origins, (0.5, 48.5)), "D8 hashes": quality.changed(texts, then, "doc_id"), "D9 matches": quality.weak_matches(matches.where("status <> 'unmatched'")), "D10 matched": totals, "D10 ids": ids,
         "D11 vertices": quality.bad_vertices(built, _extent(0, 100, 0, 100)), "D12 walls": quality.altered_walls(profiles, buildings), "D13 names": quality.invented_names(groups.select("id", "name", "source_ids"), sources), "D15 picks": quality.unresolved(picks),
     })
+
+
+_WALL = "SELECT s_suppkey AS s, CAST(s_suppkey % 100 AS DOUBLE) AS top, CASE WHEN s_suppkey % 13 = 0 THEN -1.0 ELSE 0.0 END AS low, NOT (s_suppkey <= 60.1 AND 2 * s_suppkey <= 90.1) AS a_out, NOT (s_suppkey + 1 <= 60.1 AND 2 * s_suppkey <= 90.1) AS b_out FROM supplier"
+
+
+@query(f"""{fx.sql('a')}, w AS ({_WALL})
+SELECT 'D3 clipped' AS rule, (SELECT count(*) FROM a WHERE x0 <= 700 AND x1 >= 100 AND z0 <= 600 AND z1 >= 50 AND (least(x1, 700) > 650.01 OR greatest(z0, 50) < 69.99)) AS violations
+UNION ALL SELECT 'D11 vertices', (SELECT CAST(sum(2 * CAST(top >= 90 AS INTEGER) + 2 * CAST(low < 0 AS INTEGER) + CAST(a_out AS INTEGER) * (CAST(top < 90 AS INTEGER) + CAST(low >= 0 AS INTEGER)) + CAST(b_out AS INTEGER) * (CAST(top < 90 AS INTEGER) + CAST(low >= 0 AS INTEGER))) AS BIGINT) FROM w)
+UNION ALL SELECT 'D12 walls', (SELECT count(*) FROM part WHERE p_partkey % 4 > 0 AND p_partkey % 15 <> 0 AND p_partkey % 10 = 0)""")
+def dq_violations(spark, sf_dir):
+    """D3, D11, D12 on tables that break them: clipped rings in a smaller extent, walls too high, too low and outside, and
+    wall heights that were altered."""
+    wide, narrow = _extent(100, 700, 50, 600), _extent(100, 650, 70, 600)
+    clipped = fx.footprints(spark, sf_dir, polygons=True)[0].select("a_id", F.explode(geom.clip_ring(F.col("a_poly")[0], wide)).alias("p"))
+    s = F.col("s_suppkey")
+    wall = F.struct(geom.point(s, 2 * s).alias("a"), geom.point(s + 1, 2 * s).alias("b"), F.when(s % 13 == 0, -1.0).otherwise(0.0).alias("low"), (s % 100).cast("double").alias("top_a"), (s % 100).cast("double").alias("top_b"))
+    built = fx.table(spark, sf_dir, "supplier").select(s.alias("id"), F.array(wall).alias("walls"))
+    buildings = _buildings(spark, sf_dir)
+    given = buildings.select("id", F.when(F.col("id").cast("long") % 10 == 0, F.col("wall_height") + 1).otherwise(F.col("wall_height")).alias("wall_height"))
+    return quality.report({
+        "D3 clipped": quality.outside(clipped, narrow).select("a_id").distinct(), "D11 vertices": quality.bad_vertices(built, _extent(0, 60, 0, 90)), "D12 walls": quality.altered_walls(given, buildings),
+    })
