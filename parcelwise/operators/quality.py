@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import geom
-from parcelwise.operators.rounds import cut
+from parcelwise.operators.rounds import cut, preceding, running
 
 
 def running_ranges(df: DataFrame, keys: list[str], ord_: str, n: str) -> DataFrame:
-    """Adds start and end: contiguous half-open ranges of n in order; empty ones go."""
-    end = F.sum(n).over(Window.partitionBy(*keys).orderBy(ord_).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("end", end).withColumn("start", F.col("end") - F.col(n)).where("start < end")
+    """Adds start and end: contiguous half-open ranges of n in order; empty ones go. Without keys, one list of ranges."""
+    out = running(df, keys, [ord_], n, "end")
+    return out.withColumn("start", F.col("end") - F.col(n)).where("start < end")
 
 
 def gaps(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Ranges that don't start where the one before ends (the first one: at 0)."""
-    before = F.coalesce(F.lag("end").over(Window.partitionBy(*keys).orderBy("start")), F.lit(0))
-    return ranges.withColumn("expected", before).where("start <> expected")
+    out = preceding(ranges, keys, "start", "end", "expected")
+    return out.withColumn("expected", F.coalesce("expected", F.lit(0))).where("start <> expected")
 
 
 def missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

@@ -159,13 +159,37 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(edges.select("v", F.col("v")).distinct())
 
 
+def _dealt(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows dealt out by ranges of keys and order, with the number of their range, _part; written, so that it stays."""
+    return cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _ahead(dealt: DataFrame, keys: list[str], ranges: DataFrame, columns: list) -> DataFrame:
+    """Rows r beside what is known of their range (a row for each of the keys and ranges), r's columns and those given."""
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_part")]
+    return dealt.alias("r").join(ranges.alias("c"), same).select(*columns)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
-    """Adds a row's number (from 1) in an order within its keys. Rows are dealt out by ranges of keys and order; a range's
-    first number comes from the counts of those before, a row per key and range, and rows are ranked within ranges."""
-    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_held"))
-    ahead = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*keys, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead")).alias("c")
-    rows = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).alias("r")
-    out = rows.join(counts, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_part")])
-    return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_ahead") + F.col("_rank")).cast("long").alias(name))
+    """Adds a row's number (from 1) in an order within its keys."""
+    one = running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", name)
+    return one.select(*df.columns, F.col(name).cast("long").alias(name))
+
+
+def running(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
+    """Adds the sum of a value up to each row, itself included, in an order within its keys. What comes before a range is
+    the sum of those before, a row per key and range, and rows are summed within ranges; so no key is one task's."""
+    dealt = _dealt(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_held")).select(*keys, "_part", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_ahead"))
+    own = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return _ahead(dealt.withColumn("_own", own), keys, sums, [*[F.col(f"r.{c}") for c in df.columns], (F.col("_ahead") + F.col("_own")).alias(name)])
+
+
+def preceding(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the value of the row before each in an order within its keys, null for the first. The first row of a range has
+    the last value of the range before."""
+    dealt = _dealt(df, keys, [order])
+    lasts = dealt.groupBy(*keys, "_part").agg(F.max_by(value, order).alias("_last")).select(*keys, "_part", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part")).alias("_before"))
+    own = F.lag(value).over(Window.partitionBy(*keys, "_part").orderBy(order))
+    return _ahead(dealt.withColumn("_own", own), keys, lasts, [*[F.col(f"r.{c}") for c in df.columns], F.coalesce("_own", "_before").alias(name)])

@@ -76,6 +76,29 @@ def test_one_value_a_million_times_is_counted(spark, monkeypatch):
     assert all("Window" not in p or "Aggregate" in p[p.index("Window") :] for p in plans)  # over counts of buckets
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_ranges_of_one_list_are_spread(spark, request, keys):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several ranges
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([0, 1, 5])) for i in range(500)]
+    got = quality.running_ranges(spark.createDataFrame(rows, "k string, ord long, n long").repartition(7), keys, "ord", "n")
+    at, want = {}, []
+    for k, i, n in rows:
+        key = k if keys else 0
+        at[key] = at.get(key, 0) + n
+        want += [(i, at[key] - n, at[key])] if n else []
+    got = rounds.cut(got.select("k", "ord", "start", "end"))
+    assert sorted(map(tuple, got.select("ord", "start", "end").collect())) == want
+    assert quality.gaps(got, keys).count() == 0
+    holes = got.where("ord % 10 <> 3")
+    kept, last, bad = sorted(map(tuple, holes.collect()), key=lambda r: r[1]), {}, 0
+    for k, _, start, end in kept:
+        bad += start != last.get(k if keys else 0, 0)
+        last[k if keys else 0] = end
+    assert quality.gaps(holes, keys).count() == bad > 5
+
+
 def kept_brute(n, pairs):
     against = {}
     for i, j in pairs:
