@@ -3,6 +3,8 @@ join is planned, and a pair is kept in one cell only, so duplicates never need a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,31 +130,51 @@ def first_come(marks: DataFrame, reach: float = 45.0, by_name: bool = True) -> D
 def nearest_by_name(marks: DataFrame, records: DataFrame, first: float = 128.0) -> DataFrame:
     """Each mark (id, name, p) with the nearest record (record_id, record_name, q, ord) of its name. Cells grow fourfold
     from round to round: a mark whose nearest record around its cell is nearer than a cell is wide is done, so a
-    common name costs its near records, not all pairs. The last round has one cell for all that is left."""
+    common name costs its near records, not all pairs. Marks that lie far from all records go down a pyramid of cells."""
     at = lambda p, size: (_cell(F.col(p)["x"], size).alias("cx"), _cell(F.col(p)["z"], size).alias("cz"))
     marks, size, done = marks.join(records.select(F.col("record_name").alias("name")).distinct(), "name", "left_semi"), first, []
     b = records.select(F.min("q.x").alias("a"), F.max("q.x").alias("b"), F.min("q.z").alias("c"), F.max("q.z").alias("d")).first()  # one row
     span = max(b["b"] - b["a"], b["d"] - b["c"]) if b["a"] is not None else 0.0
-    while True:
-        last = size > span
-        there = records.select("record_id", F.col("record_name").alias("name"), "q", "ord", *(at("q", size) if not last else (F.lit(0).alias("cx"), F.lit(0).alias("cz"))))
-        if last:
-            mine = marks.select("id", "name", "p", F.lit(0).alias("cx"), F.lit(0).alias("cz"))
-        else:
-            around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-            mine = marks.select("id", "name", "p", *at("p", size)).withColumn("cx", around("cx")).withColumn("cz", around("cz"))
+    while size <= span:
+        there = records.select("record_id", F.col("record_name").alias("name"), "q", "ord", *at("q", size))
+        around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+        mine = marks.select("id", "name", "p", *at("p", size)).withColumn("cx", around("cx")).withColumn("cz", around("cz"))
         best = mine.join(there, ["name", "cx", "cz"]).withColumn("d", geom.distance(F.col("p"), F.col("q"))).groupBy("id").agg(F.min(F.struct("d", "ord", "record_id")).alias("r"))
-        found = best if last else best.where(F.col("r.d") < size)
-        found = cut(found.select("id", "r.record_id"))
-        done.append(found)
-        marks = marks.join(found.select("id"), "id", "left_anti")
-        if last or marks.isEmpty():
+        done.append(cut(best.where(F.col("r.d") < size).select("id", "r.record_id")))
+        marks = cut(marks.join(done[-1].select("id"), "id", "left_anti"))
+        if marks.isEmpty():
             break
-        marks, size = cut(marks), size * 4
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        size *= 4
+    else:
+        done.append(nearest_by_descent(marks, records, span))
+    return reduce(DataFrame.unionByName, done)
+
+
+def nearest_by_descent(marks: DataFrame, records: DataFrame, span: float, finest: float = 1 / 32) -> DataFrame:
+    """(id, record_id) as in nearest_by_name, by a pyramid: cells that have records of a name, with the bounds of those, each
+    level four times as wide as the one below. A mark begins at the few cells of the top and goes down; of the cells below it
+    keeps those that may hold a nearer record than any other cell must. Records are read in the finest cells that are left."""
+    spots = records.groupBy(F.col("record_name").alias("name"), F.col("q.x").alias("x"), F.col("q.z").alias("z")).agg(F.min(F.struct("ord", "record_id")).alias("r"))
+    spots = cut(spots.withColumn("cx", F.floor(F.col("x") / finest)).withColumn("cz", F.floor(F.col("z") / finest)))
+    ends = lambda lo, hi: [F.min(f"{lo}x").alias("lx"), F.max(f"{hi}x").alias("hx"), F.min(f"{lo}z").alias("lz"), F.max(f"{hi}z").alias("hz")]
+    levels, size = [cut(spots.groupBy("name", "cx", "cz").agg(*ends("", "")))], finest
+    while size <= span:
+        up = levels[-1].groupBy("name", F.shiftright("cx", 2).alias("cx"), F.shiftright("cz", 2).alias("cz")).agg(*ends("l", "h"))
+        levels, size = [*levels, cut(up) if len(levels) % 4 == 0 else up], size * 4
+    near = lambda k: F.greatest(F.lit(0.0), F.col(f"l{k}") - F.col(f"p.{k}"), F.col(f"p.{k}") - F.col(f"h{k}"))
+    far = lambda k: F.greatest(F.abs(F.col(f"l{k}") - F.col(f"p.{k}")), F.abs(F.col(f"h{k}") - F.col(f"p.{k}")))
+
+    def kept(cells: DataFrame) -> DataFrame:
+        sure = F.min(F.hypot(far("x"), far("z"))).over(Window.partitionBy("id"))
+        return cells.withColumn("_sure", sure).where(F.hypot(near("x"), near("z")) <= F.col("_sure") * (1 + 1e-9)).select("id", "name", "p", "cx", "cz")
+
+    left = kept(marks.select("id", "name", "p").join(levels[-1], "name"))  # four cells a name at most
+    for k, level in enumerate(reversed(levels[:-1])):
+        below = level.withColumnsRenamed({"cx": "_cx", "cz": "_cz"}).withColumn("cx", F.shiftright("_cx", 2)).withColumn("cz", F.shiftright("_cz", 2))
+        left = kept(left.join(below, ["name", "cx", "cz"]).drop("cx", "cz").withColumnsRenamed({"_cx": "cx", "_cz": "cz"}))
+        left = cut(left) if k % 4 == 3 else left
+    there = left.join(spots, ["name", "cx", "cz"]).withColumn("d", geom.distance(F.col("p"), geom.point(F.col("x"), F.col("z"))))
+    return cut(there.groupBy("id").agg(F.min(F.struct("d", "r.ord", "r.record_id")).alias("r")).select("id", "r.record_id"))
 
 
 def interval_lookup(points: DataFrame, ranges: DataFrame, keys: list[str], cell: int = 1 << 16) -> DataFrame:

@@ -76,6 +76,19 @@ def test_one_value_a_million_times_is_counted(spark, monkeypatch):
     assert all("Window" not in p or "Aggregate" in p[p.index("Window") :] for p in plans)  # over counts of buckets
 
 
+@pytest.mark.parametrize("way", ["rounds", "descent"])
+def test_nearest_of_a_name_at_two_far_ends(spark, way):
+    rng = random.Random(4)
+    records = [(i, "hot", (rng.choice([-40_000, 40_000]) + rng.choice([0.0, rng.uniform(-30, 30)]), rng.uniform(-20, 20)), i) for i in range(400)]
+    records += [(1000 + i, f"n{i % 3}", (rng.uniform(-900, 900), rng.uniform(-900, 900)), i) for i in range(30)] + [(2000, "alone", (5.0, 5.0), 1), (2001, "alone", (5.0, 5.0), 0)]
+    marks = [(i, rng.choice(["hot", "hot", "n0", "n1", "alone", "none"]), (rng.uniform(-1, 1) * s, rng.uniform(-1, 1) * s)) for i, s in enumerate([100, 5e4, 3e6] * 25)]
+    m, r = spark.createDataFrame(marks, f"id long, name string, p {POINT}"), spark.createDataFrame(records, f"record_id long, record_name string, q {POINT}, ord long")
+    got = spatial.nearest_by_name(m, r) if way == "rounds" else spatial.nearest_by_descent(m, r, 80_100.0)
+    d = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+    want = {i: min((d(p, q), o, k) for k, other, q, o in records if other == name)[2] for i, name, p in marks if name != "none"}
+    assert {x.id: x.record_id for x in got.collect()} == want
+
+
 @pytest.mark.parametrize("keys", [[], ["k"]])
 def test_ranges_of_one_list_are_spread(spark, request, keys):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several ranges
