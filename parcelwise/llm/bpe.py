@@ -14,7 +14,7 @@ in the same partitions, as tables are.
 
 Decoding: ids are looked up in the table of token bytes (fixed by the vocabulary) and joined.
 
-Null texts count as empty; empty texts have no ids. Null doc_ids stay null, repeated rows stay repeated. Further
+Null texts count as empty; empty texts have no ids; an empty table gives no rows. Null doc_ids stay null, repeated rows stay repeated. Further
 columns, whatever their names, are not read. Ids that the vocabulary doesn't have are an error in decoding.
 """
 

@@ -14,7 +14,7 @@ chunks, and each task compares one chunk with another, so a hot cell spreads ove
 two chunks. A pair that shares several cells belongs to the smallest of them and counts there alone. Links are never
 rows: a task adds up each class's links, and gives the edges of a star for each group that it finds connected.
 
-Vectors that are null, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
+An empty table gives no rows. Vectors that are null, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
 nothing; vectors of unequal lengths don't either. Vectors are scaled by their largest component before they are
 normed, so that none is too small or large. Repeated rows of one vec_id and vector count once. A vec_id that comes
 with several vectors is one node of the components, and its vectors don't link with each other; n_links is each row's

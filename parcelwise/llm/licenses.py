@@ -14,8 +14,8 @@ postings that agree on one place of it, so a whole licence has 1 and a mere ment
 The postings are array and map constants that expressions look up, so the plan doesn't grow with the number of
 templates, nor the work per word that isn't in the index.
 
-Words are runs of anything but ASCII other than letters and digits, A-Z in lower case. Null texts count as empty. Rows
-are independent: repeated ones, null ids and hot groups need no care; nothing but the word counts is shuffled. Further
+Words are runs of anything but ASCII other than letters and digits, A-Z in lower case. Null texts count as empty. An
+empty table gives no rows; long texts are read whole, a row's words at a time. Rows are independent: repeated ones, null ids and hot groups need no care; nothing but the word counts is shuffled. Further
 columns are not read.
 """
 

@@ -17,7 +17,8 @@ a pair in the first half-key it shares alone. So every pair that shares a key is
 in buckets of any size. Members of a group's most frequent component are not compared with each other; the work for
 the rest grows with their number times the group's size, the rows that are made with that over CHUNK.
 
-Null, empty and wordless texts have an empty set and link with nothing. Rows without doc_id link with nothing and
+Null, empty and wordless texts have an empty set and link with nothing; an empty table gives no rows. Long texts are
+read whole, each in one piece of its batch. Rows without doc_id link with nothing and
 keep a null component; repeated rows of one doc_id count as one document (their shingles' union is not taken: any
 row's links count, and its rows are in one component). Further columns, whatever their names, are not read.
 """

@@ -17,7 +17,7 @@ where that is exact (below 2 ** 53), else in 64 bits, else in whole numbers of a
 to the largest (smallest) long. Vectors that are null, empty or hold null or non-finite components, and rows without
 vec_id, take no part. Vectors are compared with queries of their own length. A row of the query's own vec_id is not
 its candidate; other repeated rows are candidates each. A query that is repeated is asked once: its shortest vector,
-of those the smallest. Ties go to the smaller vec_id. Further columns, whatever their names, are not read.
+of those the smallest. Ties go to the smaller vec_id. Empty tables give no rows. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
