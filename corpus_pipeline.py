@@ -16,7 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language (null or letterless); lang becomes the predicted one."""
+    """Rejects texts without a language (null or letterless); lang becomes the predicted one. Repeated rows stay, each
+    judged by itself; long texts are read whole; an empty table stays empty."""
     docs = pick(docs, *COLUMNS)
     sample = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()))
     found = langid.predict(docs, sample, ("doc_id", "lang", "source", "n_chars"), keep_text=True)
@@ -42,12 +43,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per document and pass in which the mix takes it; the one that a source's target cuts is cut."""
+    """A row per document and pass in which the mix takes it; the one that a source's target cuts is cut.
+    Repeated rows count as one document; long texts stay whole otherwise; an empty table stays empty."""
     return mixing.mixed(docs, ("lang", "n_chars")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes each text; digests of both."""
+    """Encodes and decodes each text; digests of both. Repeated rows (a document of two passes) come out each; long texts are
+    encoded whole; an empty table gives no rows."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
