@@ -1,15 +1,18 @@
 """License scans by a positional rare-token index, with DataFrame operations only.
 
 Licences are templates: a text, and the key phrases in it that are mandatory. Document frequencies of all licence words
-are counted over all documents. The index has postings (template, position) of each template's words of highest
-inverse document frequency, RARE of them, and of each key phrase's highest two. A file's index words are looked up,
-and their postings are intersected by relative position: the word at place i of a file that stands at place o of a
-template votes for the template at i - o.
-
-Key phrases are found in the same way by their own postings, at places that all their index words agree on, and there
-the whole phrase is compared: a phrase that stands in a text has its index words at those places, so none is missed. A
-label is given if all the key phrases of one of its templates are there. The score is the largest share of a template's
-postings that agree on one place of it, so a whole licence has 1 and a mere mention less.
+are counted over all documents. The index has postings (template, position) of each template's POOL words of highest
+inverse document frequency. Of these a file chooses, for each template, the RARE rarest that stand in the file itself,
+so a notice whose rarest words are altered is found by the next ones; index words of key phrases are chosen besides. Their postings are intersected by relative
+position: the word at place i of a file that stands at place o of a template votes for the template at i - o, and places
+where AGREE or more of the chosen words agree are kept. There the key phrases are verified: a label is given if all of
+the template's phrases stand where the place puts them, give or take DRIFT words (a name put into a notice shifts what
+follows). Phrases out of order, far apart or without votes give no label. The score is the largest share of a
+template's RARE words that agree on one place, so a whole licence has 1, a piece of one less, and single words none.
+
+Where phrases stand is looked up by postings of each one's ANCHORS rarest words, at places that all of them agree on;
+there the whole phrase is compared. A phrase that stands in a text has its index words at those places, so none is
+missed. Base phrases count wherever they stand, and their labels are among the others.
 
 The postings are array and map constants that expressions look up, so the plan doesn't grow with the number of
 templates, nor the work per word that isn't in the index.
@@ -27,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.functions.geom import once
 from parcelwise.llm.common import pick
 
 # Phrases and labels of the base.
@@ -73,8 +77,12 @@ MORE = (
 )
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Index words of a template and of a key phrase.
-RARE, ANCHORS = 8, 2
+#: Words of a template in the index, those of them that a file chooses, and index words of a key phrase.
+POOL, RARE, ANCHORS = 16, 8, 2
+#: Words that must agree on a place, and words by which a key phrase may be off it.
+AGREE, DRIFT = 2, 16
+#: Votes are packed: template, place (which may lie before the text) and word.
+_PLACES, _WORDS = 1 << 36, 1 << 12
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,6 +99,11 @@ def templates() -> list[Template]:
     return base + [Template(label, tuple(tuple(p.split()) for p in phrases), tuple(text.split())) for label, phrases, text in MORE]
 
 
+def offset(t: Template, phrase: tuple[str, ...]) -> int:
+    """Where a key phrase first stands in its template."""
+    return next(o for o in range(len(t.words)) if t.words[o : o + len(phrase)] == phrase)
+
+
 def phrases() -> list[tuple[str, ...]]:
     return sorted({p for t in templates() for p in t.phrases})
 
@@ -119,14 +132,13 @@ class Index:
         for k, p in enumerate(self.phrases):
             for w in self.anchors[k]:
                 self.by_phrase.setdefault(w, []).append((k, p.index(w)))
+        self.must = [sorted({w for p in t.phrases for w in self.anchors[self.phrases.index(p)]}) for t in self.templates]
+        self.ranked = [rarest(t.words, POOL) for t in self.templates]
         self.by_template: dict[str, list[tuple[int, int]]] = {}
-        self.sizes = []
         for k, t in enumerate(self.templates):
-            known = {*rarest(t.words, RARE), *(w for p in t.phrases for w in self.anchors[self.phrases.index(p)])}
-            places = [(w, o) for o, w in enumerate(t.words) if w in known]
-            self.sizes.append(len(places))
-            for w, o in places:
-                self.by_template.setdefault(w, []).append((k, o))
+            for o, w in enumerate(t.words):
+                if w in self.ranked[k] or w in self.must[k]:
+                    self.by_template.setdefault(w, []).append((k, o))
         self.words = sorted({*self.by_phrase, *self.by_template})
 
 
@@ -146,11 +158,55 @@ def _votes(table: dict[str, list[tuple[int, int]]]) -> Column:
     return F.array_sort(F.flatten(F.transform("hits", each)))
 
 
-def _labels(found: str, some: list[Template], names: list[tuple[str, ...]]) -> Column:
-    """The labels of templates all of whose phrases are found, joined."""
-    table = _constant([{"label": t.label, "phrases": [names.index(p) for p in t.phrases]} for t in some], "array<struct<label:string,phrases:array<int>>>")
-    given = F.filter(table, lambda t: F.forall(t["phrases"], lambda p: F.array_contains(F.col(found), p)))
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(given, lambda t: t["label"]))), ",")
+def _shifts(index: Index) -> Column:
+    """Votes of the chosen words for (template, place), packed, distinct and in order."""
+    table = {w: [{"k": k, "o": o} for k, o in got] for w, got in index.by_template.items()}
+    posts = _constant({w: {"w": i, "at": table[w]} for i, w in enumerate(sorted(table))}, "map<string,struct<w:bigint,at:array<struct<k:bigint,o:bigint>>>>")
+
+    def each(h: Column) -> Column:
+        got = F.try_element_at(posts, h["w"])
+        mine = F.filter(got["at"], lambda p: F.array_contains(F.get("chosen", p["k"]), h["w"]))
+        pack = F.transform(mine, lambda p: (p["k"] * _PLACES + h["i"] - p["o"] + _PLACES // 2) * _WORDS + got["w"])
+        return F.coalesce(pack, F.array().cast("array<bigint>"))
+
+    return F.sort_array(F.array_distinct(F.flatten(F.transform("hits", each))))
+
+
+def _spots(index: Index) -> Column:
+    """Places that AGREE or more chosen words agree on: array<struct<k, s, share>>."""
+    full = _constant([min(RARE, len(r)) for r in index.ranked], "array<double>")
+    most = RARE + max(map(len, index.must))
+    at = lambda j: F.shiftright(F.get("shifts", j), _WORDS.bit_length() - 1)
+    first = F.filter(F.transform("shifts", lambda v, j: j), lambda j: ((j == 0) | (at(j - 1) != at(j))) & at(j).eqNullSafe(at(j + AGREE - 1)))
+
+    def spot(j: Column) -> Column:
+        # The distinct words that vote for a place stand next to each other.
+        n = F.size(F.filter(F.array(*map(F.lit, range(most))), lambda d: at(j + d).eqNullSafe(at(j))))
+        k = F.shiftright(at(j), _PLACES.bit_length() - 1).cast("int")
+        return F.struct(k.alias("k"), (at(j) % _PLACES - _PLACES // 2).alias("s"), F.least(n / F.get(full, k), F.lit(1.0)).alias("share"))
+
+    return F.transform(first, spot)
+
+
+def _joined(labels: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+
+def _base_labels(index: Index) -> Column:
+    """Labels of base phrases that stand anywhere."""
+    table = _constant([{"label": t.label, "p": index.phrases.index(t.phrases[0])} for t in index.templates[: len(BASE)]], "array<struct<label:string,p:int>>")
+    return F.transform(F.filter(table, lambda t: F.exists("places", lambda v: v["k"] == t["p"])), lambda t: t["label"])
+
+
+def _verified_labels(index: Index) -> Column:
+    """Labels of templates that have a spot with all their key phrases where it puts them."""
+    table = _constant(
+        [{"label": t.label, "t": k, "phrases": [{"p": index.phrases.index(p), "o": offset(t, p)} for p in t.phrases]} for k, t in enumerate(index.templates)],
+        "array<struct<label:string,t:int,phrases:array<struct<p:int,o:int>>>>",
+    )
+    stands = lambda p, spot: F.exists("places", lambda v: (v["k"] == p["p"]) & (F.abs(v["s"] - p["o"] - spot["s"]) <= DRIFT))
+    given = F.filter(table, lambda t: F.exists("spots", lambda x: (x["k"] == t["t"]) & F.forall(t["phrases"], lambda p: stands(p, x))))
+    return F.transform(given, lambda t: t["label"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -163,28 +219,23 @@ def scan(docs: DataFrame) -> DataFrame:
     some = F.when(F.arrays_overlap("words", F.array(*map(F.lit, index.words))), F.col("words")).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), some.alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(index.words))
-    rows = rows.withColumn("hits", hits)
-    rows = rows.select("doc_id", "n_words", "words", _votes(index.by_phrase).alias("votes"), _votes(index.by_template).alias("shifts"))
+    # What expressions below look up again and again is computed once a row.
+    rows = once(rows, hits=hits)
+    rows = once(rows, known=F.array_intersect(F.array(*map(F.lit, index.words)), F.transform("hits", lambda h: h["w"])))
+    lists = _constant([{"some": r, "must": m} for r, m in zip(index.ranked, index.must, strict=True)], "array<struct<some:array<string>,must:array<string>>>")
+    rows = once(rows, chosen=F.transform(lists, lambda t: F.array_union(F.slice(F.array_intersect(t["some"], F.col("known")), 1, RARE), t["must"])))
+    rows = once(rows, votes=_votes(index.by_phrase), shifts=_shifts(index)).drop("hits", "known", "chosen")
     # All index words of a phrase agree where as many equal votes stand in a row.
     need = _constant([len(a) for a in index.anchors], "array<int>")
     agreed = F.filter("votes", lambda v, k: (v["s"] >= 0) & v.eqNullSafe(F.get("votes", k + F.get(need, v["k"]) - 1)))
-    rows = rows.withColumn("agreed", agreed)
     texts = _constant([list(p) for p in index.phrases], "array<array<string>>")
-    places = F.filter("agreed", lambda v: F.slice("words", v["s"] + 1, F.size(F.get(texts, v["k"]))) == F.get(texts, v["k"]))
-    rows = rows.withColumn("places", places)
-    base = [t for t in index.templates[: len(BASE)]]
-    own = [index.phrases.index(t.phrases[0]) for t in base]
+    places = F.filter(agreed, lambda v: F.slice("words", v["s"] + 1, F.size(F.get(texts, v["k"]))) == F.get(texts, v["k"]))
+    rows = once(rows, places=places, spots=_spots(index)).drop("words")
+    own = [index.phrases.index(t.phrases[0]) for t in index.templates[: len(BASE)]]
     starts = F.transform(F.filter("places", lambda v: v["k"].isin(own)), lambda v: v["s"])
-    rows = rows.withColumn("starts", starts).withColumn("found", F.array_distinct(F.transform("places", lambda v: v["k"])))
-    sizes = _constant(index.sizes, "array<int>")
-
-    def longest(state: Column, v: Column) -> Column:
-        n = F.when(v.eqNullSafe(state["last"]), state["n"] + 1).otherwise(F.lit(1))
-        return F.struct(v.alias("last"), n.alias("n"), F.greatest(state["best"], n / F.get(sizes, v["k"])).alias("best"))
-
-    start = F.struct(F.lit(None).cast("struct<k:int,s:int>").alias("last"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
-    score = F.aggregate("shifts", start, longest, lambda state: state["best"])
+    rows = once(rows, starts=starts, base=_base_labels(index), more=_verified_labels(index))
+    score = F.coalesce(F.array_max(F.transform("spots", lambda x: x["share"])), F.lit(0.0))
     return rows.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
-        _labels("found", base, index.phrases).alias("base_labels"), _labels("found", index.templates, index.phrases).alias("labels"), score.alias("score"),
+        _joined(F.col("base")).alias("base_labels"), _joined(F.concat("base", "more")).alias("labels"), score.alias("score"),
     )

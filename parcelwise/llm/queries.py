@@ -90,28 +90,34 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
 def _license_sql() -> str:
-    """Phrases by comparison at every word; the index words by a ranking, and votes by a join."""
+    """Phrases by comparison at every word; each file's words by a ranking, votes by a join, and phrases at their places by
+    another."""
     ts, ps = licenses.templates(), licenses.phrases()
     base = [ps.index(t.phrases[0]) for t in ts[: len(licenses.BASE)]]
     lists = ", ".join(f"CASE WHEN list_has_all(ws, {list(p)!r}) THEN list_filter(range(1, len(ws) - {len(p) - 2}), lambda i: ws[i:i+{len(p) - 1}] = {list(p)!r}) ELSE [] END AS p{k}" for k, p in enumerate(ps))
-    given = lambda some: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(f'len(p{ps.index(p)}) > 0' for p in t.phrases)} THEN '{t.label}' END" for t in some) + "], lambda x: x IS NOT NULL))), ',')"
+    given = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{t.label}' END" for t, k in zip(ts, base, strict=False)) + "], lambda x: x IS NOT NULL)"
     at = " || ".join(f"p{k}" for k in base)
     words = ", ".join(f"({k}, {o}, '{w}')" for k, t in enumerate(ts) for o, w in enumerate(t.words))
-    parts = ", ".join(f"({k}, {ps.index(p)}, '{w}')" for k, t in enumerate(ts) for p in t.phrases for w in p)
+    parts = ", ".join(f"({k}, '{t.label}', {len(t.phrases)}, {ps.index(p)}, {licenses.offset(t, p)})" for k, t in enumerate(ts) for p in t.phrases)
+    own = ", ".join(f"({k}, {ps.index(p)}, '{w}')" for k, t in enumerate(ts) for p in t.phrases for w in p)
+    found = " UNION ALL ".join(f"SELECT r, {k} AS p, unnest(p{k}) - 1 AS i FROM p" for k in range(len(ps)))
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
-tw(t, o, word) AS (VALUES {words}), pw(t, p, word) AS (VALUES {parts}),
-v AS (SELECT word FROM tw UNION SELECT word FROM pw),
-h AS (SELECT r, i - 1 AS i, ws[i] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN (SELECT word FROM v)),
-f AS (SELECT word, count(DISTINCT r) AS n FROM v LEFT JOIN h USING (word) GROUP BY 1),
-known AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY n, word) AS rn FROM (SELECT DISTINCT t, word FROM tw) JOIN f USING (word)) WHERE rn <= {licenses.RARE}
-    UNION SELECT t, word FROM (SELECT t, p, word, row_number() OVER (PARTITION BY t, p ORDER BY n, word) AS rn FROM (SELECT DISTINCT t, p, word FROM pw) JOIN f USING (word)) WHERE rn <= {licenses.ANCHORS}),
-post AS (SELECT t, o, word, count(*) OVER (PARTITION BY t) AS size FROM tw JOIN known USING (t, word)),
-votes AS (SELECT r, t, i - o AS s, count(*) / max(size)::DOUBLE AS share FROM h JOIN post USING (word) GROUP BY 1, 2, 3),
-best AS (SELECT r, max(share) AS share FROM votes GROUP BY 1),
-p AS (SELECT r, doc_id, ws, {lists} FROM w)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len({at}) AS BIGINT) AS n_base, list_min({at}) - 1 AS first_word, list_max({at}) - 1 AS last_word,
-    {given(ts[: len(licenses.BASE)])} AS base_labels, {given(ts)} AS labels, coalesce(share, 0) AS score FROM p LEFT JOIN best USING (r)"""
+tw(t, o, word) AS (VALUES {words}), tp(t, label, phrases, p, o) AS (VALUES {parts}), pw(t, p, word) AS (VALUES {own}),
+h AS (SELECT r, i - 1 AS i, ws[i] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN (SELECT word FROM tw)),
+f AS (SELECT word, count(DISTINCT r) AS n FROM (SELECT DISTINCT word FROM tw) LEFT JOIN h USING (word) GROUP BY 1),
+pool AS (SELECT t, word, n FROM (SELECT t, word, n, row_number() OVER (PARTITION BY t ORDER BY n, word) AS rn FROM (SELECT DISTINCT t, word FROM tw) JOIN f USING (word)) WHERE rn <= {licenses.POOL}),
+mine AS (SELECT r, t, word FROM (SELECT r, t, word, row_number() OVER (PARTITION BY r, t ORDER BY n, word) AS rn FROM (SELECT DISTINCT r, word FROM h) JOIN pool USING (word)) WHERE rn <= {licenses.RARE}
+    UNION SELECT r, t, word FROM (SELECT DISTINCT r, word FROM h) JOIN (SELECT t, word, row_number() OVER (PARTITION BY t, p ORDER BY n, word) AS rn FROM (SELECT DISTINCT t, p, word FROM pw) JOIN f USING (word)) USING (word) WHERE rn <= {licenses.ANCHORS}),
+size AS (SELECT t, least({licenses.RARE}, count(*)) AS size FROM pool GROUP BY 1),
+spots AS (SELECT r, t, i - o AS s, least(1, count(DISTINCT word) / max(size)::DOUBLE) AS share FROM h JOIN mine USING (r, word) JOIN tw USING (t, word) JOIN size USING (t) GROUP BY 1, 2, 3 HAVING count(DISTINCT word) >= {licenses.AGREE}),
+best AS (SELECT r, max(share) AS share FROM spots GROUP BY 1),
+p AS (SELECT r, doc_id, ws, {lists} FROM w), found AS ({found}),
+more AS (SELECT r, list(DISTINCT label) AS labels FROM (SELECT r, t, s, label FROM spots JOIN tp USING (t) JOIN found USING (r, p) WHERE abs(i - tp.o - s) <= {licenses.DRIFT} GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT p) = max(phrases)) GROUP BY 1),
+out AS (SELECT r, doc_id, ws, {at} AS spans, {given} AS base FROM p)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(spans) AS BIGINT) AS n_base, list_min(spans) - 1 AS first_word, list_max(spans) - 1 AS last_word,
+    array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, coalesce(share, 0) AS score
+FROM out LEFT JOIN best USING (r) LEFT JOIN more USING (r)"""
 
 
 def _tree_sql(name: str, nodes: str, depth: int) -> str:
