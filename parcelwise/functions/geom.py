@@ -197,43 +197,91 @@ def clip_line(line: Column, extent: Column) -> Column:
     return F.aggregate(pieces, F.array().cast(f"array<{RING}>"), join)
 
 
-def fan(poly: Column) -> Column:
-    """Signed triangles of a polygon from the shell's first point: array<struct<p, q, r, s, box>>, s being 1 or -1. Their
-    signed indicators sum up to the polygon's, holes left out."""
-    apex = poly[0][0]
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def of(ring: Column, sign: Column) -> Column:
-        turn = F.when(signed_area(ring) >= 0, sign).otherwise(-sign)
 
-        def tri(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            cross = (a["x"] - apex["x"]) * (b["z"] - apex["z"]) - (a["z"] - apex["z"]) * (b["x"] - apex["x"])
-            first, second = F.when(cross >= 0, a).otherwise(b), F.when(cross >= 0, b).otherwise(a)
-            side = lambda f, k: f(apex[k], a[k], b[k])
-            box = F.struct(side(F.least, "x").alias("minx"), side(F.greatest, "x").alias("maxx"), side(F.least, "z").alias("minz"), side(F.greatest, "z").alias("maxz"))
-            return F.struct(apex.alias("p"), first.alias("q"), second.alias("r"), (F.signum(cross) * turn).alias("s"), box.alias("box"))
+def trapezoids(poly: Column) -> Column:
+    """A polygon, less its holes, as trapezoids that overlap nowhere: array<struct<z0, z1, l0, l1, r0, r1, minx, maxx>>,
+    each between two heights z, from x = l to x = r at both. A sweep over the heights of the vertices: between two that
+    follow each other, edges keep their order, and the polygon lies between the first and the second, the third and the
+    fourth, and so on. Rings may be open or closed and turn either way, but edges mustn't cross each other. Null or
+    flat polygons have none. Takes vertices times heights steps."""
+    rising = lambda e: e["a"]["z"] < e["b"]["z"]
+    low, high = (lambda e: F.when(rising(e), e["a"]).otherwise(e["b"])), (lambda e: F.when(rising(e), e["b"]).otherwise(e["a"]))
+    sides = F.filter(F.flatten(F.transform(poly, edges)), lambda e: e["a"]["z"] != e["b"]["z"])
+    sides = F.transform(sides, lambda e: F.struct(low(e).alias("a"), high(e).alias("b")))
 
-        return F.filter(F.transform(edges(ring), tri), lambda t: t["s"] != 0)
+    def at(e: Column, z: Column) -> Column:
+        return F.when(z == e["b"]["z"], e["b"]["x"]).otherwise(e["a"]["x"] + (z - e["a"]["z"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["z"] - e["a"]["z"]))
 
-    return F.flatten(F.transform(poly, lambda ring, i: of(ring, F.when(i == 0, 1.0).otherwise(-1.0))))
+    def slab(own: Column, z0: Column, z1: Column) -> Column:
+        through = F.transform(F.filter(own, lambda e: (e["a"]["z"] <= z0) & (e["b"]["z"] >= z1)), lambda e: F.struct(at(e, z0).alias("u"), at(e, z1).alias("v")))
+        order = F.sort_array(F.transform(through, lambda c: F.struct((c["u"] + c["v"]).alias("m"), c["u"].alias("u"), c["v"].alias("v"))))
 
+        def piece(left: Column, right: Column) -> Column:
+            return F.struct(
+                z0.alias("z0"), z1.alias("z1"), left["u"].alias("l0"), left["v"].alias("l1"), right["u"].alias("r0"), right["v"].alias("r1"),
+                F.least(left["u"], left["v"]).alias("minx"), F.greatest(right["u"], right["v"]).alias("maxx"),
+            )
 
-def triangle_overlap(t: Column, u: Column) -> Column:
-    """The signed area that two fan triangles have in common."""
-    ring = F.array(t["p"], t["q"], t["r"])
-    return t["s"] * u["s"] * area(clip_convex(ring, edges(F.array(u["p"], u["q"], u["r"])), 1e-8))
+        pairs = lambda c: F.transform(c, lambda left, j: F.when((j % 2 == 0) & (j + 1 < F.size(c)), piece(left, F.get(c, j + 1))))
+        return F.array_compact(_let(order, pairs))
 
+    def sweep(own: Column) -> Column:
+        heights = F.sort_array(F.array_distinct(F.flatten(F.transform(own, lambda e: F.array(e["a"]["z"], e["b"]["z"])))))
+        slabs = lambda zs: F.transform(F.slice(zs, 1, F.greatest(F.size(zs) - 1, F.lit(0))), lambda z, i: slab(own, z, F.get(zs, i + 1)))
+        return F.flatten(_let(heights, slabs))
 
-def fan_overlap(a: Column, b: Column) -> Column:
-    """The area that the polygons of two fans have in common, holes respected: the sum over pairs of triangles whose boxes
-    meet. The fans should be columns of their own (see once)."""
-    near = lambda t: F.filter(b, lambda u: boxes_meet(t["box"], u["box"]))
-    return F.greatest(F.lit(0.0), _total(F.flatten(F.transform(a, lambda t: F.transform(near(t), lambda u: triangle_overlap(t, u))))))
+    return _let(sides, sweep)
+
+
+def triangles(poly: Column) -> Column:
+    """A polygon, less its holes, as triangles that overlap nowhere: array of rings of three points. Those of the
+    trapezoids, cut along a diagonal; without those of no area."""
+
+    def cut(t: Column) -> Column:
+        a, b, c, d = point(t["l0"], t["z0"]), point(t["r0"], t["z0"]), point(t["r1"], t["z1"]), point(t["l1"], t["z1"])
+        first, second = F.when(t["l0"] != t["r0"], F.array(a, b, c)), F.when(t["l1"] != t["r1"], F.array(a, c, d))
+        return F.array_compact(F.array(first, second))
+
+    return F.flatten(F.transform(trapezoids(poly), cut))
+
+
+def trapezoid_overlap(t: Column, u: Column) -> Column:
+    """The area that two trapezoids have in common, exactly. The width in common is linear in z between the places where
+    sides cross, so its value in the middle of each stretch gives the area. Zero if they only touch."""
+    z0, z1 = F.greatest(t["z0"], u["z0"]), F.least(t["z1"], u["z1"])
+    ends = lambda v, s: [v[f"{s}0"] + (v[f"{s}1"] - v[f"{s}0"]) * ((z - v["z0"]) / (v["z1"] - v["z0"])) for z in (z0, z1)]
+    named = {n: end for v, p in ((t, "t"), (u, "u")) for s in "lr" for n, end in zip((f"{p}{s}0", f"{p}{s}1"), ends(v, s), strict=True)}
+
+    def area_of(e: Column) -> Column:
+        on = lambda n, f: e[f"{n}0"] + (e[f"{n}1"] - e[f"{n}0"]) * f
+        width = lambda f: F.greatest(F.lit(0.0), F.least(on("tr", f), on("ur", f)) - F.greatest(on("tl", f), on("ul", f)))
+
+        def crossing(m: str, n: str) -> Column:
+            d0, d1 = e[f"{m}0"] - e[f"{n}0"], e[f"{m}1"] - e[f"{n}1"]
+            return F.when(d0 * d1 < 0, d0 / (d0 - d1))
+
+        crossings = F.array_compact(F.array(crossing("tl", "ul"), crossing("tr", "ur"), crossing("tl", "ur"), crossing("ul", "tr")))
+        stops = lambda c: F.concat(F.array(F.lit(0.0)), F.sort_array(c), F.array(F.lit(1.0)))
+        parts = lambda fs: _total(F.transform(F.slice(fs, 2, F.size(fs) - 1), lambda f, i: (f - F.get(fs, i)) * width((f + F.get(fs, i)) / 2)))
+        return e["h"] * _let(crossings, lambda c: F.when(F.size(c) == 0, width(F.lit(0.5))).otherwise(_let(stops(c), parts)))
+
+    return F.when(z1 > z0, _let(F.struct((z1 - z0).alias("h"), *[c.alias(n) for n, c in named.items()]), area_of)).otherwise(F.lit(0.0))
+
+
+def trapezoids_overlap(a: Column, b: Column) -> Column:
+    """The area that two polygons have in common, given their trapezoids: the sum over those that meet. The trapezoids
+    should be columns of their own (see once)."""
+    near = lambda t: F.filter(b, lambda u: (t["z0"] < u["z1"]) & (t["z1"] > u["z0"]) & (t["minx"] < u["maxx"]) & (t["maxx"] > u["minx"]))
+    return _total(F.flatten(F.transform(a, lambda t: F.transform(near(t), lambda u: trapezoid_overlap(t, u)))))
 
 
 def overlap_area(a: Column, b: Column) -> Column:
     """The area that two polygons have in common."""
-    return fan_overlap(fan(a), fan(b))
+    return trapezoids_overlap(trapezoids(a), trapezoids(b))
 
 
 def roof_axis(ring: Column) -> Column:

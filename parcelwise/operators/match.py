@@ -22,9 +22,9 @@ def scored(a: DataFrame, b: DataFrame, overlap: Column) -> DataFrame:
 
 
 def scored_polygons(a: DataFrame, b: DataFrame) -> DataFrame:
-    """scored() of polygons a_poly and b_poly: each footprint is cut into its fan once, before it meets its candidates."""
-    a, b = geom.once(a, a_fan=geom.fan(F.col("a_poly"))), geom.once(b, b_fan=geom.fan(F.col("b_poly")))
-    return scored(a, b, geom.fan_overlap(F.col("a_fan"), F.col("b_fan"))).drop("a_fan", "b_fan")
+    """scored() of polygons a_poly and b_poly: each footprint is cut into trapezoids once, before it meets its candidates."""
+    a, b = geom.once(a, a_parts=geom.trapezoids(F.col("a_poly"))), geom.once(b, b_parts=geom.trapezoids(F.col("b_poly")))
+    return scored(a, b, geom.trapezoids_overlap(F.col("a_parts"), F.col("b_parts"))).drop("a_parts", "b_parts")
 
 
 def best_matches(a: DataFrame, pairs: DataFrame) -> DataFrame:

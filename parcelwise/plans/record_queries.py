@@ -246,6 +246,33 @@ def building_surfaces(spark, sf_dir):
     return out.select("id", F.size("walls").alias("quads"), F.round(area, 5).alias("wall_area"), *[F.round(geom.area(F.col(c)), 6).alias(f"{c}_area") for c in ("left", "right")], F.round("top", 6).alias("top"))
 
 
+@query(f"""WITH {_BUILD.replace("b AS (SELECT", "b0 AS (SELECT", 1)}, b AS (SELECT *, least(w, d) AS narrow, greatest(w, d) AS wide FROM b0), {_KIND}, {_PROFILE.split(_KIND + ",")[1].replace("FROM u)", "FROM u)", 1)}
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN kind = 'canopy' THEN 0 ELSE 12 END AS wall_triangles, round(CASE WHEN kind = 'canopy' THEN 0 ELSE 2 * narrow * (wall + roof / 2) + 2 * wide * wall END, 5) AS wall_area,
+    round(2 * wide * sqrt(narrow * narrow / 4 + roof * roof), 5) AS roof_area, round(0.35 + wall + roof, 6) AS top FROM o WHERE size >= 3 AND size <= 100000""")
+def surface_triangles(spark, sf_dir):
+    """The triangles of walls and roofs, a row each, summed up a building."""
+    rows = _buildings(spark, sf_dir)
+    found = surfaces.triangles(surfaces.of(rows.select("id", "ring"), profile.building_profiles(rows)))
+    wall, area = F.col("part") == "wall", surfaces.triangle_area(F.col("a"), F.col("b"), F.col("c"))
+    top = F.max(F.greatest("a.y", "b.y", "c.y"))
+    return found.groupBy("id").agg(F.count_if(wall).alias("wall_triangles"), F.round(F.sum(F.when(wall, area).otherwise(0.0)), 5).alias("wall_area"), F.round(F.sum(F.when(~wall, area)), 5).alias("roof_area"), F.round(top, 6).alias("top"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_custkey % 4 AS k, CAST(5 + c_custkey % 7 AS DOUBLE) AS h FROM customer)
+SELECT id, CASE k WHEN 0 THEN 8 WHEN 2 THEN 4 ELSE 2 END AS triangles, CASE k WHEN 0 THEN 4 * h * h - 4 WHEN 1 THEN 2 * h * h WHEN 2 THEN 3 * h * h ELSE 4 * h * h END AS area,
+    CASE k WHEN 0 THEN h - 1 WHEN 1 THEN h * h WHEN 2 THEN h * h / 2 ELSE 2 * h * h END AS smallest, CASE k WHEN 0 THEN h * (h - 1) WHEN 1 THEN h * h WHEN 2 THEN h * h ELSE 2 * h * h END AS largest FROM s""")
+def triangulation(spark, sf_dir):
+    """Polygons with a yard, on a corner, with a notch, and plain ones that turn the other way, as triangles."""
+    c = F.col("c_custkey")
+    h = (5 + c % 7).cast("double")
+    ring = lambda *points: F.array(*[geom.point(x if hasattr(x, "cast") else F.lit(x), z if hasattr(z, "cast") else F.lit(z)) for x, z in points])
+    yard = F.array(geom.rectangle(-h, -h, h, h), geom.rectangle(F.lit(-1), F.lit(-1), F.lit(1), F.lit(1)))
+    corner, notch, plain = ring((-h, 0), (0, -h), (h, 0), (0, h), (-h, 0)), ring((0, 0), (2 * h, 0), (2 * h, h), (h, h), (h, 2 * h), (0, 2 * h)), ring((-h, -h), (-h, h), (h, h), (h, -h))
+    poly = F.when(c % 4 == 0, yard).when(c % 4 == 1, F.array(corner)).when(c % 4 == 2, F.array(notch)).otherwise(F.array(plain))
+    rows = fx.table(spark, sf_dir, "customer").select(c.alias("id"), F.explode(geom.triangles(poly)).alias("t"))
+    return rows.groupBy("id").agg(F.count("*").alias("triangles"), *[f(geom.area(F.col("t"))).alias(n) for f, n in ((F.sum, "area"), (F.min, "smallest"), (F.max, "largest"))])
+
+
 # --- Enrichment entries.
 @query(f"{fx.sql('a')} SELECT a_id, (x1 - x0) * (z1 - z0) * CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS area FROM a WHERE a_id % 4 > 0 AND p_size % 5 > 0")
 def in_service(spark, sf_dir):

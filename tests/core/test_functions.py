@@ -54,6 +54,32 @@ def test_overlap_of_star_polygons(spark):
         assert abs(got - want) < 0.02 * max(want, 10) and -1e-9 <= got <= min(sa, sb) + 1e-6
 
 
+def test_triangles_cover_a_polygon_once(spark):
+    rng = random.Random(5)
+
+    def star(n, near, far, x=0.0, z=0.0):
+        turned = rng.choice((1, -1))
+        points = [(x + (d := rng.uniform(near, far)) * math.cos(turned * 2 * math.pi * k / n), z + d * math.sin(turned * 2 * math.pi * k / n)) for k in range(n)]
+        return ring(*points, *(points[:1] if rng.random() < 0.5 else []))
+
+    polys = [[star(rng.randint(3, 40), 5, 9), *[star(rng.randint(3, 9), 0.3, 0.9, x, z) for x, z in ((-1, -1), (1, -1), (0.0, 1.2))[: rng.randint(0, 3)]]] for _ in range(12)]
+    polys = [p for p in polys if len(p[0]) > 6] + [[SQUARE, HOLE], [SQUARE[::-1], HOLE], [ring((0, 0), (5, 0), (9, 0))], [ring((0, 0))], [[]], []]
+    rows = spark.createDataFrame([(p,) for p in polys], f"a array<{RING}>").select("a", geom.triangles(F.col("a")).alias("t"), geom.trapezoids(F.col("a")).alias("q")).collect()
+    side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    holds = lambda t, p: len({side(a, b, p) > 0 for a, b in zip(t, t[1:] + t[:1], strict=True)}) == 1
+    crossed = lambda r, p: sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(r, r[1:] + r[:1], strict=True))
+    shoelace = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True))) / 2
+    for r in rows:
+        rings = [[tuple(p) for p in own] for own in r.a]
+        found = [[tuple(p) for p in t] for t in r.t]
+        want = shoelace(rings[0]) - sum(map(shoelace, rings[1:])) if rings else 0
+        assert abs(sum(map(shoelace, found)) - want) < 1e-9 * max(want, 1) and len(found) <= 2 * len(r.q)
+        for _ in range(300):
+            p = rng.uniform(-9, 10), rng.uniform(-9, 10)
+            assert sum(holds(t, p) for t in found) == sum(crossed(own, p) for own in rings) % 2
+    assert rows[-1].t == rows[-2].t == rows[-3].t == rows[-4].t == []
+
+
 def test_containment(spark):
     inside = geom.inside_polygon(F.col("p"), F.col("a"))
     rows = [((1.0, 1.0), True), ((5.0, 5.0), False), ((-1.0, 5.0), False), ((3.5, 2.0), True), ((0.0, 0.0), True), ((10.0, 5.0), False), ((5.0, 10.0), False)]
