@@ -41,11 +41,13 @@ def road_groups(roads: DataFrame) -> DataFrame:
     title = F.coalesce(jsem.text_or_null(F.trim("name")), jsem.text_or_null("ref"))
     named = roads.withColumn("title", title).where("title is not null and size(paths) > 0")
     key = F.concat(F.when(F.col("is_road"), "road:").otherwise("rail:"), "title")
-    path = F.posexplode("paths").alias("k", "path")
-    longest = named.select(key.alias("id"), "ord", path).groupBy("id").agg(F.max_by("path", F.struct(F.size("path"), F.col("ord"), F.col("k"))).alias("path"), F.count("*").alias("n_paths"))
-    groups = named.groupBy(key.alias("id"), "title").agg(F.min_by("width", "ord").alias("width"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"]).alias("source_ids"), F.min("ord").alias("ord"))
-    middle = F.col("path")[F.floor(F.size("path") / 2).cast("int")]
-    return groups.join(longest, "id").select("id", F.col("title").alias("name"), "width", "source_ids", "n_paths", middle.alias("position"), "ord")
+    own = F.transform("paths", lambda path, k: F.struct(F.size(path).alias("size"), k.alias("k"), F.get(path, F.floor(F.size(path) / 2).cast("int")).alias("middle")))
+    each = geom.once(named.select(key.alias("key"), "title", "width", "ord", "id", "paths"), n=F.size("paths"), own=F.array_max(own)).drop("paths")
+    groups = each.groupBy(F.col("key").alias("id"), "title").agg(
+        F.min_by("width", "ord").alias("width"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"]).alias("source_ids"),
+        F.sum("n").alias("n_paths"), F.max_by("own.middle", F.struct("own.size", "ord", "own.k")).alias("position"), F.min("ord").alias("ord"),
+    )
+    return groups.select("id", F.col("title").alias("name"), "width", "source_ids", "n_paths", "position", "ord")
 
 
 def id_aliases(records: DataFrame) -> DataFrame:
@@ -141,13 +143,13 @@ def build(roads: DataFrame, points: DataFrame, areas: DataFrame, zones: DataFram
     known = solid.withColumn("name", building_name(tag("name"), F.col("landmark"), tag("amenity"))).where("name is not null")
     house = lambda df, source: _record(df, "building", kind=F.lit("Bâtiment / équipement"), source=source, position=geom.centre(F.col("poly")[0]), poly=F.col("poly"))
     houses = house(step(known, 2), building_source(tag("name"), F.col("landmark")))
-    base = lines.unionByName(spots).unionByName(surfaces).unionByName(activity).unionByName(houses)
+    base = cut(lines.unionByName(spots).unionByName(surfaces).unionByName(activity).unionByName(houses))
     # Points that aren't places, in exactly one building.
     asked = spots.where(~F.col("kind").startswith("Lieu-dit")).select(F.col("id").alias("point_id"), F.col("ord").alias("point_ord"), F.col("name").alias("point_name"), F.col("source").alias("point_source"), F.col("position").alias("p"))
     hits = spatial.unique_container(asked, buildings.select(F.col("id").cast("string").alias("id"), "poly"), "point_id")
     hits = hits.join(base.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min(F.struct("point_ord", "point_name", "point_source")).alias("h"), F.first("poly").alias("poly"))
     found = house(step(hits.select("id", F.col("h.point_name").alias("name"), F.col("h.point_source").alias("source"), F.col("h.point_ord").alias("ord"), "poly"), 3), F.col("source"))
-    base = cut(base.unionByName(found))
+    base = base.unionByName(cut(found))
     marks = landmarks.where(geom.within(F.col("p"), extent)).withColumn("id", F.col("id").cast("string")).join(base.select("id").distinct(), "id", "left_anti")
     placed = base.where("type <> 'line'").select(F.col("id").alias("record_id"), F.col("name").alias("record_name"), F.col("position").alias("q"), "ord")
     merged = cut(spatial.merged_by_name(marks.select("id", "name", "p"), placed))
