@@ -69,3 +69,11 @@ def test_roads_of_a_title_are_read_once(spark):
     (g,) = groups.collect()
     assert (g.width, g.source_ids, g.n_paths, g.position.x) == (5.0, ["a", "b"], 4, 5.0)
     assert "Join" not in groups._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_of_a_name_at_a_place_are_asked_about_once(spark, monkeypatch):
+    rows, marks = marks_of(spark)
+    records = marks.select((F.col("id") + 5000).alias("record_id"), F.col("name").alias("record_name"), geom.point(F.col("p.x") + 7, F.lit(3)).alias("q"), F.col("ord"))
+    sizes = watched(monkeypatch, "cut")
+    got = {r.id: r.record_id for r in spatial.nearest_by_name(marks.select("id", "name", "p"), records).collect()}
+    assert got == {i: 5000 + i % 8 for i, *_ in rows} and max(sizes) <= 8
