@@ -77,3 +77,11 @@ def test_marks_of_a_name_at_a_place_are_asked_about_once(spark, monkeypatch):
     sizes = watched(monkeypatch, "cut")
     got = {r.id: r.record_id for r in spatial.nearest_by_name(marks.select("id", "name", "p"), records).collect()}
     assert got == {i: 5000 + i % 8 for i, *_ in rows} and max(sizes) <= 8
+
+
+def test_others_at_a_place_are_looked_at_once(spark, monkeypatch):
+    rows, marks = marks_of(spark)
+    others = marks.select(F.col("id").alias("other"), F.col("ord").alias("k"), geom.point(F.col("p.x") + 5, F.lit(0)).alias("q"))
+    sizes = watched(monkeypatch, "near_pairs")
+    got = {r.id: (r.other, r.d) for r in spatial.nearest_point(marks.select("id", "p"), others, "id", "k").collect()}
+    assert got == {i: (i % 8, 5.0) for i, *_ in rows} and max(sizes) <= 8
