@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,20 +78,19 @@ def building_source(tag_name: Column, landmark: Column) -> Column:
 
 
 def pick(queries: DataFrame, buildings: DataFrame, points: DataFrame, lines: DataFrame, zones: DataFrame) -> DataFrame:
-    """(query_id, tier, record_id) of queries(query_id, p), answered in tiers: the building that holds the point (its
+    """(query_id, tier, record_id) of queries(query_id, p), answered in tiers, a place once however many queries ask for it: the building that holds the point (its
     record may be null: then nothing is found), the nearest point within 22, the nearest line within 10, the smallest
     zone. buildings(ord, record_id, poly), points(ord, record_id, q), lines(ord, record_id, line), zones(ord,
     record_id, poly)."""
+    places = queries.select("p").distinct()
     tiers = (
-        spatial.first_container(queries, buildings, "query_id", "ord"), spatial.nearest_point(queries, points, "query_id", "ord"),
-        spatial.nearest_segment(queries, lines, "query_id", "ord"), spatial.smallest_container(queries, zones, "query_id", "ord"),
+        spatial.first_container(places, buildings, "p", "ord"), spatial.nearest_point(places, points, "p", "ord"),
+        spatial.nearest_segment(places, lines, "p", "ord"), spatial.smallest_container(places, zones, "p", "ord"),
     )
     kind = buildings.schema["record_id"].dataType
-    out = queries.select("query_id", F.lit(len(tiers) + 1).alias("tier"), F.lit(None).cast(kind).alias("record_id"))
-    for k, found in enumerate(tiers):  # their rows meet in one shuffle, not in a join each
-        out = out.unionByName(found.select("query_id", F.lit(k + 1).alias("tier"), F.col("record_id").cast(kind).alias("record_id")))
-    best = out.groupBy("query_id").agg(F.min(F.struct("tier", "record_id")).alias("b"))
-    return best.select("query_id", F.when(F.col("b.tier") <= len(tiers), F.col("b.tier")).alias("tier"), F.col("b.record_id").alias("record_id"))
+    rows = [found.select("p", F.lit(k + 1).alias("tier"), F.col("record_id").cast(kind).alias("record_id")) for k, found in enumerate(tiers)]
+    best = reduce(DataFrame.unionByName, rows).groupBy("p").agg(F.min(F.struct("tier", "record_id")).alias("b"))  # one shuffle, not a join each
+    return queries.select("query_id", "p").distinct().join(best, "p", "left").select("query_id", F.col("b.tier").alias("tier"), F.col("b.record_id").alias("record_id"))
 
 
 def landmark_override(buildings: DataFrame, amenities: DataFrame) -> DataFrame:

@@ -85,3 +85,13 @@ def test_others_at_a_place_are_looked_at_once(spark, monkeypatch):
     sizes = watched(monkeypatch, "near_pairs")
     got = {r.id: (r.other, r.d) for r in spatial.nearest_point(marks.select("id", "p"), others, "id", "k").collect()}
     assert got == {i: (i % 8, 5.0) for i, *_ in rows} and max(sizes) <= 8
+
+
+def test_places_are_picked_once(spark, monkeypatch):
+    queries = spark.createDataFrame([(i, (float(i % 3 * 100 + 1), 1.0) if i < 300 else None) for i in range(301)], f"query_id long, p {POINT}")
+    boxes = spark.createDataFrame([(1, 10, square(0, 0, 5))], f"ord long, record_id long, poly {POLY}")
+    points = spark.createDataFrame([(k, 1000 + k, (101.0, 2.0)) for k in range(50)], f"ord long, record_id long, q {POINT}")
+    none = boxes.where("false")
+    sizes = watched(monkeypatch, "first_container")
+    got = {r.query_id: (r.tier, r.record_id) for r in catalogue.pick(queries, boxes, points, none.select("ord", "record_id", F.col("poly")[0].alias("line")), none).collect()}
+    assert got == {i: ((1, 10), (2, 1000), (None, None))[i % 3 if i < 300 else 2] for i in range(301)} and max(sizes) <= 4
