@@ -95,3 +95,11 @@ def test_places_are_picked_once(spark, monkeypatch):
     sizes = watched(monkeypatch, "first_container")
     got = {r.query_id: (r.tier, r.record_id) for r in catalogue.pick(queries, boxes, points, none.select("ord", "record_id", F.col("poly")[0].alias("line")), none).collect()}
     assert got == {i: ((1, 10), (2, 1000), (None, None))[i % 3 if i < 300 else 2] for i in range(301)} and max(sizes) <= 4
+
+
+def test_places_near_others_go_once(spark, monkeypatch):
+    rows, marks = marks_of(spark)
+    others = marks.where("p.x < 60").select(F.col("p").alias("q"))
+    sizes = watched(monkeypatch, "near_pairs")
+    got = {r.id for r in spatial.without_neighbours(marks, others, "id").collect()}
+    assert got == {i for i, _, p, _ in rows if p[0] >= 75} and max(sizes) <= 8
