@@ -212,9 +212,11 @@ def clip_slanted(spark, sf_dir):
 
 @query(f"{fx.sql('a')}, c AS (SELECT a_id, least(x1, 700) - greatest(x0, 100) AS w, least(z1, 600) - greatest(z0, 50) AS h FROM a) SELECT a_id, round(w * h, 6) AS area FROM c WHERE w > 0 AND h > 0")
 def clip_rings(spark, sf_dir):
-    a, _ = fx.footprints(spark, sf_dir, polygons=True)
+    a = fx.spread(fx.footprints(spark, sf_dir)[0], "a_id")
+    b = F.col("a_box")
+    a = a.withColumn("a_poly", F.array(geom.rectangle(b["minx"], b["minz"], b["maxx"], b["maxz"])))
     area = geom.area(geom.clip_ring(F.col("a_poly")[0], _extent(100, 700, 50, 600)))
-    return a.select("a_id", F.round(area, 6).alias("area")).where("area > 0")
+    return geom.once(a, area=area).where("area > 0").select("a_id", F.round("area", 6).alias("area"))
 
 
 _TRI = "t AS (SELECT s_suppkey AS id, CAST(s_suppkey % 30 AS DOUBLE) AS ax, CAST(s_suppkey % 7 AS DOUBLE) AS az, CAST(s_suppkey % 30 + 10 + s_suppkey % 11 AS DOUBLE) AS bx, CAST(s_suppkey % 5 AS DOUBLE) AS bz, CAST(s_suppkey % 13 AS DOUBLE) AS cx, CAST(20 + s_suppkey % 17 AS DOUBLE) AS cz FROM supplier)"

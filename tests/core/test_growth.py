@@ -103,3 +103,10 @@ def test_places_near_others_go_once(spark, monkeypatch):
     sizes = watched(monkeypatch, "near_pairs")
     got = {r.id for r in spatial.without_neighbours(marks, others, "id").collect()}
     assert got == {i for i, _, p, _ in rows if p[0] >= 75} and max(sizes) <= 8
+
+
+def test_rings_inside_and_beyond_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(geom, "clip_convex", lambda *a, **k: F.raise_error(F.lit("cut")).cast(geom.RING))
+    rings = spark.createDataFrame([(1, square(2, 2, 5)[0]), (2, square(0, 0, 10)[0]), (3, square(11, 0, 5)[0]), (4, square(2, -9, 5)[0]), (5, [])], f"id long, ring array<{POINT}>")
+    extent = F.struct(*[F.lit(v).alias(k) for k, v in (("minx", 0.0), ("maxx", 10.0), ("minz", 0.0), ("maxz", 10.0))])
+    assert {r.id: len(r.c) for r in rings.select("id", geom.clip_ring(F.col("ring"), extent).alias("c")).collect()} == {1: 5, 2: 5, 3: 0, 4: 0, 5: 0}
