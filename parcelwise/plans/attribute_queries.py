@@ -149,7 +149,7 @@ def _buildings(spark, sf_dir):
     }
     bag = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(a).alias("k"), v.alias("v")) for a, v in tags.items()]), lambda x: x["v"].isNotNull()))
     mat = F.when(k % 11 == 0, "concrete").when(k % 11 == 1, "slate").when(k % 11 == 2, "tile")
-    return fx.table(spark, sf_dir, "part").select(
+    return fx.spread(fx.table(spark, sf_dir, "part").select(k, s), "p_partkey").select(
         text(k).alias("id"), bag.alias("tags"), geom.rectangle(F.lit(0), F.lit(0), 4 + s % 13, 5 + k % 40).alias("ring"), F.when(k % 4 > 0, (2 + s % 8).cast("double")).alias("wall_height"), F.when(k % 5 > 1, (1 + s % 7).cast("double")).alias("roof_height"),
         F.when(k % 7 > 2, s % 4).alias("floors"), F.when(mat.isNotNull(), F.array(mat)).alias("roof_materials"), F.when(k % 13 == 0, "10").when(k % 13 == 1, "12").when(k % 13 == 2, "50").alias("wall_code"),
         F.when(k % 6 == 0, "Agricole").when(k % 6 == 1, "Résidentiel").when(k % 6 == 2, "Indifférencié").when(k % 6 == 3, "Religieux").alias("usage"), F.when(k % 29 == 0, "Silo").when(k % 29 == 1, "Serre").alias("nature"), (k % 37 == 0).alias("has_landmark"),

@@ -110,3 +110,12 @@ def test_rings_inside_and_beyond_are_not_cut(spark, monkeypatch):
     rings = spark.createDataFrame([(1, square(2, 2, 5)[0]), (2, square(0, 0, 10)[0]), (3, square(11, 0, 5)[0]), (4, square(2, -9, 5)[0]), (5, [])], f"id long, ring array<{POINT}>")
     extent = F.struct(*[F.lit(v).alias(k) for k, v in (("minx", 0.0), ("maxx", 10.0), ("minz", 0.0), ("maxz", 10.0))])
     assert {r.id: len(r.c) for r in rings.select("id", geom.clip_ring(F.col("ring"), extent).alias("c")).collect()} == {1: 5, 2: 5, 3: 0, 4: 0, 5: 0}
+
+
+def test_buildings_are_shaped_by_several_tasks_a_core(spark, sf_dir):
+    from parcelwise.plans.attribute_queries import _buildings
+    from parcelwise.plans.feature_queries import QUERIES
+
+    cores = spark.sparkContext.defaultParallelism
+    assert _buildings(spark, sf_dir).rdd.getNumPartitions() >= 2 * cores
+    assert QUERIES["clip_rings"][0](spark, sf_dir).rdd.getNumPartitions() >= 2 * cores
