@@ -119,3 +119,25 @@ def test_buildings_are_shaped_by_several_tasks_a_core(spark, sf_dir):
     cores = spark.sparkContext.defaultParallelism
     assert _buildings(spark, sf_dir).rdd.getNumPartitions() >= 2 * cores
     assert QUERIES["clip_rings"][0](spark, sf_dir).rdd.getNumPartitions() >= 2 * cores
+
+
+def test_any_number_of_pages_is_read(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from parcelwise.plans import feeds
+    from parcelwise.plans.rule_queries import QUERIES
+    from parcelwise.sources import paged
+
+    n = 13_001  # more than the reader's usual limit
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(n), pa.int64()), "s_name": [f"s{i}" for i in range(n)]}), tmp_path / "supplier.parquet", row_group_size=1000)
+    got = QUERIES["paged_scan"][0](spark, str(tmp_path))
+    assert sorted((r.id, r.name, r.lon) for r in got.collect()) == sorted((f"supplier/{i}", f"s{i}", i * 0.5) for i in range(n))
+    read, plain = [], feeds._group
+    monkeypatch.setattr(feeds, "_group", lambda *a: read.append(a[1]) or plain(*a))
+    reader = paged.PagedReader({"endpoints": str(tmp_path), "layer": "supplier", "page": "17", "limit": "none", "transport": "parcelwise.plans.feeds:pages"})
+    parts = reader.partitions()
+    assert len(parts) <= paged.PARTITIONS and sum(p.rows for p in parts) == n and (plain.cache_clear() or len(list(reader.read(parts[-1])))) == parts[-1].rows
+    assert set(read[1:]) == {12, 13}  # the row groups of the last pages only
+    with pytest.raises(RuntimeError):
+        paged.PagedReader({"endpoints": str(tmp_path), "layer": "supplier", "transport": "parcelwise.plans.feeds:pages"}).partitions()
