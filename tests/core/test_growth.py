@@ -141,3 +141,14 @@ def test_any_number_of_pages_is_read(spark, tmp_path, monkeypatch):
     assert set(read[1:]) == {12, 13}  # the row groups of the last pages only
     with pytest.raises(RuntimeError):
         paged.PagedReader({"endpoints": str(tmp_path), "layer": "supplier", "transport": "parcelwise.plans.feeds:pages"}).partitions()
+
+
+def test_relations_are_assembled_by_several_tasks_a_core(spark):
+    from parcelwise.sources import osm
+
+    way = lambda *ps: [(float(x), float(y)) for x, y in ps]
+    members = [(r, pos, role, r * 10 + pos) for r in range(40) for pos, role in ((1, None), (0, "outer"), (2, "inner"))]
+    ways = [(r * 10 + pos, p) for r in range(40) for pos, p in ((0, way((0, 0), (4, 0), (4, 4))), (1, way((0, 0), (0, 4), (4, 4))), (2, way((1, 1), (2, 1), (2, 2), (1, 1)))) if r % 5 or pos != 1]
+    got = osm.relation_polygons(spark.createDataFrame(members, "relation_id long, pos int, role string, way_id long"), spark.createDataFrame(ways, "way_id long, path array<struct<lon:double,lat:double>>"))
+    assert {r.relation_id: (r.tainted, [len(p) for p in r.polys]) for r in got.collect()} == {r: (False, [2]) if r % 5 else (True, []) for r in range(40)}
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
