@@ -268,10 +268,11 @@ def _features(batches):
 def texts(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """(path, offset, value): the features of files as text, by the byte where they begin."""
     listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).where("size > 0")
+    tasks = 4 * spark.sparkContext.defaultParallelism  # a range is a small row, so their size tells nothing of what is read
     ranges = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.withColumn("end", F.least(F.col("start") + split, "size")).repartition("path", "start")
+    ranges = ranges.withColumn("end", F.least(F.col("start") + split, "size")).repartition(tasks, "path", "start")
     starts = ranges.mapInArrow(_sums, _SUMS).groupBy("path").applyInArrow(_fold, _STARTS)  # a small row a range
-    return starts.repartition("path", "start").mapInArrow(_features, "path string, offset long, value string")
+    return starts.repartition(tasks, "path", "start").mapInArrow(_features, "path string, offset long, value string")
 
 
 def scan(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:

@@ -152,3 +152,11 @@ def test_relations_are_assembled_by_several_tasks_a_core(spark):
     got = osm.relation_polygons(spark.createDataFrame(members, "relation_id long, pos int, role string, way_id long"), spark.createDataFrame(ways, "way_id long, path array<struct<lon:double,lat:double>>"))
     assert {r.relation_id: (r.tainted, [len(p) for p in r.polys]) for r in got.collect()} == {r: (False, [2]) if r % 5 else (True, []) for r in range(40)}
     assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_ranges_of_files_are_scanned_by_several_tasks_a_core(spark, tmp_path):
+    from parcelwise.sources import feature_files
+
+    (tmp_path / "a.geojson").write_text('{"type":"FeatureCollection","features":[' + ",".join('{"type":"Feature","id":"%d","properties":{},"geometry":null}' % i for i in range(500)) + "]}")
+    got = feature_files.texts(spark, str(tmp_path / "*.geojson"), split=101)
+    assert got.count() == 500 and got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
